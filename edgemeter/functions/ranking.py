@@ -19,10 +19,14 @@ STRIDE = 32
 ACCURACY = 20_000
 WHOLE_BELOW = 100_000
 CHUNK_BITS = 20
+HASH_BITS = 40
 
 
 def _attach_range(hist: DataFrame, keys: list[str], by: str, sums: list[str]) -> DataFrame:
-    probs = [i / RANGES for i in range(1, RANGES)]
+    # One foldable text literal; a thousand number literals are slow to build.
+    probs = F.split(F.lit(",".join(str(i / RANGES) for i in range(1, RANGES))), ",").cast(
+        "array<double>"
+    )
     # `sums` are read here only so that all uses of `hist` share one exchange.
     cuts = hist.groupBy(*keys).agg(
         F.when(F.count(F.lit(1)) < WHOLE_BELOW, F.array().cast("array<double>"))
@@ -85,9 +89,16 @@ def cumulate(
     return out
 
 
-def chunk_of(tie: str) -> Column:
-    """Coarse position: at most 2^20 distinct tie values share a chunk."""
-    return F.shiftright(F.col(tie), CHUNK_BITS)
+def chunk_of(tie: str, bits: int = CHUNK_BITS) -> Column:
+    """Coarse position. File positions are dense, so 20 bits bound a chunk to
+    2^20 rows; 60-bit hashes take HASH_BITS and spread over 2^20 chunks."""
+    return F.shiftright(F.col(tie), bits)
+
+
+def pair_hash(*columns: str) -> Column:
+    """60-bit hash for a reproducible order among equals."""
+    digest = F.md5(F.concat_ws("|", *columns).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def rank_blocks(
@@ -97,6 +108,7 @@ def rank_blocks(
     tie: str,
     descending: bool = True,
     tie_descending: bool = False,
+    bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """(keys, by, _chunk, n, before): rows per block and rows ranked ahead of it.
 
@@ -104,7 +116,7 @@ def rank_blocks(
     is cut into chunks of bounded size even when most rows tie.
     """
     hist = (
-        rows.withColumn("_chunk", chunk_of(tie))
+        rows.withColumn("_chunk", chunk_of(tie, bits))
         .groupBy(*keys, by, "_chunk")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -114,12 +126,18 @@ def rank_blocks(
 
 
 def number_rows(
-    rows: DataFrame, blocks: DataFrame, keys: list[str], by: str, tie: str, tie_descending: bool
+    rows: DataFrame,
+    blocks: DataFrame,
+    keys: list[str],
+    by: str,
+    tie: str,
+    tie_descending: bool,
+    bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """Give the rows of `blocks` their 1-based `rank`."""
     order = F.col(tie).desc() if tie_descending else F.col(tie).asc()
     window = Window.partitionBy(*keys, by, "_chunk").orderBy(order)
-    placed = rows.withColumn("_chunk", chunk_of(tie)).join(blocks, [*keys, by, "_chunk"])
+    placed = rows.withColumn("_chunk", chunk_of(tie, bits)).join(blocks, [*keys, by, "_chunk"])
     return placed.withColumn("rank", F.col("before") + F.row_number().over(window)).drop(
         "_chunk", "n", "before"
     )
@@ -132,10 +150,11 @@ def global_rank(
     tie: str,
     descending: bool = True,
     tie_descending: bool = False,
+    bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """Exact 1-based `rank` within `keys` by (`by`, `tie`)."""
-    blocks = rank_blocks(rows, keys, by, tie, descending, tie_descending)
-    return number_rows(rows, blocks, keys, by, tie, tie_descending)
+    blocks = rank_blocks(rows, keys, by, tie, descending, tie_descending, bits)
+    return number_rows(rows, blocks, keys, by, tie, tie_descending, bits)
 
 
 def mid_ranks(rows: DataFrame, keys: list[str], by: str) -> DataFrame:

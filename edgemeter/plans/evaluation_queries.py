@@ -61,7 +61,7 @@ def area_ctes(kind: str = "directed") -> dict[str, str]:
     }
 
 
-def inputs(spark, sf, edges="fx_edges"):
+def fixture_pair(spark, sf, edges="fx_edges"):
     return fixture(spark, sf, edges), fixture(spark, sf, "fx_ground_truth")
 
 
@@ -75,19 +75,19 @@ PIVOT = """SELECT dataset_id, algorithm_id AS "Algorithm",
 @query("auprc", with_fixtures(ALL, area_ctes(),
        f"SELECT {K}, 'auprc' AS metric, ROUND(auprc, 6) + 0.0 AS value FROM areas"))
 def auprc(spark, sf):
-    return curves.auprc(*inputs(spark, sf)).withColumn("value", r6("value"))
+    return curves.auprc(*fixture_pair(spark, sf)).withColumn("value", r6("value"))
 
 
 @query("auprc_by_run", with_fixtures(ALL, area_ctes(), PIVOT.format(v="ROUND(auprc, 6) + 0.0")))
 def auprc_by_run(spark, sf):
-    values = curves.auprc(*inputs(spark, sf)).withColumn("value", r6("value"))
+    values = curves.auprc(*fixture_pair(spark, sf)).withColumn("value", r6("value"))
     return pivot_metric(values, runs=["run_A", "run_N", "run_R"])
 
 
 @query("auroc", with_fixtures(ALL, area_ctes(),
        f"SELECT {K}, 'auroc' AS metric, ROUND(auroc, 6) + 0.0 AS value FROM areas"))
 def auroc(spark, sf):
-    return curves.auroc(*inputs(spark, sf)).withColumn("value", r6("value"))
+    return curves.auroc(*fixture_pair(spark, sf)).withColumn("value", r6("value"))
 
 
 RATIOS = """SELECT {keys}, ROUND(ap, 6) + 0.0 AS average_precision, ROUND(auroc, 6) + 0.0 AS auroc,
@@ -98,7 +98,7 @@ RATIO_COLUMNS = ["average_precision", "auroc", "average_precision_ratio", "auroc
 def _ratio_query(kind):
     @query(f"pr_roc_ratio_{kind}", with_fixtures(ALL, area_ctes(kind), RATIOS.format(keys=K)))
     def run(spark, sf):
-        out = curves.pr_roc_ratio(*inputs(spark, sf), kind)
+        out = curves.pr_roc_ratio(*fixture_pair(spark, sf), kind)
         return out.select(*KEYS, *[r6(c).alias(c) for c in RATIO_COLUMNS])
 
 
@@ -137,7 +137,7 @@ def _signed_query(kind):
     @query(f"signed_pr_roc_{kind}",
            with_fixtures(ALL, _signed_ctes(kind), RATIOS.format(keys=K + ", sign")))
     def run(spark, sf):
-        out = curves.signed_pr_roc(*inputs(spark, sf), kind)
+        out = curves.signed_pr_roc(*fixture_pair(spark, sf), kind)
         return out.select(*KEYS, "sign", *[r6(c).alias(c) for c in RATIO_COLUMNS])
 
 
@@ -160,7 +160,7 @@ POINTS = {
        ROUND(CAST(ch AS DOUBLE) / cn, 6) + 0.0 AS precision, ROUND(p.auprc, 6) + 0.0 AS area, p.place FROM curve c JOIN placed p USING ({K})
        UNION ALL SELECT {K}, NULL, 0.0, 1.0, ROUND(auprc, 6) + 0.0, place FROM placed"""))
 def pr_curve(spark, sf):
-    out = curves.pr_curve(*inputs(spark, sf))
+    out = curves.pr_curve(*fixture_pair(spark, sf))
     return out.select(*KEYS, *[r6(c).alias(c) for c in ("threshold", "recall", "precision", "area")], "place")
 
 
@@ -170,7 +170,7 @@ def pr_curve(spark, sf):
        ROUND(CAST(ch AS DOUBLE) / th, 6) + 0.0 AS tpr, ROUND(p.auroc, 6) + 0.0 AS area, p.place FROM curve c JOIN placed p USING ({K})
        UNION ALL SELECT {K}, NULL, 0.0, 0.0, ROUND(auroc, 6) + 0.0, place FROM placed"""))
 def roc_curve(spark, sf):
-    out = curves.roc_curve(*inputs(spark, sf))
+    out = curves.roc_curve(*fixture_pair(spark, sf))
     return out.select(*KEYS, *[r6(c).alias(c) for c in ("threshold", "fpr", "tpr", "area")], "place")
 
 
@@ -201,12 +201,12 @@ FROM lists JOIN sizes USING (dataset_id) LEFT JOIN prec USING ({K})"""
 
 @query("epr", with_fixtures(ALL, _epr_ctes("directed"), EPR_OUT))
 def epr(spark, sf):
-    return early.epr(*inputs(spark, sf)).withColumn("value", r6("value"))
+    return early.epr(*fixture_pair(spark, sf)).withColumn("value", r6("value"))
 
 
 @query("epr_tf", with_fixtures(ALL, _epr_ctes("tf"), EPR_OUT))
 def epr_tf(spark, sf):
-    return early.epr(*inputs(spark, sf), tf_edges=True).withColumn("value", r6("value"))
+    return early.epr(*fixture_pair(spark, sf), tf_edges=True).withColumn("value", r6("value"))
 
 
 KS = K + ", metric"
@@ -227,7 +227,7 @@ KS = K + ", metric"
     FROM (SELECT DISTINCT {K} FROM fx_edges_dup) l CROSS JOIN signs g JOIN sizes z ON z.dataset_id = l.dataset_id
     LEFT JOIN prec p ON p.dataset_id = l.dataset_id AND p.run_id = l.run_id AND p.algorithm_id = l.algorithm_id AND p.metric = g.metric"""))
 def signed_epr(spark, sf):
-    return early.signed_epr(*inputs(spark, sf, "fx_edges_dup")).withColumn("value", r6("value"))
+    return early.signed_epr(*fixture_pair(spark, sf, "fx_edges_dup")).withColumn("value", r6("value"))
 
 
 def _early_ctes(kind: str) -> dict[str, str]:
@@ -258,7 +258,7 @@ def _early_query(kind):
     @query(f"early_pr_{kind}",
            with_fixtures(["fx_ground_truth", "fx_edges_dup"], _early_ctes(kind), EARLY_OUT))
     def run(spark, sf):
-        out = early.early_pr(*inputs(spark, sf, "fx_edges_dup"), kind)
+        out = early.early_pr(*fixture_pair(spark, sf, "fx_edges_dup"), kind)
         return out.select(*KEYS, *[r6(c).alias(c) for c in out.columns if c not in KEYS])
 
 
@@ -289,7 +289,7 @@ JACCARD = {
 
 @query("jaccard", with_fixtures(ALL, JACCARD, SPREAD.format(m="jaccard")))
 def jaccard(spark, sf):
-    out = stability.jaccard(*inputs(spark, sf))
+    out = stability.jaccard(*fixture_pair(spark, sf))
     return out.select("dataset_id", "algorithm_id", r6("median_jaccard").alias("median_jaccard"),
                       r6("mad_jaccard").alias("mad_jaccard"))
 
@@ -309,7 +309,7 @@ SPEARMAN = {
 
 @query("spearman", with_fixtures(ALL, SPEARMAN, SPREAD.format(m="spearman")))
 def spearman(spark, sf):
-    out = stability.spearman(*inputs(spark, sf))
+    out = stability.spearman(*fixture_pair(spark, sf))
     return out.select("dataset_id", "algorithm_id", r6("median_spearman").alias("median_spearman"),
                       r6("mad_spearman").alias("mad_spearman"))
 
@@ -367,7 +367,7 @@ def _motif_value(m: str) -> str:
 @query("motif_ratios", with_fixtures(ALL, MOTIF_CTES,
        f"SELECT {K}, {', '.join(_motif_value(m) for m in ('fbl', 'ffl', 'mi'))} FROM lists l"))
 def motif_ratios(spark, sf):
-    out = graph.motif_ratios(*inputs(spark, sf))
+    out = graph.motif_ratios(*fixture_pair(spark, sf))
     return out.select(*KEYS, *[r6(m).alias(m) for m in graph.MOTIFS])
 
 
@@ -400,7 +400,7 @@ PATH_CTES = {
     ["fx_ground_truth", "fx_edges_unsorted"], PATH_CTES).removeprefix("WITH ").rstrip()
 ).replace("{K}", K).replace("{depth}", "(SELECT COUNT(DISTINCT gene1) FROM truth)"))
 def path_stats(spark, sf):
-    return graph.path_stats(*inputs(spark, sf, "fx_edges_unsorted"))
+    return graph.path_stats(*fixture_pair(spark, sf, "fx_edges_unsorted"))
 
 
 # ---- primitives -------------------------------------------------------------
@@ -450,24 +450,24 @@ for _kind in primitives.UNIVERSES:
 @query("align", with_fixtures(ALL, {k: v for k, v in area_ctes().items() if k in ("genes", "truth", "uni", "best", "lists", "grid")},
        f"SELECT {K}, gene1, gene2, score FROM grid"))
 def p_align(spark, sf):
-    return primitives.align(*inputs(spark, sf))
+    return primitives.align(*fixture_pair(spark, sf))
 
 
 @query("topk_ties", with_fixtures(ALL, {k: v for k, v in JACCARD.items() if k in ("ks", "best", "cand", "cut", "selected")},
        f"SELECT {K}, gene1, gene2, score FROM selected"))
 def p_topk_ties(spark, sf):
-    edges, gt = inputs(spark, sf)
+    edges, gt = fixture_pair(spark, sf)
     return primitives.topk_ties(edges, primitives.k_rows(gt))
 
 
 @query("topk_plain", with_fixtures(ALL, {k: MOTIF_CTES[k] for k in ("truth", "ks", "top")}, f"SELECT {K}, gene1, gene2 FROM top"))
 def p_topk_plain(spark, sf):
-    edges, gt = inputs(spark, sf)
+    edges, gt = fixture_pair(spark, sf)
     return primitives.topk_plain(edges, primitives.k_true(gt))
 
 
 @query("topk_positional", with_fixtures(["fx_ground_truth", "fx_edges_unsorted"], PATH_CTES,
        f"SELECT {K}, gene1, gene2, w AS score FROM numbered JOIN cutw USING ({K}) WHERE w >= cutoff"))
 def p_topk_positional(spark, sf):
-    edges, gt = inputs(spark, sf, "fx_edges_unsorted")
+    edges, gt = fixture_pair(spark, sf, "fx_edges_unsorted")
     return primitives.topk_positional(edges, primitives.k_true(gt))

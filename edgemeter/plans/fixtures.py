@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgemeter.schema import PAIR
+from edgemeter.session import scratch_path
 
 BASE_TABLES = ["lineitem", "orders", "customer", "supplier", "part", "events", "embeddings"]
 
@@ -102,10 +102,22 @@ def with_fixtures(names: list[str], ctes: dict[str, str] | None = None, body: st
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for table in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(with_fixtures([name], body=f"SELECT * FROM {name}"))
+    """The named input as a Parquet table in the shared folder, written once
+    per application; edge lists usually arrive as tables, not as joins."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        for table in BASE_TABLES:
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        for need in NEEDS.get(name, []):
+            fixture(spark, sf_dir, need).createOrReplaceTempView(need)
+        path = scratch_path(spark, name)
+        spark.sql(BODIES[name]).write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
 
 
 def embedding_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +143,4 @@ SELECT 'emb' AS dataset_id, 'r1' AS run_id, 'd'||CAST(i - 1 AS VARCHAR) AS gene,
        CAST(v AS DOUBLE) AS value
 FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) t"""
 
-__all__ = ["BODIES", "EMBEDDING_SQL", "PAIR", "embedding_expression", "fixture", "with_fixtures"]
+__all__ = ["BODIES", "EMBEDDING_SQL", "embedding_expression", "fixture", "with_fixtures"]
