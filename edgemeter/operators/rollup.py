@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import ratio
 from edgemeter.operators.primitives import drop_self_loops, gt_genes
+from edgemeter.session import checkpointed
 
 
 def signed_baselines(gt: DataFrame) -> DataFrame:
@@ -80,6 +81,8 @@ def summary(sections: list[DataFrame], lead: str = "auprc_ratio") -> DataFrame:
     rows = sections[0]
     for part in sections[1:]:
         rows = rows.unionByName(part)
+    # A few rows per list, read three times below: do not run the metrics thrice.
+    rows = checkpointed(rows)
     order = order_algorithms(rows.filter(F.col("section") == lead), rows)
     # One array of the few table columns, so that every algorithm gets each.
     columns = rows.agg(F.collect_set(F.struct("section", "dataset_id")).alias("_c"))

@@ -33,6 +33,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> dict[str, Entry]:
     """Import the modules that register queries."""
-    from edgemeter.plans import evaluation_queries, rollup_queries  # noqa: F401
+    from edgemeter.plans import (  # noqa: F401
+        evaluation_queries,
+        matrix_queries,
+        rollup_queries,
+    )
 
     return CATALOG

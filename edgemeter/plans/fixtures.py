@@ -99,7 +99,7 @@ def with_fixtures(names: list[str], ctes: dict[str, str] | None = None, body: st
     """A WITH query over the named fixtures, further CTEs and a final select."""
     parts = [f"{n} AS ({BODIES[n]})" for n in _closure(names)]
     parts += [f"{n} AS ({sql})" for n, sql in (ctes or {}).items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 _STAGED: dict[tuple[str, str, str], str] = {}
