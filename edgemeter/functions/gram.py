@@ -47,14 +47,36 @@ def _block_product(columns: list[str]):
     return multiply
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """Send every row of block `_b` to all pairs (_lo, _hi) its block is in."""
+    return rows.withColumn(
+        "_p", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    ).select(
+        *[c for c in rows.columns if c != "_blocks"],
+        F.least("_b", "_p").alias("_lo"),
+        F.greatest("_b", "_p").alias("_hi"),
+    )
+
+
 def pair_products(
-    rows: DataFrame, group: list[str], item: str, feature: str, value: str
+    rows: DataFrame,
+    group: list[str],
+    item: str,
+    feature: str,
+    value: str,
+    every_pair: bool = False,
 ) -> DataFrame:
     """(group, item_a, item_b, dot) for item_a <= item_b, the diagonal included.
 
     `rows` is sparse: one row per (group, item, feature), absent means 0. Pairs
-    that share no chunk are absent and mean 0.
+    that share no chunk are absent and mean 0, unless `every_pair` makes all
+    items meet on one extra feature of value 0; `feature` is a string then.
     """
+    if every_pair:
+        meeting = rows.select(*group, item).distinct().select(
+            *group, item, F.lit("\x00").alias(feature), F.lit(0.0).alias(value)
+        )
+        rows = rows.select(*group, item, feature, value).unionByName(meeting)
     sizes = rows.groupBy(*group).agg(
         F.ceil(F.approx_count_distinct(item) / ITEMS).cast("int").alias("_blocks"),
         F.ceil(F.approx_count_distinct(feature) / FEATURES).cast("int").alias("_chunks"),
@@ -68,14 +90,11 @@ def pair_products(
             F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).alias("v"))).alias("_e")
         )
         .select(
-            *group, "_b", "_c", "_item", "_e.f", "_e.v",
-            F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_p"),
-        )
-        .select(
-            *group, "_b", "_c", "_item", F.col("f").alias("_f"), F.col("v").alias("_v"),
-            F.least("_b", "_p").alias("_lo"), F.greatest("_b", "_p").alias("_hi"),
+            *group, "_blocks", "_b", "_c", "_item",
+            F.col("_e.f").alias("_f"), F.col("_e.v").alias("_v"),
         )
     )
+    packed = block_pairs(packed)
     types = dict(rows.dtypes)
     schema = ", ".join(
         [f"{c} {types[c]}" for c in group]

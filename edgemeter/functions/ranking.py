@@ -194,3 +194,31 @@ def exact_percentiles(
     )
     q = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_frac")
     return picked.select(*keys, "prob_ix", "prob", q.alias("q"))
+
+
+def rank_offsets(
+    rows: DataFrame, keys: list[str], by: str, sizes: DataFrame, on: list[str], size: str
+) -> DataFrame:
+    """(keys, by, n, d, size, present) of the distinct non-zero values.
+
+    Every group holds `size` values of which only the non-zero ones are rows.
+    d is a value's mid-rank minus the mid-rank of zero, so that absent entries
+    have d = 0 and sums over the present rows are complete.
+    """
+    hist = rows.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("n"))
+    totals = (
+        hist.groupBy(*keys)
+        .agg(
+            F.sum("n").alias("present"),
+            F.sum(F.when(F.col(by) < 0, F.col("n")).otherwise(0)).alias("_negative"),
+        )
+        .join(sizes.select(*on, size), on)
+    )
+    ranked = salted_join(
+        cumulate(hist, keys, by, ["n"], descending=False), totals, keys, [by]
+    )
+    zeros = F.col(size) - F.col("present")
+    own = F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)
+    own = own + F.when(F.col(by) > 0, zeros).otherwise(F.lit(0))
+    d = own - (F.col("_negative") + (zeros + 1) / F.lit(2.0))
+    return ranked.select(*keys, by, "n", d.alias("d"), size, "present")

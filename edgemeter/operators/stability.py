@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from edgemeter.functions.columns import ratio
 from edgemeter.functions.gram import pair_products
 from edgemeter.functions.joins import salted_join
-from edgemeter.functions.ranking import cumulate
+from edgemeter.functions.ranking import rank_offsets
 from edgemeter.operators.primitives import (
     best_signed,
     k_rows,
@@ -80,22 +80,11 @@ def _rank_offsets(edges: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame
     weights = mark_universe(best_signed(edges), gt).filter(
         F.col("inside") & (F.col("weight") != 0)
     ).select(*KEYS, *PAIR, "weight")
-    hist = weights.groupBy(*KEYS, "weight").agg(F.count(F.lit(1)).alias("n"))
-    totals = hist.groupBy(*KEYS).agg(
-        F.sum("n").alias("_present"),
-        F.sum(F.when(F.col("weight") < 0, F.col("n")).otherwise(0)).alias("_negative"),
-    ).join(universe_sizes(gt), "dataset_id")
-    ranked = salted_join(
-        cumulate(hist, KEYS, "weight", ["n"], descending=False), totals, KEYS, ["weight"]
-    )
-    zeros = F.col("n_pairs") - F.col("_present")
-    own = F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)
-    own = own + F.when(F.col("weight") > 0, zeros).otherwise(F.lit(0))
-    ranked = ranked.withColumn("d", own - (F.col("_negative") + (zeros + 1) / F.lit(2.0)))
+    ranked = rank_offsets(weights, KEYS, "weight", universe_sizes(gt), ["dataset_id"], "n_pairs")
     n, d = F.col("n").cast("double"), F.col("d")
     sums = ranked.groupBy(*KEYS, "n_pairs").agg(
         F.sum(n * d).alias("s"), F.sum(n * d * d).alias("ss"),
-        F.count(F.lit(1)).alias("_values"), F.first("_present").alias("_present"),
+        F.count(F.lit(1)).alias("_values"), F.first("present").alias("_present"),
     )
     varied = (F.col("_values") > 1) | (F.col("_present") < F.col("n_pairs"))
     rows = salted_join(weights, ranked.select(*KEYS, "weight", "d"), [*KEYS, "weight"], PAIR)

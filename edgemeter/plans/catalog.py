@@ -36,6 +36,7 @@ def load() -> dict[str, Entry]:
     from edgemeter.plans import (  # noqa: F401
         evaluation_queries,
         matrix_queries,
+        network_queries,
         rollup_queries,
     )
 
