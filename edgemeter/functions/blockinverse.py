@@ -6,63 +6,18 @@ updates all other blocks in parallel, so no task holds more than four blocks.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgemeter.functions.joins import salted_join
+from edgemeter.functions.kernels import block_entries, eliminate_block, fill_block
 from edgemeter.session import checkpointed
 
 BLOCK = 128
 
 
-def _fill(group: list[str]):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        height, width = int(pdf["_h"].iloc[0]), int(pdf["_w"].iloc[0])
-        dense = np.zeros((height, width))
-        dense[pdf["_r"].to_numpy(), pdf["_c"].to_numpy()] = pdf["v"].to_numpy()
-        row = {c: [pdf[c].iloc[0]] for c in [*group, "bi", "bj"]}
-        return pd.DataFrame({**row, "h": [height], "w": [width], "a": [dense.ravel()]})
-
-    return build
-
-
-def _update(group: list[str], k: int):
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        bi, bj, a = r["bi"], r["bj"], r["a"]
-        if r["p"] is not None:
-            size = int(r["ph"])
-            inverse = np.linalg.inv(np.asarray(r["p"]).reshape(size, size))
-            block = np.asarray(a).reshape(int(r["h"]), int(r["w"]))
-            if bi == k and bj == k:
-                block = inverse
-            elif bi == k:
-                block = inverse @ block
-            elif bj == k:
-                block = -block @ inverse
-            else:
-                left = np.asarray(r["left"]).reshape(int(r["h"]), size)
-                up = np.asarray(r["up"]).reshape(size, int(r["w"]))
-                block = block - left @ inverse @ up
-            a = block.ravel()
-        row = {c: [r[c]] for c in [*group, "bi", "bj", "h", "w"]}
-        return pd.DataFrame({**row, "a": [a]})
-
-    return step
-
-
-def _spread(group: list[str], size: int):
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        h, w = int(r["h"]), int(r["w"])
-        i, j = np.indices((h, w)).reshape(2, -1)
-        out = {c: np.repeat(r[c], h * w) for c in group}
-        out |= {"i": i + r["bi"] * size, "j": j + r["bj"] * size, "v": np.asarray(r["a"])}
-        return pd.DataFrame(out)
-
-    return entries
+def _round(group: list[str], k: int):
+    return lambda pdf: eliminate_block(pdf, group, k)
 
 
 def block_inverse(
@@ -79,7 +34,9 @@ def block_inverse(
         F.expr(f"cast(i div {block} as int)").alias("bi"), F.expr(f"cast(j div {block} as int)").alias("bj"),
         (F.col("i") % size).cast("int").alias("_r"), (F.col("j") % size).cast("int").alias("_c"), "n",
     ).withColumn("_h", extent("bi")).withColumn("_w", extent("bj"))
-    blocks = checkpointed(cells.groupBy(*group, "bi", "bj").applyInPandas(_fill(group), schema))
+    blocks = checkpointed(cells.groupBy(*group, "bi", "bj").applyInPandas(
+        lambda pdf: fill_block(pdf, group), schema
+    ))
     rounds = (blocks.agg(F.max("bi")).first()[0] or 0) + 1
     for k in range(rounds):
         row = blocks.filter(F.col("bi") == k)
@@ -94,7 +51,9 @@ def block_inverse(
             .join(left, [*group, "bi"], "left")
         )
         blocks = checkpointed(
-            joined.groupBy(*group, "bi", "bj").applyInPandas(_update(group, k), schema)
+            joined.groupBy(*group, "bi", "bj").applyInPandas(_round(group, k), schema)
         )
     out = f"{keys}, i long, j long, v double"
-    return blocks.groupBy(*group, "bi", "bj").applyInPandas(_spread(group, block), out)
+    return blocks.groupBy(*group, "bi", "bj").applyInPandas(
+        lambda pdf: block_entries(pdf, group, block), out
+    )

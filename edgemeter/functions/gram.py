@@ -8,45 +8,16 @@ a group, and only finished block products are shuffled and summed.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgemeter.functions.joins import salted_join
+from edgemeter.functions.kernels import block_product
 
 ITEMS = 128
 FEATURES = 4096
 
 
-def _block_product(columns: list[str]):
-    """Task-side product of the two item blocks of one feature chunk."""
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["_f"].map(len).to_numpy()
-        codes, names = pd.factorize(np.concatenate(pdf["_f"].to_numpy()))
-        dense = np.zeros((len(pdf), len(names)))
-        dense[np.repeat(np.arange(len(pdf)), lengths), codes] = np.concatenate(
-            pdf["_v"].to_numpy()
-        )
-        block, item = pdf["_b"].to_numpy(), pdf["_item"].to_numpy()
-        low, high = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        dots = dense[left] @ dense[right].T
-        rows, cols = (
-            np.triu_indices(len(left)) if low == high else np.indices(dots.shape).reshape(2, -1)
-        )
-        first, second = item[left[rows]], item[right[cols]]
-        swap = first > second
-        out = {c: np.repeat(pdf[c].iloc[0], len(rows)) for c in columns}
-        out["item_a"] = np.where(swap, second, first)
-        out["item_b"] = np.where(swap, first, second)
-        out["dot"] = dots[rows, cols]
-        return pd.DataFrame(out)
-
-    return multiply
-
-
 def block_pairs(rows: DataFrame) -> DataFrame:
     """Send every row of block `_b` to all pairs (_lo, _hi) its block is in."""
     return rows.withColumn(
@@ -101,6 +72,6 @@ def pair_products(
         + [f"item_a {types[item]}", f"item_b {types[item]}", "dot double"]
     )
     partial = packed.groupBy(*group, "_lo", "_hi", "_c").applyInPandas(
-        _block_product(group), schema
+        lambda pdf: block_product(pdf, group), schema
     )
     return partial.groupBy(*group, "item_a", "item_b").agg(F.sum("dot").alias("dot"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import ratio, valid_number
 from edgemeter.functions.gram import block_pairs, pair_products
 from edgemeter.functions.joins import salted_join
+from edgemeter.functions.kernels import zero_inflated
 from edgemeter.functions.ranking import HASH_BITS, exact_percentiles, global_rank, pair_hash
 from edgemeter.operators.preprocess import GENE, cell_counts
 from edgemeter.schema import CELL_KEYS, PAIR
@@ -172,80 +171,6 @@ def series_pairs(rows: DataFrame, group: list[str], feature: str) -> DataFrame:
     return block_pairs(placed)
 
 
-def _dense(pdf: pd.DataFrame, width: int | None = None) -> np.ndarray:
-    """Genes by features; integer features are positions when `width` is given."""
-    lengths = pdf["_f"].map(len).to_numpy()
-    names = np.concatenate(pdf["_f"].to_numpy())
-    codes, width = (names, width) if width else (lambda c, u: (c, len(u)))(*pd.factorize(names))
-    out = np.zeros((len(pdf), width))
-    out[np.repeat(np.arange(len(pdf)), lengths), codes] = np.concatenate(pdf["_v"].to_numpy())
-    return out
-
-
-def inversions(values: np.ndarray) -> int:
-    """Pairs i < j with values[i] > values[j], bit by bit from the top."""
-    ranks = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    total = 0
-    for bit in range(max(int(ranks.max(initial=0)).bit_length(), 1) - 1, -1, -1):
-        prefix = ranks >> (bit + 1)
-        order = np.argsort(prefix, kind="stable")
-        ones = (ranks[order] >> bit) & 1
-        before = np.cumsum(ones) - ones
-        starts = np.searchsorted(prefix[order], prefix[order], side="left")
-        total += int(((before - before[starts]) * (1 - ones)).sum())
-    return total
-
-
-def kendall(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b; 0 where undefined."""
-    n = len(x)
-
-    def tied(*columns):
-        counts = np.unique(np.stack(columns), axis=1, return_counts=True)[1]
-        return int((counts * (counts - 1) // 2).sum())
-
-    if n < 2:
-        return 0.0
-    pairs = n * (n - 1) // 2
-    tx, ty, both = tied(x), tied(y), tied(x, y)
-    root = np.sqrt(float(pairs - tx) * float(pairs - ty))
-    if root == 0:
-        return 0.0
-    discordant = inversions(y[np.lexsort((y, x))])
-    return (pairs - tx - ty + both - 2 * discordant) / root
-
-
-def _zero_inflated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """tau11 and both exceedance shares of every gene pair of two blocks."""
-    dense, genes, block = _dense(pdf), pdf["gene"].to_numpy(), pdf["_b"].to_numpy()
-    low, high = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-    present = dense != 0
-
-    def exceed(i, j):
-        """Share of i's values where j is 0 above those where j is not."""
-        with_j = np.sort(dense[i, present[i] & present[j]])
-        alone = dense[i, present[i] & ~present[j]]
-        if len(with_j) == 0:
-            return 1.0
-        if len(alone) == 0:
-            return 0.0
-        return np.searchsorted(with_j, alone, side="left").sum() / (len(with_j) * len(alone))
-
-    rows = []
-    for i in np.flatnonzero(block == low):
-        for j in np.flatnonzero(block == high):
-            if genes[i] == genes[j] or (low == high and genes[i] > genes[j]):
-                continue
-            a, b = (i, j) if genes[i] < genes[j] else (j, i)
-            shared = present[a] & present[b]
-            tau = kendall(dense[a, shared], dense[b, shared])
-            rows.append((genes[a], genes[b], int(shared.sum()), tau, exceed(a, b), exceed(b, a)))
-    out = pd.DataFrame(rows, columns=["item_a", "item_b", "n11", "tau", "p1_ab", "p1_ba"])
-    for i, key in enumerate(CELL_KEYS):
-        out.insert(i, key, pdf[key].iloc[0])
-    return out
-
-
 def zikendall(expr: DataFrame, diagonal: bool = False) -> DataFrame:
     """Zero-inflated Kendall association."""
     present = expr.filter(F.col("value") != 0).select(*GENE, "cell", "value")
@@ -258,7 +183,7 @@ def zikendall(expr: DataFrame, diagonal: bool = False) -> DataFrame:
     pairs = (
         series_pairs(present.unionByName(anchors), CELL_KEYS, "cell")
         .groupBy(*CELL_KEYS, "_lo", "_hi")
-        .applyInPandas(_zero_inflated, schema)
+        .applyInPandas(lambda pdf: zero_inflated(pdf, CELL_KEYS), schema)
     )
     if diagonal:
         own = counts.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from edgemeter.functions.columns import ratio, valid_number
 from edgemeter.functions.joins import salted_join
 from edgemeter.functions.ranking import global_rank
-from edgemeter.operators.primitives import NOT_SELF
+from edgemeter.operators.primitives import not_self
 from edgemeter.schema import KEYS, PAIR
 
 RUN = ["dataset_id", "run_id"]
@@ -24,7 +24,7 @@ def borda_scores(edges: DataFrame) -> DataFrame:
     repeated edge keeps its worst rank; an absent edge ranks one past the end
     of the list.
     """
-    rows = edges.filter(NOT_SELF & valid_number("weight"))
+    rows = edges.filter(not_self() & valid_number("weight"))
     ranked = global_rank(rows, KEYS, "weight", "ord")
     worst = ranked.groupBy(*KEYS, *PAIR).agg(F.max("rank").alias("rank"))
     # An algorithm has few entries per edge and per run: one each.
@@ -33,7 +33,7 @@ def borda_scores(edges: DataFrame) -> DataFrame:
     )
     n_edges = present.groupBy(*RUN).agg(F.count(F.lit(1)).alias("_n"))
     lengths = edges.groupBy(*KEYS).agg(
-        F.count_if(NOT_SELF & valid_number("weight")).alias("_len")
+        F.count_if(not_self() & valid_number("weight")).alias("_len")
     )
     algorithms = lengths.groupBy(*RUN).agg(
         F.collect_list(F.struct("algorithm_id", "_len")).alias("_algos")

@@ -14,7 +14,7 @@ from edgemeter.functions.columns import ratio, valid_number
 from edgemeter.functions.joins import salted_join
 from edgemeter.functions.ranking import cumulate
 from edgemeter.operators.primitives import (
-    NOT_SELF,
+    not_self,
     best_abs,
     label_true,
     mark_universe,
@@ -169,7 +169,7 @@ def signed_pr_roc(edges: DataFrame, gt: DataFrame, kind: str = "directed") -> Da
 def drop_self_loops_signs(gt: DataFrame) -> DataFrame:
     """(dataset_id, gene1, gene2, _not_plus, _not_minus) of non-self edges."""
     return (
-        gt.filter(NOT_SELF)
+        gt.filter(not_self())
         .groupBy("dataset_id", *PAIR)
         .agg(
             F.max((~F.col("type").eqNullSafe("+")).cast("int")).alias("_not_plus"),
@@ -197,7 +197,7 @@ def _sign_sizes(gt: DataFrame, kind: str, sign: str) -> DataFrame:
 def _prediction_curve(edges: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cumulative histogram over raw signed weights, and per-list totals."""
     copies = (
-        edges.filter(NOT_SELF & valid_number("weight"))
+        edges.filter(not_self() & valid_number("weight"))
         .groupBy(*KEYS, *PAIR, "weight")
         .agg(F.count(F.lit(1)).alias("copies"))
     )

@@ -9,7 +9,7 @@ from edgemeter.functions.columns import half_even, ratio, valid_number
 from edgemeter.functions.joins import mark_member, salted_join
 from edgemeter.functions.ranking import cumulate
 from edgemeter.operators.primitives import (
-    NOT_SELF,
+    not_self,
     best_abs,
     chosen,
     drop_self_loops,
@@ -106,7 +106,7 @@ def signed_epr(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None)
         F.sum(c * minus * (1 - plus)).alias("hits_minus"),
     )
     genes = gt_genes(signed).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_g"))
-    per_sign = flags.filter(NOT_SELF).groupBy("dataset_id").agg(
+    per_sign = flags.filter(not_self()).groupBy("dataset_id").agg(
         F.sum("_plus").alias("k_plus"), F.sum("_minus").alias("k_minus")
     )
     sizes = genes.join(per_sign, "dataset_id", "left").select(

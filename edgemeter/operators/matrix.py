@@ -13,7 +13,7 @@ from edgemeter.functions.ranking import (
     global_rank,
     pair_hash,
 )
-from edgemeter.operators.primitives import NOT_SELF
+from edgemeter.operators.primitives import not_self
 from edgemeter.schema import CELL_KEYS, PAIR
 
 TRAJECTORY = [*CELL_KEYS, "trajectory"]
@@ -167,7 +167,7 @@ def filter_expression(expr: DataFrame, genes: DataFrame) -> DataFrame:
 def filter_network(net: DataFrame, genes: DataFrame) -> DataFrame:
     """Edges between chosen genes, without self-loops and repeated rows."""
     chosen = genes.select("dataset_id", "gene").distinct()
-    rows = net.filter(NOT_SELF)
+    rows = net.filter(not_self())
     for end in PAIR:
         spread = "gene2" if end == "gene1" else "gene1"
         rows = salted_join(

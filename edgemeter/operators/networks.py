@@ -3,11 +3,8 @@ A19, A20)."""
 
 from __future__ import annotations
 
-from math import lgamma
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -17,9 +14,9 @@ from edgemeter.functions.blockinverse import BLOCK, block_inverse
 from edgemeter.functions.columns import ratio, valid_number
 from edgemeter.functions.gram import pair_products
 from edgemeter.functions.joins import salted_join
+from edgemeter.functions.kernels import lagged, t_pvalue
 from edgemeter.functions.ranking import mid_ranks, rank_offsets
 from edgemeter.operators.association import (
-    _dense,
     _products,
     _with_both,
     both_directions,
@@ -33,49 +30,6 @@ from edgemeter.session import checkpointed, scratch_path
 # ---- partial rank correlation -----------------------------------------------
 
 
-def _two_sided_t(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Two-sided Student p-value: the regularised incomplete beta function
-    I_x(df/2, 1/2) at x = df / (df + t^2), by its continued fraction."""
-    tiny = 1e-300
-
-    def fraction(a, b, x):
-        c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
-        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-        h = d.copy()
-        for m in range(1, 500):
-            for top in (
-                m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-            ):
-                d = 1 + top * d
-                d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-                c = 1 + top / c
-                c = np.where(np.abs(c) < tiny, tiny, c)
-                h *= d * c
-            if np.all(np.abs(d * c - 1) < 1e-15):
-                break
-        return h
-
-    a, b = df / 2, np.full_like(df, 0.5)
-    x = df / (df + t * t)
-    shapes, which = np.unique(a, return_inverse=True)
-    log_beta = np.array([lgamma(v) + lgamma(0.5) - lgamma(v + 0.5) for v in shapes])[which]
-    with np.errstate(divide="ignore"):
-        front = np.exp(a * np.log(x) + b * np.log1p(-x) - log_beta)
-    small = x < (a + 1) / (a + b + 2)
-    direct = front * fraction(a, b, np.where(small, x, 0.0)) / a
-    mirror = 1 - front * fraction(b, a, np.where(small, 0.0, 1 - x)) / b
-    return np.where(x >= 1, 1.0, np.where(small, direct, mirror))
-
-
-@F.pandas_udf("double")
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    known = (t.notna() & df.notna()).to_numpy()
-    out = np.full(len(t), np.nan)
-    out[known] = _two_sided_t(t.to_numpy(float)[known], df.to_numpy(float)[known])
-    return pd.Series(out).replace({np.nan: None}).astype("float64")
-
-
 def partial_spearman(expr: DataFrame, block: int = BLOCK) -> DataFrame:
     """(dataset_id, run_id, gene1, gene2, weight, p_value): correlation of the
     gene ranks given all other genes, self pairs included.
@@ -131,11 +85,12 @@ def partial_spearman(expr: DataFrame, block: int = BLOCK) -> DataFrame:
     own = F.col("i") == F.col("j")
     weight = F.when(own, 1.0).otherwise(-F.col("v") / F.sqrt(F.col("di") * F.col("dj")))
     out = inverse.join(sizes, CELL_KEYS).withColumn("weight", weight)
+    pvalue = F.pandas_udf(t_pvalue, "double")
     df = (F.col("n_cells") - F.col("n")).cast("double")  # n_cells - 2 - (genes - 2)
     t = F.col("weight") * F.sqrt(df / F.greatest(F.lit(1e-300), 1 - F.col("weight") ** 2))
     return out.select(
         *CELL_KEYS, *PAIR, "weight",
-        F.when(own, 0.0).otherwise(t_pvalue(F.when(~own, t), df)).alias("p_value"),
+        F.when(own, 0.0).otherwise(pvalue(F.when(~own, t), df)).alias("p_value"),
     )
 
 
@@ -149,40 +104,6 @@ def gate_pvalue(pairs: DataFrame, cutoff: float) -> DataFrame:
 # ---- lagged correlation -----------------------------------------------------
 
 
-def _lagged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Largest absolute correlation over the lags for the gene pairs of two blocks."""
-    n, max_lag = int(pdf["n"].iloc[0]), int(pdf["max_lag"].iloc[0])
-    dense, genes, block = _dense(pdf, n), pdf["gene"].to_numpy(), pdf["_b"].to_numpy()
-    low, high = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-    window = n - max_lag
-
-    def unit(x):
-        x = x - x.mean(axis=1, keepdims=True)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        flat = norm <= 1e-12 * np.maximum(1.0, np.abs(x).max(axis=1, keepdims=True, initial=0.0))
-        return np.where(flat, np.nan, x / np.where(flat, 1.0, norm))
-
-    parts = []
-    sides = [(low, high)] if low == high else [(low, high), (high, low)]
-    for first, second in sides:
-        a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        lead = unit(dense[a, :window])
-        best = np.full((len(a), len(b)), np.nan)
-        lag_of = np.zeros(best.shape, dtype=int)
-        for lag in range(max_lag + 1):
-            r = lead @ unit(dense[b, lag : lag + window]).T
-            better = ~np.isnan(r) & (np.isnan(best) | (np.abs(r) > np.abs(best) + 1e-12))
-            best[better], lag_of[better] = r[better], lag
-        i, j = np.nonzero(~np.isnan(best) & (genes[a][:, None] != genes[b][None, :]))
-        parts.append(pd.DataFrame({
-            "gene1": genes[a][i], "gene2": genes[b][j], "weight": best[i, j], "lag": lag_of[i, j],
-        }))
-    out = pd.concat(parts, ignore_index=True)
-    for i, key in enumerate(TRAJECTORY):
-        out.insert(i, key, pdf[key].iloc[0])
-    return out
-
-
 def lagged_network(expr: DataFrame, pt: DataFrame, max_lag: float = 0.33) -> DataFrame:
     """(dataset_id, run_id, trajectory, gene1, gene2, weight, lag): signed
     correlation of largest size over lags 0..floor(max_lag * cells), gene1
@@ -197,7 +118,8 @@ def lagged_network(expr: DataFrame, pt: DataFrame, max_lag: float = 0.33) -> Dat
     types = dict(pt.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in TRAJECTORY)
     return packed.groupBy(*TRAJECTORY, "_lo", "_hi").applyInPandas(
-        _lagged, schema + ", gene1 string, gene2 string, weight double, lag int"
+        lambda pdf: lagged(pdf, TRAJECTORY),
+        schema + ", gene1 string, gene2 string, weight double, lag int",
     )
 
 

@@ -10,12 +10,15 @@ from edgemeter.functions.joins import mark_member, salted_join
 from edgemeter.functions.ranking import chunk_of, cumulate, number_rows, rank_blocks
 from edgemeter.schema import KEYS, PAIR
 
-NOT_SELF = F.col("gene1") != F.col("gene2")
 UNIVERSES = ("directed", "tf", "tf_self", "undirected")
 
 
+def not_self() -> Column:
+    return F.col("gene1") != F.col("gene2")
+
+
 def drop_self_loops(edges: DataFrame) -> DataFrame:
-    return edges.filter(NOT_SELF)
+    return edges.filter(not_self())
 
 
 def best_abs(edges: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def universe(gt: DataFrame, kind: str = "directed") -> DataFrame:
     if kind == "undirected":
         pairs = pairs.filter(F.col("gene1") < F.col("gene2"))
     elif kind != "tf_self":
-        pairs = pairs.filter(NOT_SELF)
+        pairs = pairs.filter(not_self())
     return pairs.select("dataset_id", *PAIR)
 
 
@@ -157,7 +160,7 @@ def mark_universe(rows: DataFrame, gt: DataFrame, kind: str = "directed") -> Dat
     rows = mark_member(
         rows, genes.withColumnRenamed("gene", "gene2"), ["dataset_id", "gene2"], spread, "_in2"
     )
-    valid = F.col("gene1") < F.col("gene2") if kind == "undirected" else NOT_SELF
+    valid = F.col("gene1") < F.col("gene2") if kind == "undirected" else not_self()
     return rows.withColumn("inside", valid & F.col("_in1") & F.col("_in2")).drop("_in1", "_in2")
 
 

@@ -19,7 +19,6 @@ from edgemeter.operators.primitives import (
 from edgemeter.schema import KEYS, PAIR
 
 ALGO = ["dataset_id", "algorithm_id"]
-EDGE = F.concat_ws("\t", *PAIR)
 
 
 def _run_pairs(runs: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,7 +51,7 @@ def jaccard_pairs(edges: DataFrame, gt: DataFrame) -> DataFrame:
         chosen.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size")), KEYS, "left"
     ).fillna(0, ["size"])
     shared = pair_products(
-        chosen.select(*ALGO, "run_id", EDGE.alias("edge"), F.lit(1.0).alias("one")),
+        chosen.select(*ALGO, "run_id", F.concat_ws("\t", *PAIR).alias("edge"), F.lit(1.0).alias("one")),
         ALGO, "run_id", "edge", "one",
     )
     pairs = _run_pairs(sizes, ["size"]).join(shared, [*ALGO, "item_a", "item_b"], "left")
@@ -88,7 +87,7 @@ def _rank_offsets(edges: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame
     )
     varied = (F.col("_values") > 1) | (F.col("_present") < F.col("n_pairs"))
     rows = salted_join(weights, ranked.select(*KEYS, "weight", "d"), [*KEYS, "weight"], PAIR)
-    return rows.select(*KEYS, EDGE.alias("edge"), "d"), sums.filter(varied)
+    return rows.select(*KEYS, F.concat_ws("\t", *PAIR).alias("edge"), "d"), sums.filter(varied)
 
 
 def spearman_pairs(edges: DataFrame, gt: DataFrame) -> DataFrame:

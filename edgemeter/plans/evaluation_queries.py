@@ -155,7 +155,7 @@ POINTS = {
 
 
 @query("pr_curve", with_fixtures(ALL, {**POINTS, "areas": AREAS,
-       "placed": f"SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_id, run_id ORDER BY auprc DESC, algorithm_id) AS place FROM areas WHERE k > 0"},
+       "placed": f"SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY dataset_id, run_id ORDER BY auprc DESC, algorithm_id) AS INT) AS place FROM areas WHERE k > 0"},
        f"""SELECT c.{K.replace(', ', ', c.')}, ROUND(c.score, 6) + 0.0 AS threshold, ROUND(CAST(ch AS DOUBLE) / th, 6) + 0.0 AS recall,
        ROUND(CAST(ch AS DOUBLE) / cn, 6) + 0.0 AS precision, ROUND(p.auprc, 6) + 0.0 AS area, p.place FROM curve c JOIN placed p USING ({K})
        UNION ALL SELECT {K}, NULL, 0.0, 1.0, ROUND(auprc, 6) + 0.0, place FROM placed"""))
@@ -165,7 +165,7 @@ def pr_curve(spark, sf):
 
 
 @query("roc_curve", with_fixtures(ALL, {**POINTS, "areas": AREAS,
-       "placed": f"SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_id, run_id ORDER BY auroc DESC, algorithm_id) AS place FROM areas WHERE k > 0 AND k < pairs"},
+       "placed": f"SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY dataset_id, run_id ORDER BY auroc DESC, algorithm_id) AS INT) AS place FROM areas WHERE k > 0 AND k < pairs"},
        f"""SELECT c.{K.replace(', ', ', c.')}, ROUND(c.score, 6) + 0.0 AS threshold, ROUND(CAST(cn - ch AS DOUBLE) / (tn - th), 6) + 0.0 AS fpr,
        ROUND(CAST(ch AS DOUBLE) / th, 6) + 0.0 AS tpr, ROUND(p.auroc, 6) + 0.0 AS area, p.place FROM curve c JOIN placed p USING ({K})
        UNION ALL SELECT {K}, NULL, 0.0, 0.0, ROUND(auroc, 6) + 0.0, place FROM placed"""))
@@ -434,7 +434,7 @@ def _universe_query(kind):
 
     @query(f"universe_sizes_{kind}", with_fixtures(["fx_ground_truth"], {"genes": GENES, "uni": UNIVERSE[kind], "truth": truth},
            "SELECT dataset_id, COUNT(*) AS n_pairs, COUNT(t.gene1) AS n_true FROM uni LEFT JOIN truth t USING (dataset_id, gene1, gene2) GROUP BY dataset_id"
-           .replace("COUNT(t.gene1)", "SUM(CASE WHEN t.mark = 1 THEN 1 ELSE 0 END)").replace("LEFT JOIN truth t", "LEFT JOIN (SELECT *, 1 AS mark FROM truth) t")))
+           .replace("COUNT(t.gene1)", "COUNT(t.mark)").replace("LEFT JOIN truth t", "LEFT JOIN (SELECT *, 1 AS mark FROM truth) t")))
     def sizes(spark, sf):
         return primitives.universe_sizes(fixture(spark, sf, "fx_ground_truth"), kind)
 

@@ -66,7 +66,7 @@ def ordered_expression(spark, sf):
     "q": f"SELECT {C}, trajectory, QUANTILE_CONT(t, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS qs FROM {T} GROUP BY {C}, trajectory",
     "e": f"SELECT {C}, trajectory, list_sort(list_distinct(qs)) AS edges FROM q",
     "p": f"SELECT p.*, edges, GREATEST(len(list_filter(edges, lambda x: x < p.t)), 1) AS i FROM {T} p JOIN e USING ({C}, trajectory)"},
-    f"""SELECT {C}, cell, trajectory, t, i - 1 AS bin,
+    f"""SELECT {C}, cell, trajectory, t, CAST(i - 1 AS INT) AS bin,
       ROUND((ROUND_EVEN(edges[i], 3) - CASE WHEN i = 1 THEN 0.001 ELSE 0 END + ROUND_EVEN(edges[i + 1], 3)) / 2, 6) + 0.0 AS bin_time FROM p"""))
 def quantile_bins(spark, sf):
     return _round(matrix.quantile_bins(fixture(spark, sf, T), 10), "bin_time")
@@ -281,7 +281,7 @@ def per_lineage(spark, sf):
 
 @query("heat_slice", with_fixtures([X, T], {"j": JOINED,
        "o": f"SELECT dataset_id, gene, CAST(1 AS DOUBLE) / SUM(value) AS pvalue FROM {X} GROUP BY dataset_id, gene",
-       "top": "SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_id ORDER BY pvalue, gene) AS gene_place FROM o"},
+       "top": "SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY dataset_id ORDER BY pvalue, gene) AS INT) AS gene_place FROM o"},
        f"SELECT {C}, trajectory, j.gene, gene_place, cell, t, ROUND(value, 6) + 0.0 AS value FROM j JOIN top ON top.gene = j.gene WHERE gene_place <= 15"
        .replace("SELECT dataset_id, run_id", "SELECT j.dataset_id, j.run_id")))
 def heat_slice(spark, sf):

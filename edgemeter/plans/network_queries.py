@@ -148,11 +148,16 @@ def clr(spark, sf):
     return rounded(association.clr(edges), "weight")
 
 
-@query("rank_edges", with_fixtures([X], {**SPARSE, "k0": DOT, "k": f"SELECT {C}, gene1, gene2, weight FROM k0 UNION ALL SELECT {C}, gene2, gene1, weight FROM k0"},
-       f"""SELECT {C}, 'dotprod' AS algorithm_id, ROW_NUMBER() OVER (PARTITION BY {C} ORDER BY ROUND(ABS(weight), 3) DESC, ('0x'||substr(md5(gene1||'|'||gene2), 1, 15))::BIGINT) - 1 AS ord,
-       gene1, gene2, ROUND(weight, 3) + 0.0 AS weight FROM k"""))
+# Whole hundredths, so that products are exact and ties are real.
+WHOLE = dense_sql(f"SELECT dataset_id, run_id, gene, cell, ROUND(value * 100) AS value FROM {X}")
+
+
+@query("rank_edges", with_fixtures([X], {**WHOLE, "k0": DOT, "k": f"SELECT {C}, gene1, gene2, weight FROM k0 UNION ALL SELECT {C}, gene2, gene1, weight FROM k0"},
+       f"""SELECT {C}, 'dotprod' AS algorithm_id, ROW_NUMBER() OVER (PARTITION BY {C} ORDER BY ABS(weight) DESC, ('0x'||substr(md5(gene1||'|'||gene2), 1, 15))::BIGINT) - 1 AS ord,
+       gene1, gene2, weight FROM k"""))
 def rank_edges(spark, sf):
-    upper = association.assoc(_expr(spark, sf), "dotprod").withColumn("weight", F.round("weight", 3))
+    whole = _expr(spark, sf).withColumn("value", F.round(F.col("value") * 100))
+    upper = association.assoc(whole, "dotprod")
     return association.rank_edges(association.both_directions(upper), "dotprod")
 
 
@@ -203,7 +208,7 @@ LAG = {
     "o": f"SELECT *, ROW_NUMBER() OVER (PARTITION BY {C}, trajectory ORDER BY t, cell) - 1 AS ix, COUNT(*) OVER (PARTITION BY {C}, trajectory) AS n FROM {T}",
     "g": f"SELECT DISTINCT e.dataset_id, e.run_id, p.trajectory, e.gene FROM {X} e JOIN {T} p ON p.dataset_id = e.dataset_id AND p.run_id = e.run_id AND p.cell = e.cell",
     "s": f"SELECT o.dataset_id, o.run_id, o.trajectory, g.gene, o.ix, CAST(FLOOR(o.n * 0.33) AS INT) AS ml, o.n, COALESCE(e.value, 0) AS v FROM o JOIN g ON g.trajectory = o.trajectory LEFT JOIN {X} e ON e.gene = g.gene AND e.cell = o.cell",
-    "lags": "SELECT CAST(range AS INT) AS lag FROM range(0, 100000)",
+    "lags": "SELECT CAST(UNNEST(range(0, 1 + (SELECT MAX(ml) FROM s))) AS INT) AS lag",
     "b": "SELECT s.*, l.lag FROM s JOIN lags l ON l.lag <= s.ml AND s.ix >= l.lag AND s.ix < s.n - s.ml + l.lag",
     "r": """SELECT a.dataset_id, a.run_id, a.trajectory, a.gene AS gene1, b.gene AS gene2, b.lag, CASE WHEN STDDEV_POP(a.v) > 0 AND STDDEV_POP(b.v) > 0 THEN CORR(a.v, b.v) END AS r
       FROM s a JOIN b ON a.trajectory = b.trajectory AND b.ix = a.ix + b.lag AND a.ix < a.n - a.ml AND a.gene <> b.gene GROUP BY a.dataset_id, a.run_id, a.trajectory, a.gene, b.gene, b.lag""",

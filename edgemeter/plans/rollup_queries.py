@@ -41,7 +41,7 @@ def signed_baselines(spark, sf):
 RATIO_CTES = {
     **ev.area_ctes(), "base": BASE,
     "ratios": "SELECT a.dataset_id, a.algorithm_id, MEDIAN(auprc / total) AS value FROM areas a JOIN base b USING (dataset_id) WHERE total > 0 GROUP BY a.dataset_id, a.algorithm_id",
-    "ordered": "SELECT algorithm_id, m, ROW_NUMBER() OVER (ORDER BY m DESC, algorithm_id) AS place FROM (SELECT algorithm_id, MEDIAN(value) AS m FROM ratios GROUP BY algorithm_id) q",
+    "ordered": "SELECT algorithm_id, m, CAST(ROW_NUMBER() OVER (ORDER BY m DESC, algorithm_id) AS INT) AS place FROM (SELECT algorithm_id, MEDIAN(value) AS m FROM ratios GROUP BY algorithm_id) q",
 }
 
 
