@@ -45,7 +45,7 @@ def borda_scores(edges: DataFrame) -> DataFrame:
             lambda a: (
                 F.col("_n")
                 + 1
-                - F.coalesce(F.col("_ranks").getItem(a["algorithm_id"]), a["_len"] + 1)
+                - F.coalesce(F.col("_ranks")[a["algorithm_id"]], a["_len"] + 1)
             ).cast("double"),
         )
     )

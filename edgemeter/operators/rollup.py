@@ -147,7 +147,9 @@ def heat_cells(table: DataFrame, cutoff: float) -> DataFrame:
     return out.select(
         *table.columns,
         "scaled",
-        F.least(F.floor(F.col("scaled") * 10), F.lit(10)).cast("int").alias("bucket"),
+        F.when(  # `least` alone would skip a NULL
+            F.col("scaled").isNotNull(), F.least(F.floor(F.col("scaled") * 10), F.lit(10))
+        ).cast("int").alias("bucket"),
         F.coalesce(v < cutoff, F.lit(False)).alias("below_cutoff"),
         v.isNull().alias("missing"),
         F.coalesce(F.col("scaled") >= 1, F.lit(False)).alias("is_max"),

@@ -122,7 +122,7 @@ def epr_summary(spark, sf):
 def _heat_sql(cutoff: float) -> str:
     low = str(cutoff) if cutoff > 0 else "MIN(value) OVER w"
     return f"""SELECT place, algorithm_id, section, dataset_id, ROUND(value, 6) + 0.0 AS value, ROUND(scaled, 6) + 0.0 AS scaled,
-  CAST(LEAST(FLOOR(scaled * 10), 10) AS INT) AS bucket, COALESCE(value < {cutoff}, FALSE) AS below_cutoff, value IS NULL AS missing,
+  CASE WHEN scaled IS NOT NULL THEN CAST(LEAST(FLOOR(scaled * 10), 10) AS INT) END AS bucket, COALESCE(value < {cutoff}, FALSE) AS below_cutoff, value IS NULL AS missing,
   COALESCE(scaled >= 1, FALSE) AS is_max, COALESCE(value >= {cutoff} AND value <= seen, FALSE) AS is_visible_min,
   CASE WHEN value >= {cutoff} THEN CASE WHEN value >= 1 THEN printf('%.1f', value) ELSE printf('%.2f', value) END END AS label
 FROM (SELECT *, CASE WHEN value >= {cutoff} THEN CASE WHEN mx > low THEN (value - low) / (mx - low) ELSE 0.5 END END AS scaled FROM (
