@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgemeter.functions.joins import salted_join
+from edgemeter.functions.joins import salted_join, spread_by
 from edgemeter.functions.kernels import block_product
 
 ITEMS = 128
@@ -71,7 +71,8 @@ def pair_products(
         [f"{c} {types[c]}" for c in group]
         + [f"item_a {types[item]}", f"item_b {types[item]}", "dot double"]
     )
-    partial = packed.groupBy(*group, "_lo", "_hi", "_c").applyInPandas(
+    where = [*group, "_lo", "_hi", "_c"]
+    partial = spread_by(packed, *where).groupBy(*where).applyInPandas(
         lambda pdf: block_product(pdf, group), schema
     )
     return partial.groupBy(*group, "item_a", "item_b").agg(F.sum("dot").alias("dot"))

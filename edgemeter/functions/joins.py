@@ -14,6 +14,17 @@ def salt_count(df: DataFrame) -> int:
     return max(1, min(MAX_SALTS, partitions))
 
 
+def spread_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash over all shuffle partitions before work that is heavy for its size.
+
+    Adaptive execution merges partitions by bytes; small inputs of block
+    products, wedge joins or searches would end up in very few tasks. An
+    explicit number is kept.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(partitions, *columns)
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner"
 ) -> DataFrame:

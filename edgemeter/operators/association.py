@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import ratio, valid_number
 from edgemeter.functions.gram import block_pairs, pair_products
-from edgemeter.functions.joins import salted_join
+from edgemeter.functions.joins import salted_join, spread_by
 from edgemeter.functions.kernels import zero_inflated
 from edgemeter.functions.ranking import HASH_BITS, exact_percentiles, global_rank, pair_hash
 from edgemeter.operators.preprocess import GENE, cell_counts
 from edgemeter.schema import CELL_KEYS, PAIR
+from edgemeter.session import checkpointed
 
 KERNELS = ("dotprod", "correlation", "proprho", "zikendall")
 SERIES_ITEMS = 32
@@ -180,9 +181,10 @@ def zikendall(expr: DataFrame, diagonal: bool = False) -> DataFrame:
     schema = ", ".join(f"{k} string" for k in CELL_KEYS) + (
         ", item_a string, item_b string, n11 long, tau double, p1_ab double, p1_ba double"
     )
+    where = [*CELL_KEYS, "_lo", "_hi"]
     pairs = (
-        series_pairs(present.unionByName(anchors), CELL_KEYS, "cell")
-        .groupBy(*CELL_KEYS, "_lo", "_hi")
+        spread_by(series_pairs(present.unionByName(anchors), CELL_KEYS, "cell"), *where)
+        .groupBy(*where)
         .applyInPandas(lambda pdf: zero_inflated(pdf, CELL_KEYS), schema)
     )
     if diagonal:
@@ -326,6 +328,8 @@ def surrogate_associations(expr: DataFrame, kernel: str, k: int, seed: int = 0)
     marked = full.withColumn(
         "run_id", F.concat_ws("\x01", "run_id", F.col("replicate").cast("string"))
     ).drop("replicate")
+    # A kernel reads its input several times; shuffle the copies once.
+    marked = checkpointed(marked)
     parts = F.split("run_id", "\x01")
     return assoc(marked, kernel).select(
         "dataset_id", parts[0].alias("run_id"), parts[1].cast("int").alias("replicate"),

@@ -31,7 +31,8 @@ def borda_scores(edges: DataFrame) -> DataFrame:
     present = worst.groupBy(*RUN, *PAIR).agg(
         F.map_from_entries(F.collect_list(F.struct("algorithm_id", "rank"))).alias("_ranks")
     )
-    n_edges = present.groupBy(*RUN).agg(F.count(F.lit(1)).alias("_n"))
+    # Counted from the rows, not from `present`, which would rank everything twice.
+    n_edges = rows.select(*RUN, *PAIR).distinct().groupBy(*RUN).agg(F.count(F.lit(1)).alias("_n"))
     lengths = edges.groupBy(*KEYS).agg(
         F.count_if(not_self() & valid_number("weight")).alias("_len")
     )

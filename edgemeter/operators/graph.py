@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import ratio
-from edgemeter.functions.joins import salted_join
+from edgemeter.functions.joins import salted_join, spread_by
 from edgemeter.operators.primitives import (
     k_true,
     label_true,
@@ -24,7 +24,8 @@ def motif_counts(graph: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fbl, ffl, mi) of a distinct, self-loop-free directed graph.
 
     Each triangle is found once, from its node of least degree, so a hub does
-    not pair up all of its neighbours; the directions decide the motif.
+    not pair up all of its neighbours; the directions decide the motif. The
+    heavy joins run on numbers that stand for a node of one graph.
     """
     a, b = PAIR
     linked = graph.groupBy(
@@ -33,50 +34,54 @@ def motif_counts(graph: DataFrame, keys: list[str]) -> DataFrame:
         F.max((F.col(a) < F.col(b)).cast("int")).alias("uv"),
         F.max((F.col(a) > F.col(b)).cast("int")).alias("vu"),
     )
-    mutual = linked.groupBy(*keys).agg(
-        F.sum(F.col("uv") * F.col("vu")).alias("mi")
+    # Read three times below; the graph may come from a long ranking plan.
+    linked = checkpointed(linked)
+    mutual = linked.groupBy(*keys).agg(F.sum(F.col("uv") * F.col("vu")).alias("mi"))
+    nodes = (
+        linked.select(*keys, F.explode(F.array("u", "v")).alias("node"))
+        .groupBy(*keys, "node")
+        .agg(F.count(F.lit(1)).alias("deg"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    degree = (
-        linked.select(*keys, F.explode(F.array("u", "v")).alias("_node"))
-        .groupBy(*keys, "_node")
-        .agg(F.count(F.lit(1)).alias("_deg"))
-    )
-    for end in ("u", "v"):
-        linked = salted_join(
-            linked,
-            degree.withColumnRenamed("_node", end).withColumnRenamed("_deg", f"_d{end}"),
-            [*keys, end],
-            ["v" if end == "u" else "u"],
+    nodes = checkpointed(nodes)  # also fixes the ids
+    for end, other in (("u", "v"), ("v", "u")):
+        side = nodes.select(
+            *keys, F.col("node").alias(end), F.col("deg").alias(f"d{end}"), F.col("id").alias(f"i{end}")
         )
-    first = F.struct(F.col("_du"), F.col("u")) < F.struct(F.col("_dv"), F.col("v"))
-    # p precedes q in (degree, name) order; pq and qp are the two directions.
-    oriented = linked.select(
-        *keys,
-        F.when(first, F.col("u")).otherwise(F.col("v")).alias("p"),
-        F.when(first, F.col("v")).otherwise(F.col("u")).alias("q"),
-        F.when(first, F.col("_dv")).otherwise(F.col("_du")).alias("dq"),
-        F.when(first, F.col("uv")).otherwise(F.col("vu")).alias("pq"),
-        F.when(first, F.col("vu")).otherwise(F.col("uv")).alias("qp"),
-    )
+        linked = salted_join(linked, side, [*keys, end], [other])
+    first = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("iu") < F.col("iv")))
+
+    def pick(x, y):
+        return F.when(first, F.col(x)).otherwise(F.col(y))
+
+    # p precedes q in (degree, id) order; pq and qp are the two directions.
+    oriented = checkpointed(linked.select(
+        pick("iu", "iv").alias("p"), pick("iv", "iu").alias("q"), pick("dv", "du").alias("dq"),
+        pick("uv", "vu").alias("pq"), pick("vu", "uv").alias("qp"),
+    ))
     second = oriented.select(
-        *keys, "p", F.col("q").alias("r"), F.col("dq").alias("dr"),
+        "p", F.col("q").alias("r"), F.col("dq").alias("dr"),
         F.col("pq").alias("pr"), F.col("qp").alias("rp"),
     )
-    wedges = oriented.join(second, [*keys, "p"]).filter(
-        F.struct("dq", "q") < F.struct("dr", "r")
+    wedges = spread_by(oriented, "p").join(second, "p").filter(
+        (F.col("dq") < F.col("dr")) | ((F.col("dq") == F.col("dr")) & (F.col("q") < F.col("r")))
     )
     closing = oriented.select(
-        *keys, F.col("p").alias("q"), F.col("q").alias("r"),
-        F.col("pq").alias("qr"), F.col("qp").alias("rq"),
+        F.col("p").alias("q"), F.col("q").alias("r"), F.col("pq").alias("qr"), F.col("qp").alias("rq"),
     )
-    triangles = wedges.join(closing, [*keys, "q", "r"])
+    triangles = wedges.join(closing, ["q", "r"])
     pq, qp, pr, rp, qr, rq = (F.col(c) for c in ("pq", "qp", "pr", "rp", "qr", "rq"))
     cycles = pq * qr * rp + pr * rq * qp
     # source, middle, target in each of the six orders
     forward = (
         pq * pr * qr + pr * pq * rq + qp * qr * pr + qr * qp * rp + rp * rq * pq + rq * rp * qp
     )
-    loops = triangles.groupBy(*keys).agg(F.sum(cycles).alias("fbl"), F.sum(forward).alias("ffl"))
+    per_node = triangles.groupBy("p").agg(F.sum(cycles).alias("fbl"), F.sum(forward).alias("ffl"))
+    loops = (
+        per_node.join(nodes.select(*keys, F.col("id").alias("p")), "p")
+        .groupBy(*keys)
+        .agg(F.sum("fbl").alias("fbl"), F.sum("ffl").alias("ffl"))
+    )
     return mutual.join(loops, keys, "left").select(
         *keys, *[F.coalesce(m, F.lit(0)).alias(m) for m in MOTIFS]
     )
@@ -101,44 +106,58 @@ def shortest_lengths(pairs: DataFrame, graph: DataFrame) -> DataFrame:
     """(dataset_id, gene1, gene2, length) of the shortest directed path for
     each wanted pair that has one.
 
-    A frontier search from all wanted sources at once. Each round extends the
-    frontier by one step and drops what was visited; a source leaves the search
-    when all of its targets are found. Rounds are checkpointed to the shared
-    folder, so a lost executor does not replay the search.
+    A frontier search from all wanted sources at once, on numbered nodes. Each
+    round extends the frontier by one step and drops what was visited; a source
+    leaves the search when all of its targets are found. Rounds are
+    checkpointed to the shared folder, so a lost executor does not replay the
+    search.
     """
-    graph = checkpointed(graph.select("dataset_id", *PAIR).distinct())
-    step = graph.select("dataset_id", F.col("gene1").alias("node"), F.col("gene2").alias("next"))
-    wanted = checkpointed(pairs.select("dataset_id", *PAIR).distinct())
-    sources = wanted.select("dataset_id", F.col("gene1").alias("source")).distinct()
-    frontier = sources.withColumn("node", F.col("source"))
+    graph = graph.select("dataset_id", *PAIR).distinct()
+    nodes = checkpointed(
+        graph.select("dataset_id", F.explode(F.array(*PAIR)).alias("gene"))
+        .distinct()
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+
+    def numbered(rows, names):
+        for gene, name in zip(PAIR, names):
+            side = nodes.select("dataset_id", F.col("gene").alias(gene), F.col("id").alias(name))
+            rows = salted_join(rows, side, ["dataset_id", gene], [PAIR[gene == PAIR[0]]])
+        return rows
+
+    step = checkpointed(numbered(graph, ["node", "next"]).select("node", "next"))
+    named = checkpointed(
+        numbered(pairs.select("dataset_id", *PAIR).distinct(), ["source", "target"])
+    )
+    wanted = named.select("source", "target")
+    frontier = wanted.select("source").distinct().withColumn("node", F.col("source"))
     visited = frontier
     found = []
     length = 0
     while True:
         length += 1
         reached = (
-            salted_join(frontier, step, ["dataset_id", "node"], ["source"])
-            .select("dataset_id", "source", F.col("next").alias("node"))
+            salted_join(spread_by(frontier, "source"), step, ["node"], ["source"])
+            .select("source", F.col("next").alias("node"))
             .distinct()
         )
-        fresh = checkpointed(reached.join(visited, reached.columns, "left_anti"))
-        visited = checkpointed(visited.unionByName(fresh)) if length % 8 == 0 else (
-            visited.unionByName(fresh)
-        )
-        named = fresh.select(
-            "dataset_id", F.col("source").alias("gene1"), F.col("node").alias("gene2")
+        fresh = checkpointed(reached.join(visited, ["source", "node"], "left_anti"))
+        hits = fresh.withColumnRenamed("node", "target")
+        found.append(
+            wanted.join(hits, ["source", "target"], "left_semi").withColumn("length", F.lit(length))
         )
-        hits = wanted.join(named, ["dataset_id", *PAIR], "left_semi")
-        found.append(hits.withColumn("length", F.lit(length)))
-        wanted = checkpointed(wanted.join(named, ["dataset_id", *PAIR], "left_anti"))
-        open_sources = wanted.select("dataset_id", F.col("gene1").alias("source")).distinct()
-        frontier = fresh.join(open_sources, ["dataset_id", "source"], "left_semi")
+        wanted = checkpointed(wanted.join(hits, ["source", "target"], "left_anti"))
+        still_open = wanted.select("source").distinct()
+        frontier = fresh.join(still_open, "source", "left_semi")
         if frontier.isEmpty():
             break
-    result = found[0]
+        visited = visited.unionByName(fresh).join(still_open, "source", "left_semi")
+        if length % 4 == 0:
+            visited = checkpointed(visited)
+    lengths = found[0]
     for part in found[1:]:
-        result = result.unionByName(part)
-    return result
+        lengths = lengths.unionByName(part)
+    return named.join(lengths, ["source", "target"]).select("dataset_id", *PAIR, "length")
 
 
 def path_stats(edges: DataFrame, gt: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from edgemeter.functions.blockinverse import BLOCK, block_inverse
 from edgemeter.functions.columns import ratio, valid_number
 from edgemeter.functions.gram import pair_products
-from edgemeter.functions.joins import salted_join
+from edgemeter.functions.joins import salted_join, spread_by
 from edgemeter.functions.kernels import lagged, t_pvalue
 from edgemeter.functions.ranking import mid_ranks, rank_offsets
 from edgemeter.operators.association import (
@@ -46,7 +46,7 @@ def partial_spearman(expr: DataFrame, block: int = BLOCK) -> DataFrame:
     if few is not None:
         raise ValueError(f"{few.dataset_id}/{few.run_id}: needs more cells than genes")
     present = expr.filter(F.col("value") != 0)
-    ranked = rank_offsets(present, GENE, "value", cells, CELL_KEYS, "n_cells")
+    ranked = checkpointed(rank_offsets(present, GENE, "value", cells, CELL_KEYS, "n_cells"))
     rows = salted_join(
         present.select(*GENE, "cell", "value"), ranked.select(*GENE, "value", "d"),
         [*GENE, "value"], ["cell"],
@@ -117,7 +117,8 @@ def lagged_network(expr: DataFrame, pt: DataFrame, max_lag: float = 0.33) -> Dat
     ).join(per_trajectory, TRAJECTORY)
     types = dict(pt.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in TRAJECTORY)
-    return packed.groupBy(*TRAJECTORY, "_lo", "_hi").applyInPandas(
+    where = [*TRAJECTORY, "_lo", "_hi"]
+    return spread_by(packed, *where).groupBy(*where).applyInPandas(
         lambda pdf: lagged(pdf, TRAJECTORY),
         schema + ", gene1 string, gene2 string, weight double, lag int",
     )
@@ -271,7 +272,7 @@ def joint_counts(expr: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
     The counts of the zero bin (-1) follow by subtraction from the counts of
     present values, so the matrix stays sparse.
     """
-    rows = discretise(expr, bins)
+    rows = checkpointed(discretise(expr, bins))
     cells = cell_counts(expr)
     genes = expr.select(*GENE).distinct()
     item = F.concat_ws("\x01", "gene", F.col("bin").cast("string"))
@@ -284,12 +285,14 @@ def joint_counts(expr: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
         split("item_b", 0).alias("gb"), split("item_b", 1).cast("int").alias("bb"),
         F.round("dot").cast("long").alias("c"),
     )
-    mirrored = both.unionByName(both.filter(
-        (F.col("ga") != F.col("gb")) | (F.col("ba") != F.col("bb"))
-    ).select(
-        *CELL_KEYS, F.col("gb").alias("ga"), F.col("bb").alias("ba"),
-        F.col("ga").alias("gb"), F.col("ba").alias("bb"), "c",
-    ))
+    turned = F.array(
+        F.struct("ga", "ba", "gb", "bb"),
+        F.struct(F.col("gb").alias("ga"), F.col("bb").alias("ba"),
+                 F.col("ga").alias("gb"), F.col("ba").alias("bb")),
+    )
+    different = (F.col("ga") != F.col("gb")) & (F.col("c") > 0)
+    # Read by every branch below.
+    pairs = checkpointed(both.filter(different).select(*CELL_KEYS, F.inline(turned), "c"))
     single = rows.groupBy(*GENE, "bin").agg(F.count(F.lit(1)).alias("c"))
     found = single.groupBy(*GENE).agg(F.sum("c").alias("_k"))
     zero = (
@@ -301,7 +304,6 @@ def joint_counts(expr: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
     single = single.unionByName(zero).join(cells, CELL_KEYS).select(
         *CELL_KEYS, F.col("gene").alias("g"), F.col("bin").alias("b"), "c", F.col("n_cells").alias("n")
     )
-    pairs = mirrored.filter(F.col("ga") != F.col("gb")).filter(F.col("c") > 0)
     # Left value present, right value zero: single count minus what is shared.
     seen = pairs.groupBy(*CELL_KEYS, "ga", "ba", "gb").agg(F.sum("c").alias("_s"))
     plain = single.select(*CELL_KEYS, F.col("g").alias("ga"), F.col("b").alias("ba"), F.col("c").alias("_c"))
@@ -313,6 +315,7 @@ def joint_counts(expr: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
         .filter("c > 0")
         .select(*CELL_KEYS, "ga", "ba", "gb", F.lit(-1).alias("bb"), "c")
     )
+    right_zero = checkpointed(right_zero)
     left_zero = right_zero.select(
         *CELL_KEYS, F.col("gb").alias("ga"), F.lit(-1).alias("ba"), F.col("ga").alias("gb"),
         F.col("ba").alias("bb"), "c",

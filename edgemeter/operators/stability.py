@@ -17,6 +17,7 @@ from edgemeter.operators.primitives import (
     universe_sizes,
 )
 from edgemeter.schema import KEYS, PAIR
+from edgemeter.session import checkpointed
 
 ALGO = ["dataset_id", "algorithm_id"]
 
@@ -45,7 +46,7 @@ def jaccard_pairs(edges: DataFrame, gt: DataFrame) -> DataFrame:
     """(dataset_id, algorithm_id, item_a, item_b, value): Jaccard index of the
     top-k pair sets of two runs."""
     k = k_rows(gt)
-    chosen = topk_ties(edges, k)
+    chosen = checkpointed(topk_ties(edges, k))  # read by sizes and overlaps
     lists = edges.select(*KEYS).distinct().join(k.select("dataset_id"), "dataset_id", "left_semi")
     sizes = lists.join(
         chosen.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size")), KEYS, "left"
@@ -79,7 +80,11 @@ def _rank_offsets(edges: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame
     weights = mark_universe(best_signed(edges), gt).filter(
         F.col("inside") & (F.col("weight") != 0)
     ).select(*KEYS, *PAIR, "weight")
-    ranked = rank_offsets(weights, KEYS, "weight", universe_sizes(gt), ["dataset_id"], "n_pairs")
+    # Both are read twice below: by the ranks and by the rows that take them.
+    weights = checkpointed(weights)
+    ranked = checkpointed(
+        rank_offsets(weights, KEYS, "weight", universe_sizes(gt), ["dataset_id"], "n_pairs")
+    )
     n, d = F.col("n").cast("double"), F.col("d")
     sums = ranked.groupBy(*KEYS, "n_pairs").agg(
         F.sum(n * d).alias("s"), F.sum(n * d * d).alias("ss"),
