@@ -200,15 +200,15 @@ def _detected_sql(condition, having):
                          f"SELECT {C}, gene, cell, ROUND(value, 6) + 0.0 AS value FROM {X} WHERE gene IN (SELECT gene FROM k)")
 
 
-@query("filter_detected", _detected_sql("value > 20", f"0.5 * (SELECT COUNT(DISTINCT cell) FROM {X})"))
+@query("filter_detected", _detected_sql("value > 60", f"0.47 * (SELECT COUNT(DISTINCT cell) FROM {X})"))
 def filter_detected(spark, sf):
-    out = preprocess.filter_detected(fixture(spark, sf, X), min_expr=20.0, min_frac=0.5)
+    out = preprocess.filter_detected(fixture(spark, sf, X), min_expr=60.0, min_frac=0.47)
     return _round(out.select(*CELL_KEYS, "gene", "cell", "value"), "value")
 
 
-@query("filter_detected_cells", _detected_sql("value >= 300", "1"))
+@query("filter_detected_cells", _detected_sql("value >= 450", "1"))
 def filter_detected_cells(spark, sf):
-    out = preprocess.filter_detected(fixture(spark, sf, X), min_expr=300.0, min_cells=1)
+    out = preprocess.filter_detected(fixture(spark, sf, X), min_expr=450.0, min_cells=1)
     return _round(out.select(*CELL_KEYS, "gene", "cell", "value"), "value")
 
 
