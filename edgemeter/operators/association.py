@@ -288,16 +288,16 @@ def surrogates(expr: DataFrame, k: int, seed: int = 0) -> DataFrame:
     same shuffle. A cell's arrays are bounded by the number of genes.
     """
     genes = expr.select(*GENE).distinct().groupBy(*CELL_KEYS).agg(
-        F.array_sort(F.collect_list("gene")).alias("_genes")
+        F.sort_array(F.collect_list("gene")).alias("_genes")
     )
     cells = expr.filter(F.col("value") != 0).groupBy(*CELL_KEYS, "cell").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("gene", "value"))),
+        F.transform(F.sort_array(F.collect_list(F.struct("gene", "value"))),
                     lambda x: x["value"]).alias("_values")
     )
     rows = salted_join(cells, genes, CELL_KEYS, ["cell"]).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     )
-    shuffled = F.array_sort(F.transform("_genes", lambda g: F.struct(
+    shuffled = F.sort_array(F.transform("_genes", lambda g: F.struct(
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), "cell", g)
               .cast("binary")).alias("h"), g.alias("gene"))))
     picked = F.slice(shuffled, 1, F.size("_values"))

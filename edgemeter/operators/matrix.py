@@ -68,7 +68,7 @@ def quantile_bins(pt: DataFrame, n_bins: int, precision: int = 3) -> DataFrame:
     edges = (
         exact_percentiles(pt, TRAJECTORY, "t", probs)
         .groupBy(*TRAJECTORY)
-        .agg(F.array_sort(F.collect_set("q")).alias("_edges"))  # n_bins + 1 values
+        .agg(F.sort_array(F.collect_set("q")).alias("_edges"))  # n_bins + 1 values
     )
     label_sets = F.transform(
         F.sequence(F.lit(precision), F.lit(19)),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,14 +110,14 @@ def pca(expr: DataFrame, k: int = 3) -> DataFrame:
 
     The component solver holds a genes-by-genes matrix, so select genes first.
     """
-    genes = expr.select("gene").distinct().agg(F.array_sort(F.collect_set("gene")).alias("_genes"))
+    genes = expr.select(*GENE).distinct().groupBy(*CELL_KEYS).agg(
+        F.sort_array(F.collect_list("gene")).alias("_genes")
+    )
     rows = expr.groupBy(*CELL_KEYS, "cell").agg(
         F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("_v")
     )
     dense = F.transform("_genes", lambda g: F.coalesce(F.element_at("_v", g), F.lit(0.0)))
-    vectors = rows.join(genes).select(*CELL_KEYS, "cell", array_to_vector(dense).alias("raw"))
-    from pyspark.ml.feature import StandardScaler
-
+    vectors = salted_join(rows, genes, CELL_KEYS, ["cell"]).select(*CELL_KEYS, "cell", array_to_vector(dense).alias("raw"))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="x").fit(vectors)
     centred = scaler.transform(vectors)
     model = PCA(k=k, inputCol="x", outputCol="pc").fit(centred)
