@@ -196,14 +196,7 @@ def timings_round_trip(spark, sf):
     counts.select(*KEYS, F.lit("x").alias("working_dir"), lines.alias("value")).write.partitionBy(
         *KEYS, "working_dir"
     ).text(root)
-    logs = spark.read.text(f"{root}/*/*/*/working_dir=x/part-*", wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("_path")
-    )
-    from edgemeter.sources.files import path_parts
-
-    keyed = logs.select(*[c.alias(n) for n, c in path_parts(KEYS, 2).items()],
-                        F.col("value").alias("text"))
-    return keyed.select(*KEYS, timing.cpu_seconds().alias("seconds"))
+    return read_timings(spark, root, "part-*").select(*KEYS, timing.cpu_seconds().alias("seconds"))
 
 
 # ---- sources and sinks ----------------------------------------------------
@@ -320,6 +313,3 @@ def missing_lists(spark, sf):
     extra = edges.sparkSession.createDataFrame([("alg_X",)], "algorithm_id string")
     algorithms = edges.select("algorithm_id").distinct().union(extra)
     return edge_io.missing_lists(edges, edges.select(*CELL_KEYS).distinct(), algorithms)
-
-
-__all__ = ["read_timings"]

@@ -9,11 +9,11 @@ from edgemeter.schema import KEYS
 from edgemeter.sources.files import path_parts
 
 
-def read_timings(spark: SparkSession, root: str) -> DataFrame:
+def read_timings(spark: SparkSession, root: str, filename: str = "time*.txt") -> DataFrame:
     """(keys, file, text): each log below
-    `root`/dataset/run/algorithm/working_dir/time*.txt as one row; a log is a
+    `root`/dataset/run/algorithm/working_dir/`filename` as one row; a log is a
     few dozen lines."""
-    rows = spark.read.text(f"{root}/*/*/*/working_dir/time*.txt", wholetext=True).select(
+    rows = spark.read.text(f"{root}/*/*/*/working_dir*/{filename}", wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("_path")
     )
     return rows.select(
