@@ -24,3 +24,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), k=3, percent=85)
+
+
+QUERIES = {
+    name: run for name, run in list(globals().items()) if name.startswith("op") and callable(run)
+}
+
+SQL: dict[str, str] = {}
