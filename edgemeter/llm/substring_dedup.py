@@ -434,7 +434,8 @@ def remove_repeats(
     ).groupBy("uid").agg(F.flatten(F.collect_list("numbers")).alias("numbers"))
     marked = texts.join(marks, "uid", "left")
     compared = (
-        marked.select("uid", "text", "numbers")
+        # The same columns as below: only then the shuffle of the texts is shared.
+        marked.select("uid", "doc_id", "text", "numbers")
         .mapInArrow(_window_rows(size), "key long, uid long, windows binary, ranges binary")
         .repartition(n, "key")
         .sortWithinPartitions("key")
