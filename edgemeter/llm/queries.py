@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgemeter.llm import bpe, exact_dedup, near_dedup, substring_dedup, token_count
+from edgemeter.llm import (
+    bpe,
+    exact_dedup,
+    licenses,
+    mixing,
+    near_dedup,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_count,
+    topk,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +35,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir), path, limit=1024)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, query_every=50)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -39,6 +64,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_documents(spark, sf_dir)).select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans",
+    )
+
+
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), k=3, percent=85)
 
@@ -47,4 +83,25 @@ QUERIES = {
     name: run for name, run in list(globals().items()) if name.startswith("op") and callable(run)
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
+            FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY body)""",
+    "op4_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, d.vec_id,
+                   CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)""",
+}
