@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from edgemeter.llm import arrays
 from edgemeter.llm.components import components
-from edgemeter.llm.storage import plain, shuffle_partitions, staged
+from edgemeter.llm.storage import plain, staged, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -317,7 +317,8 @@ def near_duplicates(
     )
     met = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b"))).distinct()
     texts = staged(
-        rows.join(met, "doc_id", "left_semi").mapInArrow(
+        # The same join at every size: how many documents meet others grows with the data.
+        rows.join(met.hint("merge"), "doc_id", "left_semi").mapInArrow(
             _long_signer(k), "doc_id long, text string, sig binary"
         ),
         "texts",
@@ -350,5 +351,6 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps, with all their columns."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = found.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
