@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgemeter.llm.storage import shuffle_partitions, staged
+from edgemeter.llm.storage import shuffle_partitions, staged, unused
 
 HEAD_CHARS = 64
 
@@ -86,11 +86,12 @@ def drop_exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row of each group of equal texts: the first by id, all columns."""
+    row, nth = unused(docs, "_row"), unused(docs, "_nth")
     found = exact_duplicates(docs, id_col, text_col).filter("kept")
-    key = lambda i, sha: F.concat_ws("|", i.cast("string"), sha).alias("_row")
+    key = lambda i, sha: F.concat_ws("|", i.cast("string"), sha).alias(row)
     stay = found.select(key(F.col("doc_id"), F.col("text_sha256")))
     own = F.sha2(normalized(F.col(text_col)), 256)
-    named = docs.withColumn("_row", key(docs[id_col], own)).join(stay, "_row", "left_semi")
+    named = docs.withColumn(row, key(docs[id_col], own)).join(stay, row, "left_semi")
     # Rows repeated under one id and text: the join has brought them together.
-    first = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-    return named.withColumn("_nth", first).filter("_nth = 1").drop("_row", "_nth")
+    first = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))
+    return named.withColumn(nth, first).filter(F.col(nth) == 1).drop(row, nth)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgemeter.llm.storage import staged
+from edgemeter.llm.storage import staged, unused
 
 BLOCK_DOCS = 64
 MAX_BLOCKS = 256
@@ -152,8 +152,9 @@ def mix(
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs`, all columns, as often as `mix` says."""
-    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    copies = copies.filter("_id is not null and _copies > 1")
-    joined = docs.join(copies, docs[id_col].cast("long") == F.col("_id"), "left")
-    each = F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1))))
-    return joined.withColumn("_copy", each).drop("_id", "_copies", "_copy")
+    key, n, nth = (unused(docs, c) for c in ("_id", "_copies", "_nth"))
+    copies = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
+    copies = copies.filter(F.col(key).isNotNull() & (F.col(n) > 1))
+    joined = docs.join(copies, docs[id_col].cast("long") == F.col(key), "left")
+    each = F.explode(F.sequence(F.lit(1), F.coalesce(n, F.lit(1))))
+    return joined.withColumn(nth, each).drop(key, n, nth)

@@ -20,6 +20,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgemeter.llm.storage import unused
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 2048
@@ -199,8 +201,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows that the model does not reject, with all their columns."""
     judge = _judge(model)
-    marked = docs.withColumn("_score", judge(F.coalesce(F.col(text_col), F.lit(""))))
-    return marked.filter("_score >= 0.5").drop("_score")
+    name = unused(docs, "_score")
+    marked = docs.withColumn(name, judge(F.coalesce(F.col(text_col), F.lit(""))))
+    return marked.filter(F.col(name) >= 0.5).drop(name)
 
 
 def _judge(model: Model):

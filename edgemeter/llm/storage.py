@@ -28,3 +28,11 @@ def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names, so that other
     columns of the caller cannot clash with its own."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -23,7 +23,6 @@ document is written once and read by both rounds.
 
 from __future__ import annotations
 
-import hashlib
 import sys
 
 import numpy as np
