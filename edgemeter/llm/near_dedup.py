@@ -7,9 +7,9 @@ needs 2*r*m*m. A pair at the threshold t misses all tables with probability at
 most 2*(1 - t^r)^m, kept at about 0.001 by `collection_size`.
 
 Nothing lists the pairs of a bucket. A bucket links its members to its smallest
-one; these links are confirmed on the whole shingle sets. Where the confirmed
-links leave the members of such a star in several components, the members are
-compared across components in bounded blocks: the triangle inequality of the
+one, by way of the smallest of a batch; these links are confirmed on the whole
+shingle sets. Where the confirmed links leave the members of such a star in
+several components, the members are compared across components in bounded blocks: the triangle inequality of the
 Jaccard distance and a long signature rule most pairs out, the rest are
 confirmed on the whole sets as well.
 """
@@ -217,7 +217,7 @@ def _survivors(threshold: float):
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), LONG_SIGNATURE)
         found = []
         for i in np.flatnonzero(rest):
-            near = (comp != comp[i]) & (np.abs(away - away[i]) <= 1 - threshold + 1e-9)
+            near = (comp != comp[i]) & ~(np.abs(away - away[i]) > 1 - threshold + 1e-9)
             near = np.flatnonzero(near & (~rest | (doc > doc[i])))
             if len(near):
                 near = near[(sig[near] == sig[i]).sum(1) >= floor]
@@ -227,7 +227,9 @@ def _survivors(threshold: float):
     return pick
 
 
-def _across(stars: DataFrame, comps: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def _across(
+    stars: DataFrame, measured: DataFrame, comps: DataFrame, signed: DataFrame, threshold: float
+) -> DataFrame:
     """Candidate pairs between components among the members of each star.
 
     The members of a star's most frequent component need no comparison with
@@ -235,8 +237,19 @@ def _across(stars: DataFrame, comps: DataFrame, signed: DataFrame, threshold: fl
     2 * BLOCK_DOCS members.
     """
     comp_of = comps.select(F.col("node").alias("doc"), F.col("component"))
+    direct = measured.select(
+        "a", F.col("b").alias("doc"), (1 - F.col("both") / F.col("either")).alias("away"))
+    # Members that a batch has linked to its own smallest one belong to the stars that one is in.
+    unknown = F.lit(float("nan"))
+    through = (
+        stars.filter("not local").select("a", F.col("b").alias("lead"))
+        .join(stars.filter("local").select(F.col("a").alias("lead"), F.col("b").alias("doc")), "lead")
+        .select("a", "doc", unknown.alias("away"))
+    )
+    centres = stars.select("a", F.col("a").alias("doc"), F.lit(0.0).alias("away"))
     members = (
-        stars.select("a", F.col("b").alias("doc"), (1 - F.col("both") / F.col("either")).alias("away"))
+        direct.unionAll(through).unionAll(centres)
+        .groupBy("a", "doc").agg(F.min("away").alias("away"))  # NaN is the largest value
         .join(comp_of, "doc", "left")
         .withColumn("comp", F.coalesce("component", "doc"))
         .select("a", "doc", "away", "comp")
@@ -310,7 +323,10 @@ def near_duplicates(
     keyed = leads.mapInArrow(_table_rows(m), "key long, doc long, other long")
     first = F.min("doc").over(Window.partitionBy("key"))
     stars = staged(
-        keyed.select(F.coalesce("other", first).alias("a"), F.col("doc").alias("b"))
+        keyed.select(
+            F.coalesce("other", first).alias("a"), F.col("doc").alias("b"),
+            F.col("other").isNotNull().alias("local"),
+        )
         .filter("a <> b")
         .distinct(),
         "stars",
@@ -324,10 +340,14 @@ def near_duplicates(
         "texts",
     )
     passed = F.col("both") * 100 >= F.col("either") * percent
-    measured = staged(_confirm(stars, texts, k), "measured")
+    measured = staged(_confirm(stars.select("a", "b").distinct(), texts, k), "measured")
     links = measured.filter(passed).select("a", "b")
     comps = components(links)
-    across = staged(_across(measured, comps, texts, threshold), "across")
+    across = staged(
+        _across(stars, measured, comps, texts, threshold)
+        .join(measured.select("a", "b"), ["a", "b"], "left_anti"),
+        "across",
+    )
     more = staged(_confirm(across, texts, k).filter(passed).select("a", "b"), "more")
     if not more.isEmpty():
         comps = components(links.unionAll(more))
