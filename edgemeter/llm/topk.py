@@ -190,7 +190,7 @@ def top_k(
     Rows without an id, and vectors that are null or hold a null, a non-finite
     or a component beyond 2^53 after scaling, take no part. Of rows repeated
     under one id the smallest vector counts. Vectors of different lengths are
-    not compared. Pivots come from at most SAMPLE_ROWS rows; they decide the
+    not compared; a score beyond 64 bits raises. Pivots come from at most SAMPLE_ROWS rows; they decide the
     amount of work, not the result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
