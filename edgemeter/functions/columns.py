@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,11 @@ def hash_unit(*parts) -> Column:
     """Deterministic uniform number in [0, 1) from 32 bits of an MD5 digest."""
     digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def longer(wide: DataFrame, ids: list[str], name: str) -> DataFrame:
+    """(ids, name, value) of a pivoted table, undefined cells left out."""
+    rest = [F.col(f"`{c}`") for c in wide.columns if c not in ids]
+    if not rest:
+        return wide.select(*ids, F.lit("").alias(name), F.lit(0.0).alias("value")).limit(0)
+    return wide.unpivot(ids, rest, name, "value").filter(F.col("value").isNotNull())

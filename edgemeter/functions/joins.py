@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SALTS = 64
-
-
 def salt_count(df: DataFrame) -> int:
-    """One salt per shuffle partition, up to MAX_SALTS."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_SALTS, partitions))
+    """One salt per shuffle partition."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def spread_by(df: DataFrame, *columns: str) -> DataFrame:
@@ -28,12 +24,15 @@ def spread_by(df: DataFrame, *columns: str) -> DataFrame:
 def salted_join(
     big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join `big` to a per-key table although `on` may be hot in `big`.
-
-    Rows of a hot key spread over the salts by a hash of `spread`; `small` is
-    repeated once per salt. No side is hinted: the planner broadcasts `small`
-    only when its measured size allows it, otherwise the salted sort-merge
-    join runs and adaptive execution may split partitions further.
+    """Join `big` to a table of few rows per group although `on` is coarse.
+
+    For keys such as a list, a run or a dataset, each of which may hold a large
+    share of `big` while `small` has a row or a few for it: rows of a group
+    spread over all partitions by a hash of `spread`, and the few rows of
+    `small` are repeated per partition. Where the key contains a gene, a cell, a
+    value or a pair, `small` may be as large as `big`: use a plain join there,
+    whose hot keys adaptive execution measures and splits at run time.
+    No side is hinted: the planner broadcasts `small` when its size allows it.
     """
     salts = salt_count(big)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
@@ -42,9 +41,9 @@ def salted_join(
 
 
 def mark_member(
-    rows: DataFrame, members: DataFrame, on: list[str], spread: list[str], flag: str
+    rows: DataFrame, members: DataFrame, on: list[str], flag: str
 ) -> DataFrame:
     """Add a boolean column telling whether the row's `on` occurs in `members`."""
     known = members.select(*on).distinct().withColumn(flag, F.lit(True))
-    joined = salted_join(rows, known, on, spread, "left")
+    joined = rows.join(known, on, "left")
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

@@ -17,7 +17,6 @@ from edgemeter.functions.joins import salted_join
 RANGES = 1024
 STRIDE = 32
 ACCURACY = 20_000
-WHOLE_BELOW = 100_000
 CHUNK_BITS = 20
 HASH_BITS = 40
 
@@ -29,9 +28,7 @@ def _attach_range(hist: DataFrame, keys: list[str], by: str, sums: list[str]) ->
     )
     # `sums` are read here only so that all uses of `hist` share one exchange.
     cuts = hist.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) < WHOLE_BELOW, F.array().cast("array<double>"))
-        .otherwise(F.percentile_approx(F.col(by).cast("double"), probs, ACCURACY))
-        .alias("_cuts"),
+        F.percentile_approx(F.col(by).cast("double"), probs, ACCURACY).alias("_cuts"),
         *[F.sum(c).alias(f"_all_{c}") for c in sums],
     )
     every = F.expr(
@@ -166,14 +163,16 @@ def mid_ranks(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def exact_percentiles(
-    rows: DataFrame, keys: list[str], value: str, probs: list[float]
+    rows: DataFrame, keys: list[str], value: str, probs: list[float], weight: str | None = None
 ) -> DataFrame:
     """(keys, prob_ix, prob, q): exact linear-interpolated percentiles.
 
     The built-in exact percentile holds all distinct values of a group in one
-    buffer; this one reads the wanted positions off the running counts.
+    buffer; this one reads the wanted positions off the running counts. A row
+    counts `weight` times.
     """
-    hist = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    hist = rows.groupBy(*keys, value).agg(n.alias("n"))
     done = cumulate(hist, keys, value, ["n"], descending=False)
     sizes = hist.groupBy(*keys).agg(F.sum("n").alias("_size"))
     wanted = F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(float(p)).alias("p"))

@@ -10,7 +10,7 @@ from edgemeter.functions.gram import block_pairs, pair_products
 from edgemeter.functions.joins import salted_join, spread_by
 from edgemeter.functions.kernels import zero_inflated
 from edgemeter.functions.ranking import HASH_BITS, exact_percentiles, global_rank, pair_hash
-from edgemeter.operators.preprocess import GENE, cell_counts
+from edgemeter.operators.preprocess import GENE, cell_counts, shifted
 from edgemeter.schema import CELL_KEYS, PAIR
 from edgemeter.session import checkpointed
 
@@ -22,7 +22,7 @@ SERIES_VALUES = 2_000_000
 def drop_silent(expr: DataFrame) -> DataFrame:
     """Rows of genes with any non-zero value."""
     loud = expr.groupBy(*GENE).agg(F.count_if(F.col("value") != 0).alias("_k"))
-    return salted_join(expr, loud.filter(F.col("_k") > 0).select(*GENE), GENE, ["cell"], "left_semi")
+    return expr.join(loud.filter(F.col("_k") > 0).select(*GENE), GENE, "left_semi")
 
 
 def _products(expr: DataFrame, value: str = "value") -> DataFrame:
@@ -51,14 +51,17 @@ def _named(pairs: DataFrame, weight, diagonal: bool) -> DataFrame:
     )
 
 
-def _centred_pairs(expr: DataFrame, value: str = "value") -> DataFrame:
+def _centred_pairs(expr: DataFrame) -> DataFrame:
     """Pairs with n, the co-moment `cov` and moments `var_a`, `var_b` (all
     times n); absent entries count as zeros."""
-    sums = expr.groupBy(*GENE).agg(
-        F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"),
-        F.max(value).alias("top"), F.min(value).alias("low"), F.count(F.lit(1)).alias("k"),
+    ends = expr.groupBy(*GENE).agg(
+        F.max("value").alias("top"), F.min("value").alias("low"), F.count(F.lit(1)).alias("k")
     )
-    pairs = _with_both(_products(expr, value), sums, ["s", "ss", "top", "low", "k"])
+    values = shifted(expr)
+    sums = values.groupBy(*GENE).agg(
+        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")
+    ).join(ends, GENE)
+    pairs = _with_both(_products(values), sums, ["s", "ss", "top", "low", "k"])
     pairs = pairs.join(cell_counts(expr), CELL_KEYS)
     n = F.col("n_cells").cast("double")
     out = pairs.withColumn("cov", F.col("dot") - F.col("s_a") * F.col("s_b") / n)
@@ -123,7 +126,7 @@ def proprho(expr: DataFrame, diagonal: bool = False) -> DataFrame:
     cells = means.groupBy(*CELL_KEYS).agg(
         F.sum("m").alias("sm"), F.sum(F.col("m") * F.col("m")).alias("smm")
     ).join(cell_counts(expr), CELL_KEYS)
-    per_gene = salted_join(logs, means, [*CELL_KEYS, "cell"], ["gene"]).groupBy(*GENE).agg(
+    per_gene = logs.join(means, [*CELL_KEYS, "cell"]).groupBy(*GENE).agg(
         F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"),
         F.sum(F.col("y") * F.col("m")).alias("ym"),
     )
@@ -251,13 +254,13 @@ def clr(edges: DataFrame) -> DataFrame:
     """Rescale each weight against its row and its column: z-scores with
     negatives set to 0, combined as a root of squares."""
     out = edges
-    for end, other in (("gene1", "gene2"), ("gene2", "gene1")):
+    for end in PAIR:
         stats = edges.groupBy(*CELL_KEYS, end).agg(
             F.avg("weight").alias("_m"), F.stddev_samp("weight").alias("_sd")
         )
         z = F.greatest(F.lit(0.0), ratio(F.col("weight") - F.col("_m"), "_sd"))
         out = (
-            salted_join(out, stats, [*CELL_KEYS, end], [other])
+            out.join(stats, [*CELL_KEYS, end])
             .withColumn(f"_z_{end}", F.coalesce(z, F.lit(0.0)))
             .drop("_m", "_sd")
         )

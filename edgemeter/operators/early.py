@@ -173,10 +173,9 @@ def early_pr(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     if kind == "tf":
-        spread = ["run_id", "algorithm_id", *PAIR]
         for gene, members, flag in (("gene1", gt_sources(plain), "_in1"), ("gene2", genes, "_in2")):
             rows = mark_member(
-                rows, members.withColumnRenamed("gene", gene), ["dataset_id", gene], spread, flag
+                rows, members.withColumnRenamed("gene", gene), ["dataset_id", gene], flag
             )
         rows = rows.filter(F.col("_in1") & F.col("_in2")).drop("_in1", "_in2")
     pairs = label_true(rows.groupBy(*KEYS, *PAIR).agg(F.max("score").alias("score")), true)

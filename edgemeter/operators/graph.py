@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import ratio
-from edgemeter.functions.joins import salted_join, spread_by
+from edgemeter.functions.joins import spread_by
 from edgemeter.operators.primitives import (
     k_true,
     label_true,
@@ -44,11 +44,11 @@ def motif_counts(graph: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("id", F.monotonically_increasing_id())
     )
     nodes = checkpointed(nodes)  # also fixes the ids
-    for end, other in (("u", "v"), ("v", "u")):
+    for end in ("u", "v"):
         side = nodes.select(
             *keys, F.col("node").alias(end), F.col("deg").alias(f"d{end}"), F.col("id").alias(f"i{end}")
         )
-        linked = salted_join(linked, side, [*keys, end], [other])
+        linked = linked.join(side, [*keys, end])
     first = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("iu") < F.col("iv")))
 
     def pick(x, y):
@@ -122,7 +122,7 @@ def shortest_lengths(pairs: DataFrame, graph: DataFrame) -> DataFrame:
     def numbered(rows, names):
         for gene, name in zip(PAIR, names):
             side = nodes.select("dataset_id", F.col("gene").alias(gene), F.col("id").alias(name))
-            rows = salted_join(rows, side, ["dataset_id", gene], [PAIR[gene == PAIR[0]]])
+            rows = rows.join(side, ["dataset_id", gene])
         return rows
 
     step = checkpointed(numbered(graph, ["node", "next"]).select("node", "next"))
@@ -137,7 +137,7 @@ def shortest_lengths(pairs: DataFrame, graph: DataFrame) -> DataFrame:
     while True:
         length += 1
         reached = (
-            salted_join(spread_by(frontier, "source"), step, ["node"], ["source"])
+            spread_by(frontier, "source").join(step, "node")
             .select("source", F.col("next").alias("node"))
             .distinct()
         )

@@ -27,7 +27,7 @@ def transpose(expr: DataFrame, genes: list[str] | None = None) -> DataFrame:
 def by_trajectory(expr: DataFrame, pt: DataFrame) -> DataFrame:
     """(dataset_id, run_id, trajectory, gene, cell, value, t): expression of the
     cells on each trajectory, with their pseudotime."""
-    return salted_join(expr, pt, [*CELL_KEYS, "cell"], ["gene"]).select(
+    return expr.join(pt, [*CELL_KEYS, "cell"]).select(
         *TRAJECTORY, "gene", "cell", "value", "t"
     )
 
@@ -44,7 +44,7 @@ def order_cells(pt: DataFrame) -> DataFrame:
 
 def ordered_expression(expr: DataFrame, pt: DataFrame) -> DataFrame:
     """`by_trajectory` with the `cell_index` of every cell."""
-    return salted_join(expr, order_cells(pt), [*CELL_KEYS, "cell"], ["gene"]).select(
+    return expr.join(order_cells(pt), [*CELL_KEYS, "cell"]).select(
         *TRAJECTORY, "gene", "cell", "value", "t", "cell_index"
     )
 
@@ -160,8 +160,7 @@ def select_genes(
 
 def filter_expression(expr: DataFrame, genes: DataFrame) -> DataFrame:
     """Matrix rows of the chosen genes."""
-    return salted_join(expr, genes.select("dataset_id", "gene").distinct(), ["dataset_id", "gene"],
-                       ["cell"], "left_semi")
+    return expr.join(genes.select("dataset_id", "gene").distinct(), ["dataset_id", "gene"], "left_semi")
 
 
 def filter_network(net: DataFrame, genes: DataFrame) -> DataFrame:
@@ -169,10 +168,7 @@ def filter_network(net: DataFrame, genes: DataFrame) -> DataFrame:
     chosen = genes.select("dataset_id", "gene").distinct()
     rows = net.filter(not_self())
     for end in PAIR:
-        spread = "gene2" if end == "gene1" else "gene1"
-        rows = salted_join(
-            rows, chosen.withColumnRenamed("gene", end), ["dataset_id", end], [spread], "left_semi"
-        )
+        rows = rows.join(chosen.withColumnRenamed("gene", end), ["dataset_id", end], "left_semi")
     return rows.select(*net.columns).distinct()
 
 

@@ -1,12 +1,8 @@
 """Networks inferred from expression, and imports of foreign results (A2-A8,
-A19, A20)."""
+A20)."""
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +21,7 @@ from edgemeter.operators.association import (
 from edgemeter.operators.matrix import TRAJECTORY, ordered_expression
 from edgemeter.operators.preprocess import GENE, cell_counts
 from edgemeter.schema import CELL_KEYS, PAIR
-from edgemeter.session import checkpointed, scratch_path
+from edgemeter.session import checkpointed
 
 # ---- partial rank correlation -----------------------------------------------
 
@@ -47,15 +43,17 @@ def partial_spearman(expr: DataFrame, block: int = BLOCK) -> DataFrame:
         raise ValueError(f"{few.dataset_id}/{few.run_id}: needs more cells than genes")
     present = expr.filter(F.col("value") != 0)
     ranked = checkpointed(rank_offsets(present, GENE, "value", cells, CELL_KEYS, "n_cells"))
-    rows = salted_join(
-        present.select(*GENE, "cell", "value"), ranked.select(*GENE, "value", "d"),
-        [*GENE, "value"], ["cell"],
+    rows = present.select(*GENE, "cell", "value").join(
+        ranked.select(*GENE, "value", "d"), [*GENE, "value"]
     )
     n, d = F.col("n").cast("double"), F.col("d")
     moments = ranked.groupBy(*GENE, "n_cells").agg(
         F.sum(n * d).alias("s"), F.sum(n * d * d).alias("ss")
     )
     moments = moments.withColumn("v", F.col("ss") - F.col("s") * F.col("s") / F.col("n_cells"))
+    flat = genes.join(moments, GENE, "left").filter(F.coalesce("v", F.lit(0.0)) <= 0).first()
+    if flat is not None:
+        raise ValueError(f"{flat.dataset_id}/{flat.run_id}: gene {flat.gene} is constant")
     pairs = _with_both(_products(rows, "d"), moments, ["s", "v"]).join(cells, CELL_KEYS)
     cov = F.col("dot") - F.col("s_a") * F.col("s_b") / F.col("n_cells")
     upper = pairs.select(
@@ -83,7 +81,8 @@ def partial_spearman(expr: DataFrame, block: int = BLOCK) -> DataFrame:
         side = genes.select(*CELL_KEYS, F.col("gene").alias(gene), F.col("ix").alias(end))
         inverse = inverse.join(side, [*CELL_KEYS, end])
     own = F.col("i") == F.col("j")
-    weight = F.when(own, 1.0).otherwise(-F.col("v") / F.sqrt(F.col("di") * F.col("dj")))
+    scaled = -F.col("v") / F.sqrt(F.col("di") * F.col("dj"))
+    weight = F.when(own, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scaled)))
     out = inverse.join(sizes, CELL_KEYS).withColumn("weight", weight)
     pvalue = F.pandas_udf(t_pvalue, "double")
     df = (F.col("n_cells") - F.col("n")).cast("double")  # n_cells - 2 - (genes - 2)
@@ -196,60 +195,6 @@ def import_edges(table: DataFrame, layout: str) -> DataFrame:
     )
 
 
-# ---- tree importance --------------------------------------------------------
-
-
-def tree_network(
-    expr: DataFrame,
-    method: str = "rf",
-    targets: list[str] | None = None,
-    trees: int = 50,
-    depth: int = 5,
-    seed: int = 0,
-    parallelism: int = 4,
-) -> DataFrame:
-    """(dataset_id, run_id, gene1, gene2, weight): importance of gene1 in a tree
-    ensemble that predicts gene2 from all other genes of one matrix.
-
-    Every ensemble is trained by Spark on all cells; several targets train at a
-    time. `targets` restricts the predicted genes.
-    """
-    if method not in ("rf", "gbt"):
-        raise ValueError("method must be 'rf' or 'gbt'")
-    keys = expr.select(*CELL_KEYS).distinct().take(2)
-    if len(keys) != 1:
-        raise ValueError("tree_network takes one dataset and run at a time")
-    genes = [r.gene for r in expr.select("gene").distinct().orderBy("gene").collect()]
-    rows = expr.groupBy("cell").agg(
-        F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("_v")
-    )
-    order = F.array(*[F.lit(g) for g in genes])
-    dense = checkpointed(rows.select(
-        F.transform(order, lambda g: F.coalesce(F.element_at("_v", g), F.lit(0.0))).alias("x")
-    ))
-
-    spark, path = expr.sparkSession, scratch_path(expr.sparkSession, "trees")
-    schema = "dataset_id string, run_id string, gene1 string, gene2 string, weight double"
-
-    def train(target: str) -> None:
-        at = genes.index(target)
-        rest = F.concat(F.slice("x", 1, at), F.slice("x", at + 2, max(len(genes) - at - 1, 1)))
-        data = dense.select(array_to_vector(rest).alias("features"), F.col("x")[at].alias("label"))
-        if method == "rf":
-            model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
-        else:
-            model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed)
-        scores = model.fit(data).featureImportances.toArray()
-        others = genes[:at] + genes[at + 1 :]
-        found = [(*keys[0], g, target, float(s)) for g, s in zip(others, scores) if s > 0]
-        # One target at a time passes through the driver, as its model does.
-        spark.createDataFrame(found, schema).coalesce(1).write.parquet(f"{path}/target={at}")
-
-    with ThreadPool(parallelism) as pool:
-        pool.map(train, targets or genes)
-    return spark.read.schema(schema).parquet(path).select(*CELL_KEYS, *PAIR, "weight")
-
-
 # ---- information network ----------------------------------------------------
 
 
@@ -259,10 +204,10 @@ def discretise(expr: DataFrame, bins: int) -> DataFrame:
     their own and stay implicit."""
     present = expr.filter(F.col("value") != 0).select(*GENE, "cell", "value")
     sizes = present.groupBy(*GENE).agg(F.count(F.lit(1)).alias("_k"))
-    ranked = salted_join(mid_ranks(present, GENE, "value"), sizes, GENE, ["value"])
+    ranked = mid_ranks(present, GENE, "value").join(sizes, GENE)
     place = F.floor((F.col("mid") - 0.5) * bins / F.col("_k")).cast("int")
     ranked = ranked.select(*GENE, "value", place.alias("bin"))
-    return salted_join(present, ranked, [*GENE, "value"], ["cell"]).select(*GENE, "cell", "bin")
+    return present.join(ranked, [*GENE, "value"]).select(*GENE, "cell", "bin")
 
 
 def joint_counts(expr: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
@@ -400,5 +345,5 @@ def information_edges(expr: DataFrame, bins: int = 5) -> DataFrame:
 __all__ = [
     "LAYOUTS", "gate_pvalue", "import_edges", "information_edges", "information_network",
     "lagged_network", "matrix_to_edges", "merge_trajectories", "partial_spearman",
-    "rank_matrix_to_edges", "tree_network",
+    "rank_matrix_to_edges",
 ]

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import hash_unit
+from edgemeter.functions.gram import pair_products
 from edgemeter.functions.joins import salted_join
+from edgemeter.functions.kernels import principal_loadings
 from edgemeter.functions.ranking import HASH_BITS, exact_percentiles, global_rank, pair_hash
 from edgemeter.operators.matrix import by_trajectory, clean_cell
 from edgemeter.schema import CELL_KEYS
+from edgemeter.session import checkpointed
 
 GENE = [*CELL_KEYS, "gene"]
 
@@ -29,7 +29,7 @@ def collapse_transcripts(expr: DataFrame, symbols: DataFrame) -> DataFrame:
     after the first dot is ignored and unmapped transcripts are dropped."""
     named = expr.withColumn("transcript", F.split("gene", r"\.")[0])
     known = symbols.filter(F.col("symbol").isNotNull())
-    mapped = salted_join(named, known, ["transcript"], ["cell"])
+    mapped = named.join(known, "transcript")
     return mapped.groupBy(*CELL_KEYS, F.col("symbol").alias("gene"), "cell").agg(
         F.sum("value").alias("value")
     )
@@ -51,7 +51,7 @@ def filter_detected(
         kept = kept.join(cell_counts(expr), CELL_KEYS).filter(
             F.col("_seen") >= F.lit(float(min_frac)) * F.col("n_cells")
         )
-    return salted_join(expr, kept.select(*GENE), GENE, ["cell"], "left_semi")
+    return expr.join(kept.select(*GENE), GENE, "left_semi")
 
 
 def log2p1(expr: DataFrame, already_log: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def size_factors(expr: DataFrame) -> DataFrame:
         .filter(F.col("_n") == F.col("n_cells"))
         .select(*GENE, "_log")
     )
-    ratios = salted_join(positive, means, GENE, ["cell"])
+    ratios = positive.join(means, GENE)
     # One value per gene, so a cell's group is bounded by the gene count.
     return ratios.groupBy(*CELL_KEYS, "cell").agg(
         F.median(F.col("value") / F.exp("_log")).alias("size_factor")
@@ -78,7 +78,7 @@ def size_factors(expr: DataFrame) -> DataFrame:
 
 def median_ratio_normalize(expr: DataFrame) -> DataFrame:
     """Divide every cell by its size factor."""
-    joined = salted_join(expr, size_factors(expr), [*CELL_KEYS, "cell"], ["gene"])
+    joined = expr.join(size_factors(expr), [*CELL_KEYS, "cell"])
     return joined.withColumn("value", F.col("value") / F.col("size_factor")).drop("size_factor")
 
 
@@ -104,29 +104,45 @@ def rank_variance(expr: DataFrame) -> DataFrame:
     return global_rank(rows, CELL_KEYS, "variance", "_tie", bits=HASH_BITS).drop("_tie")
 
 
+def shifted(expr: DataFrame) -> DataFrame:
+    """Values less their gene's mean, for genes that are present in every cell.
+
+    Products of such values do not cancel when means are large. Genes with
+    absent cells (zeros) keep their values, so absent still means 0.
+    """
+    means = expr.groupBy(*GENE).agg(F.avg("value").alias("_mean"), F.count(F.lit(1)).alias("_k"))
+    shift = F.when(F.col("_k") == F.col("n_cells"), F.col("_mean")).otherwise(0.0)
+    means = means.join(cell_counts(expr), CELL_KEYS).select(*GENE, shift.alias("_shift"))
+    return expr.join(means, GENE).withColumn("value", F.col("value") - F.col("_shift")).drop("_shift")
+
+
 def pca(expr: DataFrame, k: int = 3) -> DataFrame:
     """(dataset_id, run_id, cell, pc1..pck) of centred, unscaled expression of
-    one dataset and run; each component points to its largest loading.
+    every matrix; each component points to its largest loading.
 
-    The component solver holds a genes-by-genes matrix, so select genes first.
+    The products of genes come from block jobs; one task per matrix solves for
+    the loadings and holds genes x genes numbers, so select genes first.
     """
-    genes = expr.select(*GENE).distinct().groupBy(*CELL_KEYS).agg(
-        F.sort_array(F.collect_list("gene")).alias("_genes")
-    )
-    rows = expr.groupBy(*CELL_KEYS, "cell").agg(
-        F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("_v")
-    )
-    dense = F.transform("_genes", lambda g: F.coalesce(F.element_at("_v", g), F.lit(0.0)))
-    vectors = salted_join(rows, genes, CELL_KEYS, ["cell"]).select(*CELL_KEYS, "cell", array_to_vector(dense).alias("raw"))
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="x").fit(vectors)
-    centred = scaler.transform(vectors)
-    model = PCA(k=k, inputCol="x", outputCol="pc").fit(centred)
-    loadings = model.pc.toArray()
-    signs = [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in loadings.T]
-    scores = model.transform(centred).withColumn("_pc", vector_to_array("pc"))
-    return scores.select(
+    values = shifted(expr).select(*GENE, "cell", "value")
+    sums = values.groupBy(*GENE).agg(F.sum("value").alias("s")).join(cell_counts(expr), CELL_KEYS)
+    dots = pair_products(values, CELL_KEYS, "gene", "cell", "value").join(
+        sums.withColumnRenamed("gene", "item_a"), [*CELL_KEYS, "item_a"]
+    )
+    loads = [f"l{i + 1}" for i in range(k)]
+    schema = ", ".join([f"{c} string" for c in GENE] + ["mean double"] + [f"{c} double" for c in loads])
+    loadings = dots.groupBy(*CELL_KEYS).applyInPandas(
+        lambda pdf: principal_loadings(pdf, CELL_KEYS, k), schema
+    )
+    loadings = checkpointed(loadings)  # read for the scores and for their offsets
+    offsets = loadings.groupBy(*CELL_KEYS).agg(
+        *[F.sum(F.col("mean") * F.col(c)).alias(f"o{c}") for c in loads]
+    )
+    scores = values.join(loadings, GENE).groupBy(*CELL_KEYS, "cell").agg(
+        *[F.sum(F.col("value") * F.col(c)).alias(c) for c in loads]
+    )
+    return salted_join(scores, offsets, CELL_KEYS, ["cell"]).select(
         *CELL_KEYS, "cell",
-        *[(F.col("_pc")[i] * F.lit(signs[i])).alias(f"pc{i + 1}") for i in range(k)],
+        *[(F.col(c) - F.col(f"o{c}")).alias(f"pc{i + 1}") for i, c in enumerate(loads)],
     )
 
 
@@ -169,8 +185,8 @@ def heat_slice(expr: DataFrame, pt: DataFrame, ordering: DataFrame, top: int = 1
         .filter(F.col("gene_place") <= top)
         .select("dataset_id", "gene", "gene_place")
     )
-    slim = salted_join(expr, genes, ["dataset_id", "gene"], ["cell"])
-    return salted_join(slim, pt, [*CELL_KEYS, "cell"], ["gene"]).select(
+    slim = expr.join(genes, ["dataset_id", "gene"])
+    return slim.join(pt, [*CELL_KEYS, "cell"]).select(
         *CELL_KEYS, "trajectory", "gene", "gene_place", "cell", "t", "value"
     )
 
@@ -187,7 +203,7 @@ def sample_cells(expr: DataFrame, n: int, seed: int = 0) -> DataFrame:
     )
     ranked = global_rank(keyed, CELL_KEYS, "_u", "_tie", descending=False, bits=HASH_BITS)
     chosen = ranked.filter(F.col("rank") <= n).select(*CELL_KEYS, "cell")
-    return salted_join(expr, chosen, [*CELL_KEYS, "cell"], ["gene"], "left_semi")
+    return expr.join(chosen, [*CELL_KEYS, "cell"], "left_semi")
 
 
 def dropout(
@@ -196,10 +212,14 @@ def dropout(
     """Sample `n` cells, then zero values below the gene's quantile with the
     given probability. Draws are seeded hashes, so reruns agree."""
     rows = sample_cells(expr, n, seed)
-    cuts = exact_percentiles(rows, GENE, "value", [quantile]).select(
+    # Absent cells are zeros of the gene; one row stands for all of them.
+    zeros = rows.groupBy(*GENE).agg((F.lit(n) - F.count(F.lit(1))).alias("_w"))
+    zeros = zeros.filter("_w > 0").select(*GENE, F.lit(0.0).alias("value"), "_w")
+    weighted = rows.select(*GENE, "value", F.lit(1).cast("long").alias("_w")).unionByName(zeros)
+    cuts = exact_percentiles(weighted, GENE, "value", [quantile], "_w").select(
         *GENE, F.col("q").alias("_cut")
     )
-    joined = salted_join(rows, cuts, GENE, ["cell"])
+    joined = rows.join(cuts, GENE)
     draw = hash_unit(F.lit(str(seed)), "gene", "cell")
     lost = (F.col("value") < F.col("_cut")) & (draw < probability)
     return joined.withColumn("value", F.when(lost, 0.0).otherwise(F.col("value"))).drop("_cut")

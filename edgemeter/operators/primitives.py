@@ -153,12 +153,11 @@ def mark_universe(rows: DataFrame, gt: DataFrame, kind: str = "directed") -> Dat
     left = genes
     if kind in ("tf", "tf_self"):
         left = gt_sources(gt, with_self_loops=kind == "tf_self")
-    spread = [c for c in ("run_id", "algorithm_id", *PAIR) if c in rows.columns]
     rows = mark_member(
-        rows, left.withColumnRenamed("gene", "gene1"), ["dataset_id", "gene1"], spread, "_in1"
+        rows, left.withColumnRenamed("gene", "gene1"), ["dataset_id", "gene1"], "_in1"
     )
     rows = mark_member(
-        rows, genes.withColumnRenamed("gene", "gene2"), ["dataset_id", "gene2"], spread, "_in2"
+        rows, genes.withColumnRenamed("gene", "gene2"), ["dataset_id", "gene2"], "_in2"
     )
     valid = F.col("gene1") < F.col("gene2") if kind == "undirected" else not_self()
     return rows.withColumn("inside", valid & F.col("_in1") & F.col("_in2")).drop("_in1", "_in2")

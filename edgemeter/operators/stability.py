@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import ratio
 from edgemeter.functions.gram import pair_products
-from edgemeter.functions.joins import salted_join
 from edgemeter.functions.ranking import rank_offsets
 from edgemeter.operators.primitives import (
     best_signed,
@@ -91,7 +90,7 @@ def _rank_offsets(edges: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame
         F.count(F.lit(1)).alias("_values"), F.first("present").alias("_present"),
     )
     varied = (F.col("_values") > 1) | (F.col("_present") < F.col("n_pairs"))
-    rows = salted_join(weights, ranked.select(*KEYS, "weight", "d"), [*KEYS, "weight"], PAIR)
+    rows = weights.join(ranked.select(*KEYS, "weight", "d"), [*KEYS, "weight"])
     return rows.select(*KEYS, F.concat_ws("\t", *PAIR).alias("edge"), "d"), sums.filter(varied)
 
 

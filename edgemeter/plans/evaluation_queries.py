@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgemeter.functions.columns import r6
+from edgemeter.functions.columns import longer, r6
 from edgemeter.operators import consensus, curves, early, graph, primitives, stability
 from edgemeter.plans.catalog import query
 from edgemeter.plans.fixtures import fixture, with_fixtures
@@ -67,9 +67,7 @@ def fixture_pair(spark, sf, edges="fx_edges"):
 
 # ---- E1, E2, E11, E12, E14 -------------------------------------------------
 
-PIVOT = """SELECT dataset_id, algorithm_id AS "Algorithm",
-  MAX(CASE WHEN run_id = 'run_A' THEN {v} END) AS "run_A", MAX(CASE WHEN run_id = 'run_N' THEN {v} END) AS "run_N",
-  MAX(CASE WHEN run_id = 'run_R' THEN {v} END) AS "run_R" FROM areas GROUP BY dataset_id, algorithm_id"""
+PIVOT = """SELECT dataset_id, algorithm_id AS "Algorithm", run_id, {v} AS value FROM areas WHERE {v} IS NOT NULL"""
 
 
 @query("auprc", with_fixtures(ALL, area_ctes(),
@@ -80,8 +78,10 @@ def auprc(spark, sf):
 
 @query("auprc_by_run", with_fixtures(ALL, area_ctes(), PIVOT.format(v="ROUND(auprc, 6) + 0.0")))
 def auprc_by_run(spark, sf):
+    """The table with a column per run, read off again in long form: a run that
+    the table loses is missing here."""
     values = curves.auprc(*fixture_pair(spark, sf)).withColumn("value", r6("value"))
-    return pivot_metric(values, runs=["run_A", "run_N", "run_R"])
+    return longer(pivot_metric(values), ["dataset_id", "Algorithm"], "run_id")
 
 
 @query("auroc", with_fixtures(ALL, area_ctes(),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgemeter.functions.columns import r6
+from edgemeter.functions.columns import longer, r6
 from edgemeter.operators import matrix, preprocess
 from edgemeter.plans.catalog import query
 from edgemeter.plans.fixtures import (
@@ -36,13 +36,10 @@ def _round(df, *columns):
     return df
 
 
-GENES = [f"{e}_{i}" for e in ("click", "error", "purchase", "signup", "view") for i in range(8)]
-
-
-@query("transpose", with_fixtures([X], body=f"SELECT {C}, cell, " + ", ".join(
-    f"MAX(CASE WHEN gene = '{g}' THEN ROUND(value, 6) + 0.0 END) AS \"{g}\"" for g in GENES) + f" FROM {X} GROUP BY {C}, cell"))
+@query("transpose", with_fixtures([X], body=f"SELECT {C}, cell, gene, ROUND(value, 6) + 0.0 AS value FROM {X} WHERE value IS NOT NULL"))
 def transpose(spark, sf):
-    return _round(matrix.transpose(fixture(spark, sf, X), GENES), *GENES)
+    """The table with a column per gene, read off again in long form."""
+    return _round(longer(matrix.transpose(fixture(spark, sf, X)), [*CELL_KEYS, "cell"], "gene"), "value")
 
 
 @query("by_trajectory", with_fixtures([X, T], {"j": JOINED}, f"SELECT {C}, trajectory, gene, cell, ROUND(value, 6) + 0.0 AS value, t FROM j"))
@@ -303,7 +300,8 @@ def sample_cells(spark, sf):
     return _round(out.select(*CELL_KEYS, "gene", "cell", "value"), "value")
 
 
-@query("dropout", with_fixtures([X], {**PICK, "c": "SELECT gene, QUANTILE_CONT(value, 0.7) AS cut FROM s GROUP BY gene"},
+@query("dropout", with_fixtures([X], {**PICK, "c": """SELECT g.gene, QUANTILE_CONT(COALESCE(s.value, 0), 0.7) AS cut
+  FROM (SELECT DISTINCT gene FROM s) g CROSS JOIN (SELECT DISTINCT cell FROM s) k LEFT JOIN s ON s.gene = g.gene AND s.cell = k.cell GROUP BY g.gene"""},
        f"SELECT {C}, s.gene, cell, CASE WHEN value < cut AND {UNIT.format(x=chr(39) + '7|' + chr(39) + '||s.gene||' + chr(39) + '|' + chr(39) + '||cell')} < 0.5 THEN 0.0 ELSE ROUND(value, 6) + 0.0 END AS value FROM s JOIN c ON c.gene = s.gene"))
 def dropout(spark, sf):
     out = preprocess.dropout(fixture(spark, sf, X), 10, 0.7, 0.5, seed=7)

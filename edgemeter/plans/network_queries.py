@@ -297,17 +297,6 @@ _import_query("source_second", ("SourceGENES", "TargetGENES", "Interaction"), sw
 _import_query("headerless", ("_c0", "_c1", "_c2"))
 
 
-@query("tree_network_rf")
-def tree_network_rf(spark, sf):
-    """Randomised ensembles: no SQL twin."""
-    return rounded(networks.tree_network(_expr(spark, sf), "rf", trees=5, depth=3), "weight")
-
-
-@query("tree_network_gbt")
-def tree_network_gbt(spark, sf):
-    return rounded(networks.tree_network(_expr(spark, sf), "gbt", trees=2, depth=3), "weight")
-
-
 INFO = {
     "bins": f"SELECT dataset_id, run_id, gene, cell, CASE WHEN v = 0 THEN -1 ELSE CAST(FLOOR((RANK() OVER w + (COUNT(*) OVER (PARTITION BY gene, v) - 1) / 2.0 - 0.5) * 5 / COUNT(*) OVER (PARTITION BY gene, v <> 0)) AS INT) END AS b FROM d WINDOW w AS (PARTITION BY gene, v <> 0 ORDER BY v)",
     "joint": "SELECT x.gene AS ga, x.b AS ba, y.gene AS gb, y.b AS bb, CAST(COUNT(*) AS DOUBLE) AS c FROM bins x JOIN bins y ON x.cell = y.cell AND x.gene <> y.gene GROUP BY x.gene, x.b, y.gene, y.b",

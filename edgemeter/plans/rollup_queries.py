@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgemeter.functions.columns import r6
+from edgemeter.functions.columns import longer, r6
 from edgemeter.functions.ranking import global_rank
 from edgemeter.operators import curves, early, rollup, stability, timing
 from edgemeter.plans import evaluation_queries as ev
@@ -79,15 +79,8 @@ def stability_summary(spark, sf):
     return _stability(spark, sf).withColumn("value", r6("value"))
 
 
-def _wide(sections: list[str]) -> str:
-    cells = ", ".join(
-        f"MAX(CASE WHEN section = '{s}' AND dataset_id = '{d}' THEN ROUND(value, 6) + 0.0 END) AS \"{s}|{d}\""
-        for s in sections for d in ("supply", "trade")
-    )
-    return f"SELECT place, s.algorithm_id, {cells} FROM sections s JOIN ordered o ON o.algorithm_id = s.algorithm_id GROUP BY place, s.algorithm_id"
-
-
-EPR_SECTIONS = ["auprc_ratio", "epr", "epr_activation", "epr_inhibitory"]
+SUMMARY_CELLS = """SELECT place, s.algorithm_id, section || '|' || dataset_id AS cell, ROUND(value, 6) + 0.0 AS value
+FROM sections s JOIN ordered o ON o.algorithm_id = s.algorithm_id WHERE value IS NOT NULL"""
 
 
 def _metric_sections() -> dict[str, str]:
@@ -109,14 +102,13 @@ def _metric_sections() -> dict[str, str]:
     return out
 
 
-@query("epr_summary", with_fixtures(ev.ALL, {**RATIO_CTES, **_metric_sections()}, _wide(EPR_SECTIONS)))
+@query("epr_summary", with_fixtures(ev.ALL, {**RATIO_CTES, **_metric_sections()}, SUMMARY_CELLS))
 def epr_summary(spark, sf):
     edges, gt = ev.fixture_pair(spark, sf)
     table = rollup.epr_summary(
         curves.auprc(edges, gt), early.epr(edges, gt), early.signed_epr(edges, gt), gt
     ).withColumn("value", r6("value"))
-    columns = [f"{s}|{d}" for s in EPR_SECTIONS for d in ("supply", "trade")]
-    return rollup.pivot_summary(table, columns)
+    return longer(rollup.pivot_summary(table), ["place", "algorithm_id"], "cell")
 
 
 def _heat_sql(cutoff: float) -> str:
@@ -277,7 +269,7 @@ def regulators_csv(spark, sf):
 def load_metric(spark, sf):
     root = scratch_path(spark, "metric")
     values = early.epr(*ev.fixture_pair(spark, sf)).withColumn("value", r6("value"))
-    metrics.write_metric(metrics.pivot_metric(values, runs=["run_A", "run_N", "run_R"]), root)
+    metrics.write_metric(metrics.pivot_metric(values), root)
     return metrics.load_metric(spark, f"{root}/*/part-*").select(*KEYS, "value")
 
 

@@ -124,15 +124,46 @@ def test_lagged_network_finds_the_delay(matrix, spark):
     assert rows["g01", "g00"].weight < 0.9 and len(rows) == 6
 
 
-def test_pca_matches_svd(matrix):
-    values = sparse(8, (6, 30), 0.2)
-    centred = (values - values.mean(axis=1, keepdims=True)).T
-    u, s, vt = np.linalg.svd(centred, full_matrices=False)
-    rows = {r.cell: (r.pc1, r.pc2, r.pc3) for r in preprocess.pca(matrix(values), 3).collect()}
-    for k in range(3):
-        sign = 1.0 if vt[k][np.abs(vt[k]).argmax()] > 0 else -1.0
-        for j in range(30):
-            assert rows[f"c{j:03d}"][k] == pytest.approx(sign * u[j, k] * s[k], abs=1e-8)
+def test_pca_matches_svd_in_every_matrix(matrix):
+    far = np.random.default_rng(3).normal(100.0, 1.0, (6, 30))
+    both = {"r1": sparse(8, (6, 30), 0.2), "r2": far}
+    frame = matrix(both["r1"], run="r1").unionByName(matrix(far, run="r2"))
+    rows = {(r.run_id, r.cell): (r.pc1, r.pc2, r.pc3) for r in preprocess.pca(frame, 3).collect()}
+    for run, values in both.items():
+        centred = (values - values.mean(axis=1, keepdims=True)).T
+        u, s, vt = np.linalg.svd(centred, full_matrices=False)
+        for k in range(3):
+            sign = 1.0 if vt[k][np.abs(vt[k]).argmax()] > 0 else -1.0
+            for j in range(30):
+                assert rows[run, f"c{j:03d}"][k] == pytest.approx(sign * u[j, k] * s[k], abs=1e-6)
+
+
+def test_correlation_with_large_means(matrix):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=200)
+    values = np.vstack([x, 0.8 * x + 0.5 * rng.normal(size=200), rng.normal(size=200)])
+    expected = np.corrcoef(values)
+    for shift in (1e7, 1e8):
+        got = table(association.correlation(matrix(values + shift)))
+        for (a, b), r in got.items():
+            assert r == pytest.approx(expected[int(a[1:]), int(b[1:])], abs=1e-5)
+
+
+@pytest.mark.parametrize("change", ["constant", "zero", "copy", "sum"])
+def test_partial_spearman_refuses_degenerate_genes(matrix, change):
+    values = np.random.default_rng(6).permuted(np.tile(np.arange(1.0, 51), (5, 1)), axis=1)
+    values[4] = {"constant": np.full(50, 3.0), "zero": np.zeros(50), "copy": values[1],
+                 "sum": np.exp(values[2] / 10)}[change]
+    with pytest.raises(Exception, match="constant|singular"):
+        networks.partial_spearman(matrix(values, keep_zeros=True), block=2).collect()
+
+
+def test_dropout_quantile_counts_absent_cells(matrix):
+    values = np.zeros((1, 20))
+    values[0, :2] = [1.0, 2.0]
+    cells = np.vstack([values, np.ones((1, 20))])
+    out = {(r.gene, r.cell): r.value for r in preprocess.dropout(matrix(cells), 20, 0.5, 1.0).collect()}
+    assert out["g00", "c000"] == 1.0 and out["g00", "c001"] == 2.0
 
 
 def test_size_factors_skip_genes_with_zeros(matrix):
@@ -178,11 +209,3 @@ def test_merge_keeps_equal_rows(spark):
     assert [r.weight for r in networks.merge_trajectories(df).collect()] == [0.5, 0.5]
     assert [r.weight for r in networks.merge_trajectories(df, absolute=True).collect()] == [0.9]
     assert networks.merge_trajectories(df, one_row=True).count() == 1
-
-
-def test_tree_network_finds_the_driver(matrix):
-    rng = np.random.default_rng(11)
-    a = rng.random(120)
-    values = np.vstack([a, 3 * a + rng.random(120) * 0.01, rng.random(120)])
-    got = table(networks.tree_network(matrix(values), trees=10, depth=4, targets=["g01"]))
-    assert got["g00", "g01"] > 0.8

@@ -75,4 +75,27 @@ def test_catalog_is_complete():
     entries = load()
     assert len(entries) > 100
     without_sql = {name for name, e in entries.items() if e.sql is None}
-    assert without_sql == {"pca", "partial_spearman", "tree_network_rf", "tree_network_gbt"}
+    assert without_sql == {"pca", "partial_spearman"}
+
+
+def test_no_copies_of_tables_as_large_as_their_partner(spark, small):
+    """With many partitions and nothing broadcast, only few-row tables are repeated."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "240")
+    try:
+        plan = stability._rank_offsets(*small)[0]._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_new_run_shows_in_the_pivoted_table(spark):
+    from edgemeter.functions.columns import longer
+    from edgemeter.sources.metrics import pivot_metric
+
+    rows = [("d", f"run_{c}", "a", "m", float(i)) for i, c in enumerate("ANRX")]
+    df = spark.createDataFrame(rows, "dataset_id string, run_id string, algorithm_id string, metric string, value double")
+    got = longer(pivot_metric(df), ["dataset_id", "Algorithm"], "run_id").collect()
+    assert {(r.run_id, r.value) for r in got} == {(r[1], r[4]) for r in rows}

@@ -9,7 +9,6 @@ from edgemeter.functions.kernels import inversions, kendall, two_sided_t
 @pytest.fixture
 def small_ranges(monkeypatch):
     """Force the value ranges that large lists get."""
-    monkeypatch.setattr(ranking, "WHOLE_BELOW", 0)
     monkeypatch.setattr(ranking, "RANGES", 64)
     monkeypatch.setattr(ranking, "STRIDE", 8)
     monkeypatch.setattr(ranking, "CHUNK_BITS", 4)
