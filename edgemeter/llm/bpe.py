@@ -15,6 +15,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -24,12 +25,12 @@ from edgemeter.llm import pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KNOWN_PARTS = 400_000
+KNOWN_PARTS = 150_000
 EMIT_ROWS = 512
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 LONG_PRETOKEN = 256
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_MERGES: dict[str, Merges] = {}
 
 _RANKS: dict[str, dict[bytes, int]] = {}
 
@@ -238,7 +239,9 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.merges = Merges(self.ranks)
+        if path not in _MERGES:
+            _MERGES[path] = Merges(self.ranks)
+        self.merges = _MERGES[path]
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}  # parts after a space
@@ -292,13 +295,11 @@ class Encoder:
 
 def _encoding(path: str, pattern: str):
     def run(batches):
-        encoder = _ENCODERS.get((path, pattern))
-        if encoder is None:
-            encoder = _ENCODERS[path, pattern] = Encoder(path, pattern)
+        encoder = Encoder(path, pattern)  # what it remembers goes with the task
         for batch in batches:
-            texts = pieces.texts_of(batch.column("text"))
-            for a, b in pieces.runs([len(t) for t in texts], BATCH_BYTES):
-                packed = encoder.texts(texts[a:b])
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for a, b in pieces.runs(sizes, BATCH_BYTES):
+                packed = encoder.texts(pieces.texts_of(batch.column("text").slice(a, b - a)))
                 for at in range(a, b, EMIT_ROWS):
                     part = packed[at - a : min(at + EMIT_ROWS, b) - a]
                     edge = np.cumsum([0, *(len(p) // 4 for p in part)])
