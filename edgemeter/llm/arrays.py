@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACES = [0x20, *range(0x09, 0x0E)]
 NON_SPACE = np.ones(256, dtype=bool)
@@ -90,7 +90,7 @@ def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n, base odd."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
+        n = max(n, SLICE_BYTES + 1)
         up = np.full(n, base, np.uint64)
         down = np.full(n, pow(base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1

@@ -36,7 +36,7 @@ SUB_KEY_VALUES = 3
 MISS = 0.001
 LONG_SIGNATURE = 512
 DEVIATIONS = 4.5
-BATCH_DOCS = 16_384
+BATCH_DOCS = 8_192
 SLOT_PAIRS = 256
 BLOCK_DOCS = 512
 
