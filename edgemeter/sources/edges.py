@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import valid_number
 from edgemeter.schema import KEYS, PAIR
-from edgemeter.sources.files import path_parts
+from edgemeter.sources.files import body_lines, named_fields, path_parts
 
 FILE_BITS = 40
 
@@ -17,24 +20,17 @@ def read_ranked_edges(
 ) -> DataFrame:
     """Tab-separated lists below `root`/dataset/run/algorithm/`filename`.
 
+    Columns are found by the names Gene1, Gene2 and EdgeWeight of each file's
+    header, or by position where it has none of them.
     `ord` grows with the row position: part number of the file, then byte
     offset of the split plus the row's place in it. It is the plain row index
     for a file read as one split. Missing files are simply absent; see
     `missing_lists`. Rows without a usable weight are dropped unless
     `keep_invalid` is set; see `invalid_weights`.
     """
-    rows = (
-        spark.read.schema("gene1 string, gene2 string, weight double")
-        .option("sep", "\t")
-        .option("header", True)
-        .csv(f"{root}/*/*/*/{filename}")
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_seq"),
-        )
-    )
+    wanted = {"gene1": ("Gene1", 0), "gene2": ("Gene2", 1), "weight": ("EdgeWeight", 2)}
+    rows = named_fields(body_lines(spark, f"{root}/*/*/*/{filename}"), "\t", wanted)
+    rows = rows.withColumn("weight", F.expr("try_cast(weight AS double)"))
     # A split is at most spark.sql.files.maxPartitionBytes, which bounds the window.
     place = F.row_number().over(Window.partitionBy("_path", "_start").orderBy("_seq")) - 1
     part = F.regexp_extract("_path", r"/part-(\d+)[^/]*$", 1).try_cast("long")
@@ -64,19 +60,26 @@ def missing_lists(
 
 
 def read_ground_truth(
-    spark: SparkSession, root: str, filename: str = "GroundTruthNetwork.csv", signed: bool = False
+    spark: SparkSession,
+    root: str,
+    filename: str | Mapping[str, str] = "GroundTruthNetwork.csv",
+    signed: bool = False,
+    dataset: str = "*",
 ) -> DataFrame:
     """(dataset_id, gene1, gene2, type) from `root`/dataset/`filename`.
 
-    Files without a Type column give NULL types. `signed` keeps only `+` and
-    `-`, so datasets without signs drop out.
+    Columns are found by the names Gene1, Gene2 and Type of each file's header;
+    without the first two, genes are the first two columns. Files without a Type
+    column give NULL types. `signed` keeps only `+` and `-`, so datasets without
+    signs drop out. `filename` may be a mapping of dataset to file name; datasets
+    it does not name are left out.
     """
-    rows = (
-        spark.read.schema("gene1 string, gene2 string, type string")
-        .option("header", True)
-        .csv(f"{root}/*/{filename}")
-        .select("*", F.col("_metadata.file_path").alias("_path"))
-    )
+    if isinstance(filename, Mapping):
+        parts = [read_ground_truth(spark, root, f"{name}", signed, dataset)
+                 for dataset, name in filename.items()]
+        return reduce(DataFrame.unionByName, parts)
+    wanted = {"gene1": ("Gene1", 0), "gene2": ("Gene2", 1), "type": ("Type", None)}
+    rows = named_fields(body_lines(spark, f"{root}/{dataset}/{filename}"), ",", wanted)
     keyed = rows.select(path_parts(["dataset_id"], 1)["dataset_id"].alias("dataset_id"), *PAIR, "type")
     return keyed.filter(F.col("type").isin("+", "-")) if signed else keyed
 

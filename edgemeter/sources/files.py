@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgemeter.functions.joins import salted_join
+
 MISSING = ["", "NA", "NaN", "nan", "null", "None"]
 
 
@@ -22,8 +27,15 @@ def path_parts(names: list[str], levels_above: int) -> dict[str, Column]:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_path, _start, _seq, value): lines with their place in the file."""
-    return spark.read.text(path).select(
+    """(_path, _start, _seq, value): lines with their place in the file. No
+    matching file gives no line."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "_path string, _start long, _seq long, value string")
+    return lines.select(
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
@@ -31,25 +43,51 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def melt_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """(_path, row, position, column, token) of wide delimited files.
+def fields(line: str, sep: str) -> Column:
+    """Fields of a delimited line; quoted ones may hold the separator and
+    doubled quotes."""
+    mark = re.escape(sep)
+    quoted = F.regexp_extract_all(
+        F.col(line), F.lit(f'(?:^|{mark})("(?:[^"]|"")*"|[^{mark}]*)'), F.lit(1)
+    )
+    bare = lambda x: F.when(
+        x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    ).otherwise(F.trim(x))
+    plain = F.transform(F.split(F.col(line), mark), lambda x: F.trim(x))
+    return F.when(F.col(line).contains('"'), F.transform(quoted, bare)).otherwise(plain)
 
-    Column 0 names the row. Lines stay arrays until the explode, so a file of
-    a million columns never becomes a million-column plan. Fields must not hold
-    the separator; surrounding quotes are stripped.
+
+def body_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_path, _start, _seq, value, _header): the lines after the first of each
+    file, which goes with them. Empty lines are left out.
+
+    The header table has a row per file; the lines of a large file spread over
+    all partitions.
     """
     lines = text_lines(spark, path)
+    place = F.struct("_start", "_seq")
     headers = lines.groupBy("_path").agg(
-        F.min_by("value", F.struct("_start", "_seq")).alias("_header")
+        F.min_by("value", place).alias("_header"), F.min(place).alias("_first")
     )
-    cells = lines.join(headers, "_path").filter(
-        (F.col("value") != F.col("_header")) & (F.length("value") > 0)
+    joined = salted_join(lines, headers, ["_path"], ["_start", "_seq"])
+    return joined.filter((place != F.col("_first")) & (F.length("value") > 0)).drop("_first")
+
+
+def melt_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(_path, row, position, column, token) of wide delimited files.
+
+    Column 0 names the row. Lines stay arrays until the explode, so a file of
+    a million columns never becomes a million-column plan. A line whose width
+    does not fit the header fails.
+    """
+    cells = body_lines(spark, path).select(
+        "_path", fields("value", sep).alias("_v"), fields("_header", sep).alias("_h")
     )
-    split = lambda c: F.transform(F.split(c, sep), lambda x: F.trim(F.btrim(x, F.lit('"'))))
-    cells = cells.select("_path", split("value").alias("_v"), split("_header").alias("_h"))
     width = F.size("_v") - 1
     # A header may or may not name the row column.
-    names = F.slice("_h", F.size("_h") - width + 1, width)
+    extra = F.size("_h") - width
+    unfit = F.raise_error(F.concat(F.col("_path"), F.lit(": a line does not fit the header")))
+    names = F.when(extra.isin(0, 1), F.slice("_h", extra + 1, width)).otherwise(unfit)
     return cells.select(
         "_path",
         F.col("_v")[0].alias("row"),
@@ -60,6 +98,23 @@ def melt_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     )
 
 
+def named_fields(lines: DataFrame, sep: str, wanted: dict[str, tuple[str, int | None]]) -> DataFrame:
+    """Add columns from the fields of `value` by their header names.
+
+    `wanted`: column -> (header name, its position in a header without any of
+    the names; None if it is then absent). A name that is missing next to others gives NULL.
+    """
+    header, values = F.col("_names"), F.col("_fields")
+    out = lines.withColumn("_names", fields("_header", sep)).withColumn("_fields", fields("value", sep))
+    known = F.arrays_overlap(header, F.array(*[F.lit(name) for name, _ in wanted.values()]))
+    for column, (name, fallback) in wanted.items():
+        at = F.array_position(header, name)
+        if fallback is not None:
+            at = F.when(known, at).otherwise(F.lit(fallback + 1))
+        out = out.withColumn(column, F.when(at > 0, F.try_element_at(values, at.cast("int"))))
+    return out.drop("_names", "_fields", "_header", "value")
+
+
 def number(token: str) -> Column:
     """Token as double; the usual missing-value marks become NULL."""
     return F.when(~F.col(token).isin(MISSING), F.expr(f"try_cast({token} AS double)"))

@@ -100,3 +100,31 @@ def test_config(spark, tmp_path):
         config.discover_runs(spark, str(tmp_path / "inputs"), {"dataset_id": "empty", "scan_run_subdirectories": True})
     with pytest.raises(FileNotFoundError):
         config.discover_runs(spark, str(tmp_path / "inputs"), {"dataset_id": "none", "scan_run_subdirectories": True})
+
+
+def test_columns_by_name(spark, tmp_path):
+    write(tmp_path / "d" / "GroundTruthNetwork.csv", 'Type,Gene1,note,Gene2\n+,a,x,"b,1"\n-,b,y,c\n')
+    write(tmp_path / "e" / "GroundTruthNetwork.csv", "Gene1,Gene2,Score\na,b,7\n")
+    rows = edges.read_ground_truth(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {("d", "a", "b,1", "+"), ("d", "b", "c", "-"), ("e", "a", "b", None)}
+    own = edges.read_ground_truth(spark, str(tmp_path), {"e": "GroundTruthNetwork.csv"})
+    assert [tuple(r) for r in own.collect()] == [("e", "a", "b", None)]
+    write(tmp_path / "d" / "r" / "x" / "rankedEdges.csv", "EdgeWeight\tGene2\tGene1\n0.5\tb\ta\n")
+    write(tmp_path / "d" / "r" / "y" / "rankedEdges.csv", "u\tv\tw\na\tb\t0.25\n")
+    rows = edges.read_ranked_edges(spark, str(tmp_path)).collect()
+    assert {(r.algorithm_id, r.gene1, r.gene2, r.weight) for r in rows} == {("x", "a", "b", 0.5), ("y", "a", "b", 0.25)}
+
+
+def test_no_file_gives_no_row(spark, tmp_path):
+    assert edges.read_ranked_edges(spark, str(tmp_path)).count() == 0
+    assert edges.read_ground_truth(spark, str(tmp_path)).count() == 0
+    assert expression.read_expression(spark, str(tmp_path)).count() == 0
+
+
+def test_quoted_fields_and_widths(spark, tmp_path):
+    write(tmp_path / "d" / "r" / "ExpressionData.csv", 'g,"c,1",c2\n"g,1",1,2\n"g ""2""",,3\ng,"c,1",c2\n')
+    rows = {(r.gene, r.cell): r.value for r in expression.read_expression(spark, str(tmp_path)).collect()}
+    assert rows == {("g,1", "c,1"): 1.0, ("g,1", "c2"): 2.0, ('g "2"', "c2"): 3.0}
+    write(tmp_path / "d" / "r" / "ExpressionData.csv", "g,c1,c2\na,1,2,3,4\n")
+    with pytest.raises(Exception, match="does not fit the header"):
+        expression.read_expression(spark, str(tmp_path)).collect()
