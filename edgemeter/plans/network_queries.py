@@ -190,18 +190,46 @@ def surrogate_thresholds(spark, sf):
 # ---- networks -----------------------------------------------------------------
 
 
-@query("partial_spearman")
+# One elimination step per level on the rank correlations with the identity beside
+# them; p-values from the finite sums for whole degrees of freedom.
+PARTIAL = f"""WITH RECURSIVE e AS ({EMBEDDING_SQL}),
+r AS (SELECT gene, cell, RANK() OVER (PARTITION BY gene ORDER BY value) + (COUNT(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS r FROM e),
+g AS (SELECT gene, ROW_NUMBER() OVER (ORDER BY gene) AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT gene FROM e) d),
+c AS (SELECT a.gene AS g1, b.gene AS g2, CORR(a.r, b.r) AS v FROM r a JOIN r b ON a.cell = b.cell GROUP BY a.gene, b.gene),
+one AS (SELECT x.i, list(c.v ORDER BY y.i) || list(CASE WHEN x.i = y.i THEN 1.0 ELSE 0.0 END ORDER BY y.i) AS v
+  FROM c JOIN g x ON x.gene = c.g1 JOIN g y ON y.gene = c.g2 GROUP BY x.i),
+s(k, m) AS (SELECT CAST(0 AS BIGINT), list(v ORDER BY i) FROM one
+  UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda x: x / row[k + 1])
+    ELSE list_transform(row, lambda x, j: x - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM s WHERE k < len(m)),
+w AS (SELECT a.gene AS gene1, b.gene AS gene2, a.i = b.i AS own, (SELECT COUNT(DISTINCT cell) FROM e) - a.n AS df,
+    CASE WHEN a.i = b.i THEN 1.0 ELSE -m[a.i][a.n + b.i] / SQRT(m[a.i][a.n + a.i] * m[b.i][a.n + b.i]) END AS weight
+  FROM s JOIN g a ON s.k = a.n JOIN g b ON TRUE),
+p AS (SELECT *, CASE WHEN own THEN 0.0 WHEN df % 2 = 0 THEN 1 - ABS(weight) * list_sum(list_transform(range(0, df // 2),
+      lambda q: EXP(lgamma(2 * q + 1) - 2 * lgamma(q + 1) - 2 * q * LN(2)) * POW(1 - weight * weight, q)))
+    ELSE 1 - 2 / PI() * (ASIN(ABS(weight)) + ABS(weight) * SQRT(1 - weight * weight) * COALESCE(list_sum(list_transform(range(0, (df - 1) // 2),
+      lambda q: EXP(2 * q * LN(2) + 2 * lgamma(q + 1) - lgamma(2 * q + 2)) * POW(1 - weight * weight, q))), 0)) END AS p_value FROM w)
+"""
+
+
+@query("partial_spearman", PARTIAL + "SELECT 'emb' AS dataset_id, 'r1' AS run_id, gene1, gene2, ROUND(weight, 6) + 0.0 AS weight, ROUND(p_value, 6) + 0.0 AS p_value FROM p")
 def partial_spearman(spark, sf):
-    """Matrix inverse: no SQL twin; tested against NumPy."""
     return rounded(networks.partial_spearman(embedding_expression(spark, sf)), "weight", "p_value")
 
 
-@query("gate_pvalue", with_fixtures([X], {**SPARSE, "k": CORR},
-       f"SELECT {C}, gene1, gene2, CASE WHEN 1 - ABS(weight) <= 0.9 THEN ROUND(weight, 6) + 0.0 ELSE 0.0 END AS weight FROM k WHERE weight IS NOT NULL"))
+@query("gate_pvalue", PARTIAL + "SELECT 'emb' AS dataset_id, 'r1' AS run_id, gene1, gene2, CASE WHEN p_value <= 0.1 THEN ROUND(weight, 6) + 0.0 ELSE 0.0 END AS weight FROM p")
 def gate_pvalue(spark, sf):
-    pairs = association.assoc(_expr(spark, sf), "correlation")
-    pairs = pairs.withColumn("p_value", F.lit(1.0) - F.abs("weight"))
-    return rounded(networks.gate_pvalue(pairs, 0.9), "weight")
+    pairs = networks.partial_spearman(embedding_expression(spark, sf))
+    return rounded(networks.gate_pvalue(pairs, 0.1), "weight")
+
+
+# Means far above the spread: the products must not cancel.
+FAR = EMBEDDING_SQL.replace("CAST(v AS DOUBLE) AS value", "CAST(v AS DOUBLE) + 1e7 AS value")
+
+
+@query("correlation_large_means", with_fixtures([], {**dense_sql(FAR), "k": CORR}, OUT.replace("6", "4")))
+def correlation_large_means(spark, sf):
+    far = embedding_expression(spark, sf).withColumn("value", F.col("value") + 1e7)
+    return association.assoc(far, "correlation").withColumn("weight", F.round("weight", 4) + F.lit(0.0))
 
 
 LAG = {
