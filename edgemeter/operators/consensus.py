@@ -24,13 +24,13 @@ def _middle(column: str) -> Column:
     return (lower + upper) / 2
 
 
-def borda_scores(edges: DataFrame) -> DataFrame:
+def borda_scores(edges: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """(dataset_id, run_id, gene1, gene2, mean, median, min, max) of the Borda
     scores of an edge over the algorithms of one run.
 
     Rank 1 is the largest signed weight, earlier rows first among equals; a
     repeated edge keeps its worst rank; an absent edge ranks one past the end
-    of the list.
+    of the list. `lists` may name lists without rows: every edge is absent there.
     """
     rows = edges.filter(not_self() & valid_number("weight"))
     ranked = global_rank(rows, KEYS, "weight", "ord")
@@ -44,6 +44,9 @@ def borda_scores(edges: DataFrame) -> DataFrame:
     lengths = edges.groupBy(*KEYS).agg(
         F.count_if(not_self() & valid_number("weight")).alias("_len")
     )
+    if lists is not None:
+        none = lists.select(*KEYS, F.lit(0).cast("long").alias("_len"))
+        lengths = lengths.unionByName(none).groupBy(*KEYS).agg(F.max("_len").alias("_len"))
     algorithms = lengths.groupBy(*RUN).agg(
         F.collect_list(F.struct("algorithm_id", "_len")).alias("_algos")
     )
@@ -70,11 +73,11 @@ def borda_scores(edges: DataFrame) -> DataFrame:
     )
 
 
-def borda(edges: DataFrame) -> DataFrame:
+def borda(edges: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """(dataset_id, gene1, gene2, borda, mborda, sborda, smborda): median over
     runs, then min-max scaled to [0, 1] per dataset (0 when constant)."""
     # One entry per run; sorting the short arrays is cheaper than four medians.
-    runs = borda_scores(edges).groupBy("dataset_id", *PAIR).agg(
+    runs = borda_scores(edges, lists).groupBy("dataset_id", *PAIR).agg(
         F.collect_list(F.struct(*METHODS)).alias("_r")
     )
     sorted_runs = runs.select(

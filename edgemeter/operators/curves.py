@@ -80,6 +80,19 @@ def _labelled(edges: DataFrame, gt: DataFrame, kind: str) -> DataFrame:
     return mark_universe(label_true(scored, true_edges(gt, kind)), gt, kind)
 
 
+def _with_empty(hist: DataFrame, lists: DataFrame | None) -> DataFrame:
+    """Give every named list a block of score 0."""
+    if lists is None:
+        return hist
+    nothing = F.lit(0).cast("long")
+    empty = lists.select(*KEYS, F.lit(0.0).alias("score"), nothing.alias("n"), nothing.alias("hits"))
+    return (
+        hist.unionByName(empty)
+        .groupBy(*KEYS, "score")
+        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    )
+
+
 def curve_areas(
     edges: DataFrame, gt: DataFrame, kind: str = "directed", lists: DataFrame | None = None
 ) -> DataFrame:
@@ -88,17 +101,7 @@ def curve_areas(
     `lists` may name lists (keys) that hold no row at all; they score as one
     tied block.
     """
-    hist = score_histogram(_labelled(edges, gt, kind))
-    if lists is not None:
-        empty = lists.select(
-            *KEYS, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n"),
-            F.lit(0).cast("long").alias("hits"),
-        )
-        hist = (
-            hist.unionByName(empty)
-            .groupBy(*KEYS, "score")
-            .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-        )
+    hist = _with_empty(score_histogram(_labelled(edges, gt, kind)), lists)
     return _areas(hist, universe_sizes(gt, kind))
 
 
@@ -112,9 +115,11 @@ def auroc(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None) -> Da
     return _metric(curve_areas(edges, gt, lists=lists), "auroc")
 
 
-def pr_roc_ratio(edges: DataFrame, gt: DataFrame, kind: str = "directed") -> DataFrame:
+def pr_roc_ratio(
+    edges: DataFrame, gt: DataFrame, kind: str = "directed", lists: DataFrame | None = None
+) -> DataFrame:
     """Step-wise average precision and AUROC with their ratios to chance."""
-    areas = curve_areas(edges, gt, kind)
+    areas = curve_areas(edges, gt, kind, lists)
     return areas.select(
         *KEYS,
         "average_precision",
@@ -124,7 +129,9 @@ def pr_roc_ratio(edges: DataFrame, gt: DataFrame, kind: str = "directed") -> Dat
     )
 
 
-def signed_pr_roc(edges: DataFrame, gt: DataFrame, kind: str = "directed") -> DataFrame:
+def signed_pr_roc(
+    edges: DataFrame, gt: DataFrame, kind: str = "directed", lists: DataFrame | None = None
+) -> DataFrame:
     """`pr_roc_ratio` per edge sign, in long form over `sign`.
 
     A list with a negative weight is matched by sign; otherwise predictions on
@@ -152,7 +159,7 @@ def signed_pr_roc(edges: DataFrame, gt: DataFrame, kind: str = "directed") -> Da
         part = last.withColumn("score", F.coalesce(score, F.lit(0.0)))
         part = label_true(part, true_edges(gt.filter(F.col("type") == sign), kind))
         sizes = _sign_sizes(gt, kind, sign)
-        areas = _areas(score_histogram(part), sizes)
+        areas = _areas(_with_empty(score_histogram(part), lists), sizes)
         parts.append(
             areas.select(
                 *KEYS,

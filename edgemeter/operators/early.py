@@ -9,6 +9,7 @@ from edgemeter.functions.columns import half_even, ratio, valid_number
 from edgemeter.functions.joins import mark_member, salted_join
 from edgemeter.functions.ranking import cumulate
 from edgemeter.operators.primitives import (
+    known_lists,
     not_self,
     best_abs,
     chosen,
@@ -25,11 +26,6 @@ from edgemeter.schema import KEYS, PAIR
 SPREAD = ["run_id", "algorithm_id", "score"]
 
 
-def _lists(edges: DataFrame, lists: DataFrame | None) -> DataFrame:
-    seen = edges.select(*KEYS)
-    return (seen if lists is None else seen.unionByName(lists.select(*KEYS))).distinct()
-
-
 def _selected(column: str, counted: str) -> Column:
     """Sum over selected blocks: positive scores, or the zero block when the
     list has no positive score at all."""
@@ -63,7 +59,7 @@ def epr(
     sums = done.groupBy(*KEYS).agg(
         _selected("n", "_in").alias("_n"), _selected("hits", "_in").alias("_h")
     )
-    out = _lists(edges, lists).join(sizes, "dataset_id").join(sums, KEYS, "left")
+    out = known_lists(edges, lists).join(sizes, "dataset_id").join(sums, KEYS, "left")
     precision = F.coalesce(ratio("_h", "_n"), F.lit(0.0))
     value = F.when(
         (F.col("n_true") > 0) & (F.col("n_pairs") > 0),
@@ -128,7 +124,7 @@ def signed_epr(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None)
             _selected(f"hits_{s}", f"_in_{s}").alias(f"_h_{s}"),
         ]
     sums = done.groupBy(*KEYS).agg(*aggregates)
-    out = _lists(edges, lists).join(sizes, "dataset_id").join(sums, KEYS, "left")
+    out = known_lists(edges, lists).join(sizes, "dataset_id").join(sums, KEYS, "left")
 
     def value(s):
         chance = ratio(f"k_{s}", "n_pairs")
@@ -199,7 +195,7 @@ def early_pr(
         F.sum(F.when(take, F.col("hits"))).alias("_h"),
         F.count(F.lit(1)).alias("_blocks"),
     )
-    out = _lists(edges, lists).join(sizes, "dataset_id").join(sums, KEYS, "left")
+    out = known_lists(edges, lists).join(sizes, "dataset_id").join(sums, KEYS, "left")
     none = F.col("_blocks").isNull()
     precision = ratio("_h", "_n")
     return out.select(

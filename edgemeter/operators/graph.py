@@ -9,6 +9,7 @@ from edgemeter.functions.columns import ratio
 from edgemeter.functions.joins import spread_by
 from edgemeter.operators.primitives import (
     k_true,
+    known_lists,
     label_true,
     topk_plain,
     topk_positional,
@@ -87,15 +88,16 @@ def motif_counts(graph: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def motif_ratios(edges: DataFrame, gt: DataFrame) -> DataFrame:
+def motif_ratios(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """(keys, fbl, ffl, mi): motif counts of the plain top-k graph over those
-    of the ground truth; NULL where the ground truth has none."""
+    of the ground truth; NULL where the ground truth has none. `lists` may name
+    lists without rows; they have no motif."""
     k = k_true(gt)
     predicted = motif_counts(topk_plain(edges, k), KEYS)
     reference = motif_counts(true_edges(gt), ["dataset_id"]).select(
         "dataset_id", *[F.col(m).alias(f"_ref_{m}") for m in MOTIFS]
     )
-    lists = edges.select(*KEYS).distinct().join(reference, "dataset_id")
+    lists = known_lists(edges, lists).join(reference, "dataset_id")
     joined = lists.join(predicted, KEYS, "left")
     return joined.select(
         *KEYS, *[ratio(F.coalesce(m, F.lit(0)), f"_ref_{m}").alias(m) for m in MOTIFS]

@@ -138,6 +138,12 @@ def align(edges: DataFrame, gt: DataFrame, kind: str = "directed") -> DataFrame:
     )
 
 
+def known_lists(edges: DataFrame, lists: DataFrame | None) -> DataFrame:
+    """(keys) of the lists that have rows and of those that `lists` names."""
+    seen = edges.select(*KEYS)
+    return (seen if lists is None else seen.unionByName(lists.select(*KEYS))).distinct()
+
+
 def label_true(rows: DataFrame, true: DataFrame) -> DataFrame:
     """Add `hit` (0/1): the pair is a true edge of the row's dataset."""
     marked = true.select("dataset_id", *PAIR).withColumn("_hit", F.lit(1))

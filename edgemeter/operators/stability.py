@@ -11,6 +11,7 @@ from edgemeter.functions.ranking import rank_offsets
 from edgemeter.operators.primitives import (
     best_signed,
     k_rows,
+    known_lists,
     mark_universe,
     topk_ties,
     universe_sizes,
@@ -41,12 +42,12 @@ def _spread(pairs: DataFrame, algorithms: DataFrame, median: str, mad: str) -> D
     return algorithms.join(stats, ALGO, "left")
 
 
-def jaccard_pairs(edges: DataFrame, gt: DataFrame) -> DataFrame:
+def jaccard_pairs(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """(dataset_id, algorithm_id, item_a, item_b, value): Jaccard index of the
     top-k pair sets of two runs."""
     k = k_rows(gt)
     chosen = checkpointed(topk_ties(edges, k))  # read by sizes and overlaps
-    lists = edges.select(*KEYS).distinct().join(k.select("dataset_id"), "dataset_id", "left_semi")
+    lists = known_lists(edges, lists).join(k.select("dataset_id"), "dataset_id", "left_semi")
     sizes = lists.join(
         chosen.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size")), KEYS, "left"
     ).fillna(0, ["size"])
@@ -60,14 +61,15 @@ def jaccard_pairs(edges: DataFrame, gt: DataFrame) -> DataFrame:
     return pairs.select(*ALGO, "item_a", "item_b", ratio(both, union).alias("value"))
 
 
-def jaccard(edges: DataFrame, gt: DataFrame) -> DataFrame:
+def jaccard(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """(dataset_id, algorithm_id, median_jaccard, mad_jaccard); NULL with
-    fewer than two runs. k counts ground-truth rows, repeats included."""
+    fewer than two runs. k counts ground-truth rows, repeats included. `lists`
+    may name lists without rows; their top is empty."""
     algorithms = (
-        edges.select(*ALGO).distinct()
+        known_lists(edges, lists).select(*ALGO).distinct()
         .join(k_rows(gt).select("dataset_id"), "dataset_id", "left_semi")
     )
-    return _spread(jaccard_pairs(edges, gt), algorithms, "median_jaccard", "mad_jaccard")
+    return _spread(jaccard_pairs(edges, gt, lists), algorithms, "median_jaccard", "mad_jaccard")
 
 
 def _rank_offsets(edges: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,11 +113,11 @@ def spearman_pairs(edges: DataFrame, gt: DataFrame) -> DataFrame:
     )
 
 
-def spearman(edges: DataFrame, gt: DataFrame) -> DataFrame:
+def spearman(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """(dataset_id, algorithm_id, median_spearman, mad_spearman); NULL with
-    fewer than two usable runs."""
+    fewer than two usable runs. A list without rows is constant, so left out."""
     algorithms = (
-        edges.select(*ALGO).distinct()
+        known_lists(edges, lists).select(*ALGO).distinct()
         .join(gt.select("dataset_id").distinct(), "dataset_id", "left_semi")
     )
     return _spread(spearman_pairs(edges, gt), algorithms, "median_spearman", "mad_spearman")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import inspect
+from collections.abc import Callable, Mapping
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgemeter.operators import association, curves, early, graph, matrix, networks
+from edgemeter.operators import association, curves, early, graph, matrix, networks, stability
 from edgemeter.schema import KEYS
+from edgemeter.sources.config import load_config
+from edgemeter.sources.edges import found_lists, read_ground_truth, read_ranked_edges
 
-Metric = Callable[[DataFrame, DataFrame], DataFrame]
+Metric = Callable[..., DataFrame]
 Network = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 METRICS: dict[str, Metric] = {}
@@ -19,7 +23,8 @@ NETWORKS: dict[str, Network] = {}
 
 
 def register_metric(name: str, fn: Metric) -> None:
-    """`fn(edges, ground_truth)` gives (keys, metric, value)."""
+    """`fn(edges, ground_truth)` gives (keys, metric, value); if it takes `lists`
+    it is also told which lists exist without rows."""
     METRICS[name] = fn
 
 
@@ -28,12 +33,37 @@ def register_network(name: str, fn: Network) -> None:
     NETWORKS[name] = fn
 
 
-def evaluate(edges: DataFrame, gt: DataFrame, names: list[str]) -> DataFrame:
-    """(keys, metric, value) of all named metrics over all lists."""
-    parts = [METRICS[n](edges, gt).select(*KEYS, "metric", "value") for n in names]
+def evaluate(
+    edges: DataFrame, gt: DataFrame, names: list[str], lists: DataFrame | None = None
+) -> DataFrame:
+    """(keys, metric, value) of all named metrics over all lists; metrics of an
+    algorithm over its runs have a NULL run. `lists` names lists that exist
+    without rows."""
+    parts = []
+    for name in names:
+        fn = METRICS[name]
+        takes = "lists" in inspect.signature(fn).parameters
+        found = fn(edges, gt, lists=lists) if takes else fn(edges, gt)
+        parts.append(found.select(*KEYS, "metric", "value"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def evaluate_config(
+    spark: SparkSession, settings: Mapping[str, Any], names: list[str], root: str = "."
+) -> DataFrame:
+    """`evaluate` for a parsed configuration: the enabled datasets, runs and
+    algorithms, each dataset with its own ground-truth file."""
+    bench = load_config(spark, settings, root)
+    chosen = bench.runs.join(
+        bench.algorithms.agg(F.collect_set("algorithm_id").alias("_a"))
+    ).select("dataset_id", "run_id", F.explode("_a").alias("algorithm_id"))
+    lists = found_lists(spark, bench.output_root).join(chosen, KEYS, "left_semi")
+    edges = read_ranked_edges(spark, bench.output_root).join(chosen, KEYS, "left_semi")
+    # One row per dataset of the configuration.
+    files = {r.dataset_id: r.ground_truth for r in bench.datasets.collect()}
+    return evaluate(edges, read_ground_truth(spark, bench.input_root, files), names, lists)
+
+
 def infer(expr: DataFrame, pt: DataFrame | None, names: list[str]) -> DataFrame:
     """Ranked edge lists (keys, ord, gene1, gene2, weight) of all named networks."""
     parts = [association.rank_edges(NETWORKS[n](expr, pt), n) for n in names]
@@ -57,28 +87,46 @@ def select_inputs(
     return slim, edges, matrix.network_stats(edges, slim)
 
 
-def _columns(fn, names: list[str]) -> Metric:
+def _columns(fn, names: list[str], keys: list[str] = KEYS, **fixed) -> Metric:
     """Metric from an operator that gives one column per metric."""
 
-    def run(edges, gt):
-        wide = fn(edges, gt)
+    def run(edges, gt, lists=None):
+        known = {"lists": lists} if "lists" in inspect.signature(fn).parameters else {}
+        wide = fn(edges, gt, **fixed, **known)
         values = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
                            for n in names])
-        return wide.select(*KEYS, F.inline(values))
+        run_id = F.col("run_id") if "run_id" in keys else F.lit(None).cast("string")
+        return wide.select("dataset_id", run_id.alias("run_id"), "algorithm_id", F.inline(values))
 
     return run
 
 
-def _areas(edges, gt):
-    return curves.curve_areas(edges, gt)
+def _signed_ratios(edges, gt, lists=None):
+    rows = curves.signed_pr_roc(edges, gt, lists=lists)
+    values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in RATIOS])
+    return rows.select(*KEYS, "sign", F.inline(values)).select(
+        *KEYS, F.concat_ws(":", "name", "sign").alias("metric"), "value"
+    )
+
 
+RATIOS = ["average_precision", "auroc", "average_precision_ratio", "auroc_ratio"]
+ALGORITHM = ["dataset_id", "algorithm_id"]
 
 register_metric("auprc", curves.auprc)
 register_metric("auroc", curves.auroc)
-register_metric("areas", _columns(_areas, ["auprc", "auroc"]))
+register_metric("areas", _columns(curves.curve_areas, ["auprc", "auroc"]))
+register_metric("pr_roc_ratio", _columns(curves.pr_roc_ratio, RATIOS))
+register_metric("signed_pr_roc", _signed_ratios)
 register_metric("epr", early.epr)
 register_metric("signed_epr", early.signed_epr)
+register_metric("early_pr", _columns(
+    early.early_pr, ["early_precision", "early_recall", "early_precision_ratio"], kind="directed"))
+register_metric("jaccard", _columns(stability.jaccard, ["median_jaccard", "mad_jaccard"], ALGORITHM))
+register_metric("spearman", _columns(stability.spearman, ["median_spearman", "mad_spearman"], ALGORITHM))
 register_metric("motif_ratios", _columns(graph.motif_ratios, graph.MOTIFS))
+register_metric("path_stats", _columns(graph.path_stats, [
+    "len_0", "len_2", "len_3", "len_4", "len_5", "num_pred", "num_tp", "num_fp_with_path",
+    "num_fp_no_path"]))
 
 for _kernel in association.KERNELS:
     register_network(

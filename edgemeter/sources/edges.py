@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,18 @@ def invalid_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*KEYS).agg(F.count_if(~valid_number("weight")).alias("n_invalid"))
 
 
+def found_lists(spark: SparkSession, root: str, filename: str = "rankedEdges.csv") -> DataFrame:
+    """(keys) of all list files, also those with a header only; no content is read."""
+    try:
+        files = spark.read.format("binaryFile").load(f"{root}/*/*/*/{filename}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in KEYS))
+    paths = files.select(F.col("_metadata.file_path").alias("_path"))
+    return paths.select(*[c.alias(n) for n, c in path_parts(KEYS, 1).items()]).distinct()
+
+
 def missing_lists(
     edges: DataFrame, runs: DataFrame, algorithms: DataFrame
 ) -> DataFrame:

@@ -128,3 +128,41 @@ def test_quoted_fields_and_widths(spark, tmp_path):
     write(tmp_path / "d" / "r" / "ExpressionData.csv", "g,c1,c2\na,1,2,3,4\n")
     with pytest.raises(Exception, match="does not fit the header"):
         expression.read_expression(spark, str(tmp_path)).collect()
+
+
+def test_evaluate_from_a_configuration(spark, tmp_path):
+    from edgemeter.plans import benchmark
+
+    write(tmp_path / "in" / "d" / "own.csv", "Gene1,Gene2,Type\na,b,+\nb,c,-\n")
+    write(tmp_path / "in" / "e" / "GroundTruthNetwork.csv", "Gene1,Gene2\nx,y\n")
+    head = "Gene1\tGene2\tEdgeWeight\n"
+    for run in ("r1", "r2"):
+        write(tmp_path / "out" / "d" / run / "alg" / "rankedEdges.csv", head + "a\tb\t1.0\nb\tc\t0.5\n")
+        write(tmp_path / "out" / "d" / run / "off" / "rankedEdges.csv", head + "a\tb\t1.0\n")
+    write(tmp_path / "out" / "d" / "r3" / "alg" / "rankedEdges.csv", head)
+    write(tmp_path / "out" / "e" / "r1" / "alg" / "rankedEdges.csv", head + "x\ty\t1.0\n")
+    runs = [{"run_id": f"r{i}"} for i in (1, 2, 3)]
+    settings = {
+        "input_settings": {"input_dir": "in", "datasets": [
+            {"dataset_id": "d", "runs": runs, "groundTruthNetwork": "own.csv"},
+            {"dataset_id": "e", "runs": runs[:1], "should_run": [False]},
+        ], "algorithms": [{"algorithm_id": "alg", "should_run": [True]}, {"algorithm_id": "off"}]},
+        "output_settings": {"output_dir": "out"},
+    }
+    names = [n for n in benchmark.METRICS]
+    rows = benchmark.evaluate_config(spark, settings, names, str(tmp_path)).collect()
+    got = {(r.run_id, r.metric): r.value for r in rows}
+    assert {r.dataset_id for r in rows} == {"d"} and {r.algorithm_id for r in rows} == {"alg"}
+    assert got["r1", "auprc"] == 1.0 and got["r3", "auprc"] == pytest.approx((1 + 2 / 6) / 2)
+    assert got["r1", "epr"] == 3.0 and got["r3", "epr"] == 0.0
+    assert got[None, "median_jaccard"] == 0.0  # 1, 0 and 0 over the three pairs of runs
+    assert got["r3", "auroc_ratio"] == 1.0 and got["r1", "num_tp"] == 2.0
+
+
+def test_consensus_counts_lists_without_rows(spark, lists):
+    from edgemeter.operators import consensus
+
+    edges = lists({("r1", "a"): [("x", "y", 1.0), ("y", "z", 0.5)]})
+    empty = spark.createDataFrame([("d", "r1", "b")], "dataset_id string, run_id string, algorithm_id string")
+    got = {(r.gene1, r.gene2): r["mean"] for r in consensus.borda_scores(edges, empty).collect()}
+    assert got == {("x", "y"): 2.0, ("y", "z"): 1.5}
