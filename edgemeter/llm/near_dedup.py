@@ -20,7 +20,6 @@ import math
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from edgemeter.llm import arrays
 from edgemeter.llm.components import components
-from edgemeter.llm.storage import plain, staged, unused
+from edgemeter.llm.storage import plain, shuffle_partitions, staged, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -205,32 +204,86 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _survivors(threshold: float):
-    """Pairs of different components in one block that may reach the threshold."""
+def _linker(k: int, percent: int):
+    """Links between different components of one block, confirmed on the whole
+    sets; rows come sorted by block. Components that a link has joined are not
+    compared again, so a block gives fewer links than it has documents."""
+    threshold = percent / 100
     floor = LONG_SIGNATURE * threshold - DEVIATIONS * math.sqrt(
         LONG_SIGNATURE * threshold * (1 - threshold)
     )
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, comp = pdf["doc"].to_numpy(), pdf["comp"].to_numpy()
-        away, rest = pdf["away"].to_numpy(), pdf["rest"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), LONG_SIGNATURE)
-        found = []
+    def candidates(doc, comp, away, rest, sig):
         for i in np.flatnonzero(rest):
             near = (comp != comp[i]) & ~(np.abs(away - away[i]) > 1 - threshold + 1e-9)
             near = np.flatnonzero(near & (~rest | (doc > doc[i])))
             if len(near):
-                near = near[(sig[near] == sig[i]).sum(1) >= floor]
-                found += [(min(doc[i], d), max(doc[i], d)) for d in doc[near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                same = (sig[near] == sig[i]).sum(1)
+                yield from ((int(n), int(i), int(j)) for n, j in zip(same, near, strict=True) if n >= floor)
+
+    def solve(block):
+        comp = block.column("comp").to_numpy()
+        rest = block.column("rest").to_numpy(zero_copy_only=False)
+        if not rest.any() or (comp == comp[0]).all():
+            return []
+        doc = block.column("doc").to_numpy()
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8)
+        pairs = list(candidates(doc, comp, block.column("away").to_numpy(), rest,
+                                sig.reshape(len(doc), LONG_SIGNATURE)))
+        if not pairs:
+            return []
+        used = sorted({i for _, *ends in pairs for i in ends})
+        sets = {}
+        texts = block.column("text").take(pa.array(used))
+        for first, buf, offsets in arrays.text_slices(texts):
+            found, bounds = arrays.text_shingles(buf, offsets, k)
+            sets.update(zip(used[first:], np.split(found, bounds[1:-1]), strict=False))
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        links = []
+        for _, i, j in sorted(pairs, key=lambda x: (-x[0], *x[1:])):
+            one, other = find(int(comp[i])), find(int(comp[j]))
+            if one == other:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                root[max(one, other)] = min(one, other)
+                links.append((int(doc[i]), int(doc[j])))
+        return links
+
+    def emit(links):
+        a, b = zip(*links, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return pick
+    def run(batches):
+        tail = None
+        for batch in batches:
+            if tail is not None:
+                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([batch.column(c).to_numpy() for c in ("a", "kind", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            edges = [0, *cuts.tolist()]
+            links = [x for p, q in zip(edges[:-1], edges[1:], strict=True) for x in solve(batch.slice(p, q - p))]
+            tail = batch.slice(edges[-1])
+            if links:
+                yield emit(links)
+        if tail is not None and tail.num_rows:
+            links = solve(tail)
+            if links:
+                yield emit(links)
+
+    return run
 
 
 def _across(
-    stars: DataFrame, measured: DataFrame, comps: DataFrame, signed: DataFrame, threshold: float
+    stars: DataFrame, measured: DataFrame, comps: DataFrame, texts: DataFrame, k: int, percent: int
 ) -> DataFrame:
-    """Candidate pairs between components among the members of each star.
+    """Links between components among the members of each star.
 
     The members of a star's most frequent component need no comparison with
     each other; the others meet them, and one another, in blocks of at most
@@ -279,10 +332,12 @@ def _across(
         lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("own").alias("j")))
     blocks = F.when(F.col("rest"), F.concat(to_rest, to_bulk)).otherwise(from_bulk)
     return (
-        placed.join(signed.select(F.col("doc_id").alias("doc"), "sig"), "doc")
-        .select("a", "doc", "away", "comp", "rest", "sig", F.explode(blocks).alias("block"))
-        .groupBy("a", "block")
-        .applyInPandas(_survivors(threshold), "a long, b long")
+        placed.join(texts.select(F.col("doc_id").alias("doc"), "text", "sig"), "doc")
+        .select("a", "doc", "away", "comp", "rest", "text", "sig", F.explode(blocks).alias("block"))
+        .select("a", "block.kind", "block.i", "block.j", "doc", "away", "comp", "rest", "text", "sig")
+        .repartition(shuffle_partitions(stars), "a", "kind", "i", "j")
+        .sortWithinPartitions("a", "kind", "i", "j")
+        .mapInArrow(_linker(k, percent), "a long, b long")
         .distinct()
     )
 
@@ -304,8 +359,8 @@ def near_duplicates(
     repeated under one id appear as often as they are given; a row without id
     takes no part and is kept, with a null component.
     """
-    threshold, r = percent / 100, SUB_KEY_VALUES
-    m = collection_size(threshold, r)
+    r = SUB_KEY_VALUES
+    m = collection_size(percent / 100, r)
     rows = plain(docs, id_col, text_col)
     signed = staged(
         rows.mapInArrow(
@@ -343,12 +398,7 @@ def near_duplicates(
     measured = staged(_confirm(stars.select("a", "b").distinct(), texts, k), "measured")
     links = measured.filter(passed).select("a", "b")
     comps = components(links)
-    across = staged(
-        _across(stars, measured, comps, texts, threshold)
-        .join(measured.select("a", "b"), ["a", "b"], "left_anti"),
-        "across",
-    )
-    more = staged(_confirm(across, texts, k).filter(passed).select("a", "b"), "more")
+    more = staged(_across(stars, measured, comps, texts, k, percent), "more")
     if not more.isEmpty():
         comps = components(links.unionAll(more))
 
