@@ -84,6 +84,48 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
+            FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+                  FROM documents)),
+        g AS (
+            SELECT doc_id, i, string_agg(word, ' ') OVER ahead AS s, count(*) OVER ahead AS n FROM w
+            WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+        r AS (
+            SELECT doc_id, i, 1 AS twice
+            FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM g WHERE n = 35) x WHERE c > 1),
+        f AS (
+            SELECT doc_id, i, word, coalesce(max(twice) OVER (
+                PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+            FROM w LEFT JOIN r USING (doc_id, i))
+        SELECT doc_id, count(i) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+        FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
+    "op10_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 1, 2)),
+                   lambda i: array_to_string(words[i:i + 2], ' '))) AS shingle
+            FROM w WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_in AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM both_in JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+            WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, y FROM reach r JOIN ways ON x = r.other),
+        c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM c LEFT JOIN n USING (doc_id)""",
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
