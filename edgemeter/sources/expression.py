@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgemeter.schema import CELL_KEYS
-from edgemeter.sources.files import melt_csv, number, path_parts
+from edgemeter.sources.files import melt_csv, number, path_parts, write_wide
 
 
 def read_expression(
@@ -22,13 +22,8 @@ def read_expression(
 
 
 def write_expression(expr: DataFrame, root: str) -> None:
-    """Wide comma-separated matrices, genes by cells, one per dataset and run.
-
-    The one place where the long form becomes wide; limited by
-    spark.sql.pivotMaxValues.
-    """
-    wide = expr.groupBy(*CELL_KEYS, "gene").pivot("cell").agg(F.first("value"))
-    wide.write.partitionBy(*CELL_KEYS).option("header", True).csv(root)
+    """Wide comma-separated matrices, genes by cells, one per dataset and run."""
+    write_wide(expr, CELL_KEYS, "gene", "cell", "value", root)
 
 
 def read_pseudotime(
@@ -46,8 +41,7 @@ def read_pseudotime(
 
 def write_pseudotime(pt: DataFrame, root: str) -> None:
     """Wide comma-separated pseudotime, one column per trajectory."""
-    wide = pt.groupBy(*CELL_KEYS, "cell").pivot("trajectory").agg(F.first("t"))
-    wide.write.partitionBy(*CELL_KEYS).option("header", True).csv(root)
+    write_wide(pt, CELL_KEYS, "cell", "trajectory", "t", root)
 
 
 def read_gene_ordering(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgemeter.functions.joins import salted_join
@@ -118,3 +118,65 @@ def named_fields(lines: DataFrame, sep: str, wanted: dict[str, tuple[str, int |
 def number(token: str) -> Column:
     """Token as double; the usual missing-value marks become NULL."""
     return F.when(~F.col(token).isin(MISSING), F.expr(f"try_cast({token} AS double)"))
+
+
+ROWS_PER_FILE = 65_536
+
+
+def _quoted(column: str) -> Column:
+    text = F.col(column).cast("string")
+    return F.when(
+        text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    ).otherwise(text)
+
+
+def write_wide(
+    rows: DataFrame, keys: list[str], row: str, column: str, value: str, root: str
+) -> None:
+    """One comma-separated matrix per `keys` below `root`/key=value/..., in
+    part files of about ROWS_PER_FILE lines that each begin with the header.
+
+    The mirror of `melt_csv`: lines are put together from arrays, so the number
+    of columns is not limited by a plan; a line holds them all anyway.
+    """
+    order = Window.partitionBy(*keys).orderBy(column)
+    columns = rows.select(*keys, column).distinct().withColumn("_at", F.row_number().over(order))
+    headers = columns.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_at", _quoted(column).alias("_t")))).alias("_h")
+    )
+    headers = headers.select(
+        *keys, F.size("_h").alias("_n"),
+        F.concat_ws(",", F.lit(row), F.col("_h._t")).alias("_header"),
+    )
+    cells = rows.join(columns, [*keys, column]).groupBy(*keys, row).agg(
+        F.array_sort(
+            F.collect_list(F.struct("_at", F.col(value).cast("string").alias("_t")))
+        ).alias("_c")
+    )
+    counts = cells.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).cast("int").alias("_parts"))
+    # A row per matrix; the running total numbers the files of all of them.
+    total = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    files = counts.join(headers, keys).withColumn("_first", F.sum("_parts").over(total) - F.col("_parts"))
+    files = files.select(*keys, "_parts", "_header", "_n", F.col("_first").cast("int").alias("_first"))
+    n_files = files.agg(F.sum("_parts")).first()[0] or 0
+    if not n_files:
+        return
+    gaps = F.transform("_c", lambda x, i: F.concat(
+        F.repeat(F.lit(","), x["_at"] - F.when(i > 0, F.get("_c", i - 1)["_at"]).otherwise(0)),
+        F.coalesce(x["_t"], F.lit(""))))
+    line = F.concat(
+        _quoted(row), F.array_join(gaps, ""),
+        F.repeat(F.lit(","), F.col("_n") - F.element_at("_c", -1)["_at"]),
+    )
+    body = salted_join(cells, files.drop("_header"), keys, [row]).select(
+        *keys, line.alias("value"), F.lit(1).alias("_line"),
+        (F.col("_first") + F.pmod(F.xxhash64(row), F.col("_parts"))).cast("int").alias("_file"),
+    )
+    heads = files.select(
+        *keys, F.col("_header").alias("value"), F.lit(0).alias("_line"),
+        F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1)).alias("_file"),
+    )
+    placed = body.unionByName(heads).repartitionById(int(n_files), F.col("_file"))
+    placed.sortWithinPartitions(*keys, "_line", "value").drop("_line", "_file").write.partitionBy(
+        *keys
+    ).text(root)

@@ -166,3 +166,19 @@ def test_consensus_counts_lists_without_rows(spark, lists):
     empty = spark.createDataFrame([("d", "r1", "b")], "dataset_id string, run_id string, algorithm_id string")
     got = {(r.gene1, r.gene2): r["mean"] for r in consensus.borda_scores(edges, empty).collect()}
     assert got == {("x", "y"): 2.0, ("y", "z"): 1.5}
+
+
+def test_wide_matrices_round_trip(spark, tmp_path, monkeypatch):
+    from edgemeter.sources import files
+
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 7)
+    rows = [("d", f"r{i % 2}", f"g,{i % 23}", f"c{(i * 7) % 41}", i / 4) for i in range(0, 900, 3)]
+    rows += [("d", "r0", "1", "only", 0.5), ("e", "x", 'q"t', "c", 2.0)]
+    expr = spark.createDataFrame(
+        list({r[:4]: r for r in rows}.values()), "dataset_id string, run_id string, gene string, cell string, value double")
+    expression.write_expression(expr, str(tmp_path / "m"))
+    back = expression.read_expression(spark, str(tmp_path / "m"), "part-*")
+    assert sorted(back.collect()) == sorted(expr.collect())
+    assert len(list((tmp_path / "m").glob("dataset_id=d/run_id=r0/part-*"))) >= 3
+    expression.write_expression(expr.limit(0), str(tmp_path / "none"))
+    assert expression.read_expression(spark, str(tmp_path / "none"), "part-*").count() == 0
