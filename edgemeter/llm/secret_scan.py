@@ -1,7 +1,7 @@
 """Secrets in texts: known forms, and strings that zstandard cannot foresee.
 
 A long token in a sensitive context (a word such as `key` or `auth` shortly
-before it) is a candidate. Its novelty is what it adds to the compressed size
+before it, or in the name it is assigned to) is a candidate. Its novelty is what it adds to the compressed size
 of its surroundings, when the compressor is primed with a dictionary of common
 identifiers and code: words and identifiers cost little, random strings nearly
 their full entropy.
@@ -75,18 +75,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans between the equals signs of a candidate; padding at its end stays with the last."""
+    last = start + len(text[start:end].rstrip("="))
+    out = []
+    while (cut := text.find("=", start, last)) >= 0:
+        out.append((start, cut))
+        start = cut + 1
+    return [*out, (start, end)]
+
+
 def novel_spans(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
-    """Candidates whose marginal compressed bytes reach NOVELTY per character."""
+    """Candidates whose marginal compressed bytes reach NOVELTY per character.
+
+    Of an assignment only the long parts are measured, and the names before a
+    part count as its context. Where no part is long and novel, the candidate
+    is measured as it stands.
+    """
+
+    def novel(start: int, end: int) -> bool:
+        around = text[max(0, start - AROUND_CHARS) : start] + "\n" + text[end : end + AROUND_CHARS]
+        size = len(compressor.compress(around.encode()))
+        more = len(compressor.compress((around + "\n" + text[start:end]).encode()))
+        return more - size >= NOVELTY * (end - start)
+
     out = []
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if not SENSITIVE.search(text, max(0, start - CONTEXT_CHARS), start):
+        parts = _parts(text, *m.span())
+        # No sensitive word holds another: the first one is also the first to end.
+        word = SENSITIVE.search(text, max(0, m.start() - CONTEXT_CHARS), parts[-1][0])
+        if not word:
             continue
-        around = text[max(0, start - AROUND_CHARS) : start] + "\n" + text[end : end + AROUND_CHARS]
-        size = len(compressor.compress(around.encode()))
-        more = len(compressor.compress((around + "\n" + m.group()).encode()))
-        if more - size >= NOVELTY * (end - start):
-            out.append((start, 3, end))
+        found = [(a, 3, b) for a, b in parts
+                 if b - a >= CANDIDATE_CHARS and word.end() <= a and novel(a, b)]
+        if not found and len(parts) > 1 and novel(*m.span()):
+            found = [(m.start(), 3, m.end())]
+        out += found
     return out
 
 

@@ -163,6 +163,26 @@ def test_secrets(spark):
     assert not any("novel" in got[i]["spans"] for i in (10, 11, 12))
 
 
+SECRET_KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ9x8Lm2Vb"
+
+
+def novel_places(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"].split(",") for r in secret_scan.find_secrets(frame).collect()}
+    return [[tuple(map(int, s.split(":")[1:])) for s in spans[i] if s.startswith("novel")] for i in range(len(texts))]
+
+
+def test_secrets_assigned_without_spaces(spark):
+    names = ["aws_secret_access_key=", "PRIVATE_KEY=", "AUTH_KEY=", "pwd=", "--auth-key==", "mode=x=session="]
+    values = [SECRET_KEY, SECRET_KEY + "=="]
+    got = novel_places(spark, [name + value + " end" for name in names for value in values])
+    assert got == [[(len(name), len(name + value))] for name in names for value in values]
+    short, plain, words = "pwd=zQ9x8Lm2Vb7Tn4Kp6", "mode=" + SECRET_KEY, "secret_key=documentationdescriptionimplementation"
+    after = SECRET_KEY + "=private"
+    got = novel_places(spark, [short, plain, words, after, "the auth key k=zQ9x8Lm2Vb7Tn4Kp6R", "key=" * 30])
+    assert got == [[(0, len(short))], [], [], [], [(13, 33)], []]
+
+
 def labelled(n=900, seed=3):
     rng = random.Random(seed)
     syllables = ["ta", "ri", "mon", "el", "ver", "sho", "lin", "qua", "pe", "dor"]
