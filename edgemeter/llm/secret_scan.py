@@ -1,10 +1,11 @@
 """Secrets in texts: known forms, and strings that zstandard cannot foresee.
 
 A long token in a sensitive context (a word such as `key` or `auth` shortly
-before it, or in the name it is assigned to) is a candidate. Its novelty is what it adds to the compressed size
-of its surroundings, when the compressor is primed with a dictionary of common
-identifiers and code: words and identifiers cost little, random strings nearly
-their full entropy.
+before it, or in the name it is assigned to) is a candidate. Its novelty is what
+it adds to the compressed size of its surroundings, without further copies of
+itself, when the compressor is primed with a dictionary of common identifiers
+and code: words and identifiers cost little, random strings nearly their full
+entropy.
 """
 
 from __future__ import annotations
@@ -90,11 +91,16 @@ def novel_spans(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[i
 
     Of an assignment only the long parts are measured, and the names before a
     part count as its context. Where no part is long and novel, the candidate
-    is measured as it stands.
+    is measured as it stands. Other places of the same string are blanked in
+    the surroundings, so that a repeated secret is as novel as a single one.
     """
 
-    def novel(start: int, end: int) -> bool:
-        around = text[max(0, start - AROUND_CHARS) : start] + "\n" + text[end : end + AROUND_CHARS]
+    def novel(start: int, end: int, same: str) -> bool:
+        # Wide enough that a place which crosses the edge of the surroundings is whole.
+        wide, blank = AROUND_CHARS + len(same), " " * len(same)
+        before = text[max(0, start - wide) : start].replace(same, blank)[-AROUND_CHARS:]
+        after = text[end : end + wide].replace(same, blank)[:AROUND_CHARS]
+        around = before + "\n" + after
         size = len(compressor.compress(around.encode()))
         more = len(compressor.compress((around + "\n" + text[start:end]).encode()))
         return more - size >= NOVELTY * (end - start)
@@ -106,9 +112,10 @@ def novel_spans(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[i
         word = SENSITIVE.search(text, max(0, m.start() - CONTEXT_CHARS), parts[-1][0])
         if not word:
             continue
-        found = [(a, 3, b) for a, b in parts
-                 if b - a >= CANDIDATE_CHARS and word.end() <= a and novel(a, b)]
-        if not found and len(parts) > 1 and novel(*m.span()):
+        values = [text[a:b].rstrip("=") for a, b in parts]
+        found = [(a, 3, b) for (a, b), value in zip(parts, values, strict=True)
+                 if b - a >= CANDIDATE_CHARS and word.end() <= a and novel(a, b, value or text[a:b])]
+        if not found and len(parts) > 1 and novel(*m.span(), max(values, key=len)):
             found = [(m.start(), 3, m.end())]
         out += found
     return out

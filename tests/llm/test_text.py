@@ -183,6 +183,21 @@ def test_secrets_assigned_without_spaces(spark):
     assert got == [[(0, len(short))], [], [], [], [(13, 33)], []]
 
 
+def test_repeated_secrets(spark):
+    places = lambda text, value: [(m.start(), m.end()) for m in re.finditer(re.escape(value), text)]
+    cases = [
+        (f"the auth key {SECRET_KEY}\n" * 2, SECRET_KEY),
+        (f"private_key={SECRET_KEY}==\n" * 3, SECRET_KEY + "=="),
+        (f"auth key {SECRET_KEY} " + "word " * 94 + f"key {SECRET_KEY}", SECRET_KEY),  # the edge cuts the other place
+        ("pwd=zQ9x8Lm2Vb7Tn4Kp6\n" * 2, "pwd=zQ9x8Lm2Vb7Tn4Kp6"),
+        (f"key={SECRET_KEY} and key={SECRET_KEY}==", SECRET_KEY + "=="),
+    ]
+    got = novel_places(spark, [text for text, _ in cases])
+    assert got[:4] == [places(*case) for case in cases[:4]]
+    assert got[4] == [(4, 44), (53, 95)]
+    assert novel_places(spark, ["the key documentationdescription " * 3, "key " + "=" * 60]) == [[], []]
+
+
 def labelled(n=900, seed=3):
     rng = random.Random(seed)
     syllables = ["ta", "ri", "mon", "el", "ver", "sho", "lin", "qua", "pe", "dor"]
