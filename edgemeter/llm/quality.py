@@ -9,6 +9,7 @@ calibration on labelled texts that built neither dictionary.
 import math
 import random
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +21,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgemeter.llm.storage import unused
+from edgemeter.llm.storage import staged, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 2048
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS = 2500  # per class, for the dictionaries and the calibration together
-SAMPLE_CHARS = 16_384  # of each sampled document
+DICTIONARY_CHUNKS = 16_384  # per class, expected number; taken by hash where there are more
 LEVEL = 3
 
 
@@ -85,9 +86,8 @@ def features(texts: list[str], compressors) -> np.ndarray:
     return out
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _dictionary(parts: list[bytes]) -> bytes:
     """A trained dictionary, or the text itself where there is too little to train on."""
-    parts = [c for t in texts for c in chunks(t.encode())]
     random.Random(0).shuffle(parts)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
@@ -112,6 +112,42 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
     return w.tolist()
 
 
+def _chunk_picker(shares: dict[tuple[int, int], float]):
+    """Chunks of the documents (y, doc_id) named in `shares`, of each about that share."""
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, y, text in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
+                least = shares.get((y, doc_id), 0) * 2**32
+                parts = [(i, c) for i, c in enumerate(chunks(text.encode())) if zlib.crc32(b"%d %d" % (doc_id, i)) < least]
+                if parts:
+                    at, part = zip(*parts, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id] * len(at), pa.int64()), pa.array([y] * len(at), pa.int32()),
+                         pa.array(at, pa.int64()), pa.array(part, pa.binary())],
+                        names=["doc_id", "y", "at", "part"])
+
+    return run
+
+
+def _measurer(model: Model, wanted: set[tuple[int, int]]):
+    """Features of the documents (y, doc_id) in `wanted`."""
+
+    def run(batches):
+        compressors = model.compressors()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True)
+                rows = [r for r in rows if (r[1], r[0]) in wanted]
+                x = features([text for _, _, text in rows], compressors)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+                     pa.array(x.tolist(), pa.list_(pa.float64()))],
+                    names=["doc_id", "y", "x"])
+
+    return run
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -123,11 +159,13 @@ def fit(
     """Learn from labelled rows that are not `held_out`.
 
     At most `sample_docs` documents of each class, those with the smallest
-    hashes of their ids, are read, and of each at most SAMPLE_CHARS: one half
-    builds the dictionaries, the other calibrates. Class shares are those of all
-    labelled rows, from a count. Rows without an id or a label of 0 or 1 teach
-    nothing; with fewer than four documents of a class the score is the share
-    of label 1, or a half without any label.
+    hashes of their ids, are read whole: one half builds the dictionaries, the
+    other calibrates. Of rows repeated under one id the smallest text counts.
+    Dictionaries are trained on the chunks of their half, on a part of them
+    chosen by hash where they are more than DICTIONARY_CHUNKS. Class shares are
+    those of all labelled rows, from a count. Rows without an id or a label of 0
+    or 1 teach nothing; with fewer than four documents of a class the score is
+    the share of label 1, or a half without any label.
     """
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("y"))
@@ -138,27 +176,41 @@ def fit(
     total = sum(shares.values())
     ids = [
         known.filter(F.col("y") == y).select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
-        .orderBy("h", "doc_id").limit(sample_docs)
+        .distinct().orderBy("h", "doc_id").limit(sample_docs)
         for y in (0, 1)
     ]
-    # At most 2 * sample_docs rows on the build side and in the result.
+    # At most 2 * sample_docs rows on the build side and in the sample.
     picked = F.broadcast(ids[0].unionAll(ids[1]))
     texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("text"),
-    )
-    rows = texts.join(picked, "doc_id").select("y", "h", "text").limit(4 * sample_docs).collect()
-    rows.sort(key=lambda r: (r["h"], r["text"]))
-    by_class = [[r["text"] for r in rows if r["y"] == y] for y in (0, 1)]
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = staged(
+        texts.join(picked, "doc_id").groupBy("doc_id", F.col("y").cast("int").alias("y"), "h")
+        .agg(F.min("text").alias("text")),
+        "quality-sample")
+    rows = sample.select("doc_id", "y", "h", F.octet_length("text").alias("size")).collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
+    by_class = [[r for r in rows if r["y"] == y] for y in (0, 1)]
     flat = [0.0] * 5, [0.0] * 5, [1.0] * 5
     if min(map(len, by_class)) < 4:
         share = shares.get(1, 0) / total if total else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(b"", b"", [math.log(share / (1 - share)), *flat[0]], flat[1], flat[2])
-    bad, good = (_dictionary(t[::2]) for t in by_class)
+    place = {(r["y"], r["doc_id"]): i for i, r in enumerate(by_class[0] + by_class[1])}
+    taken = {}
+    for half in (c[::2] for c in by_class):
+        n = sum(-(-r["size"] // CHUNK_BYTES) for r in half)
+        taken |= {(r["y"], r["doc_id"]): DICTIONARY_CHUNKS / max(n, DICTIONARY_CHUNKS) for r in half}
+    # Only chunks and features reach the driver, no whole text.
+    read = sample.select("doc_id", "y", "text")
+    parts = read.mapInArrow(_chunk_picker(taken), "doc_id long, y int, at long, part binary").collect()
+    parts.sort(key=lambda r: (place[r["y"], r["doc_id"]], r["at"]))
+    bad, good = (_dictionary([bytes(r["part"]) for r in parts if r["y"] == y]) for y in (0, 1))
     model = Model(good, bad, [0.0, *flat[0]], flat[1], flat[2])
-    test = [t[1::2] for t in by_class]
-    x = features(test[0] + test[1], model.compressors())
+    test = [c[1::2] for c in by_class]
+    wanted = {(r["y"], r["doc_id"]) for r in test[0] + test[1]}
+    measured = read.mapInArrow(_measurer(model, wanted), "doc_id long, y int, x array<double>").collect()
+    measured.sort(key=lambda r: place[r["y"], r["doc_id"]])
+    x = np.array([r["x"] for r in measured])
     y = np.array([0] * len(test[0]) + [1] * len(test[1]))
     weight = np.where(y == 1, shares[1] / len(test[1]), shares[0] / len(test[0]))
     weight *= len(y) / weight.sum()

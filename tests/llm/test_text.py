@@ -228,6 +228,34 @@ def test_quality_on_held_out_labels(spark):
     assert kept.count() == sum(r["predicted"] for r in got.values())
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rows, labels = labelled(120)
+    head = " ".join(t for i, t in rows if labels[i][1])[:8000] * 3  # longer than any prefix once read
+    docs = spark.createDataFrame([(i, head + t * 40) for i, t in rows], "doc_id long, text string")
+    truth = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality.score(docs, quality.fit(docs, truth)).collect()
+    assert sum(r["predicted"] == labels[r["doc_id"]][1] for r in got) / len(got) > 0.97
+
+
+def test_quality_takes_one_row_per_id(spark):
+    rows, labels = labelled(200)
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame([(i, t + "~" * n) for i, t in rows for n in range(9)], "doc_id long, text string")
+    truth = spark.createDataFrame(labels, "doc_id long, quality int")
+    model, again = (quality.fit(d, truth, sample_docs=40) for d in (once, often.repartition(5)))
+    assert (again.good, again.bad, again.weights) == (model.good, model.bad, pytest.approx(model.weights))
+
+
+def test_quality_takes_dictionary_chunks_from_the_whole_text():
+    text = "".join(f"{i:08d}" for i in range(100_000))
+    run = quality._chunk_picker({(1, 7): 0.1})
+    parts = pa.concat_tables(pa.Table.from_batches([b]) for b in run([pa.record_batch(
+        [pa.array([7, 8]), pa.array([1, 1], pa.int32()), pa.array([text, text])], names=["doc_id", "y", "text"])]))
+    at = parts.column("at").to_pylist()
+    assert 20 < len(at) < 60 and at[0] < 60 and at[-1] > 330
+    assert all(text.encode()[2048 * i :][:2048] == c for i, c in zip(at, parts.column("part").to_pylist(), strict=True))
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
