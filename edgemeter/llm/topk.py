@@ -31,6 +31,7 @@ LLOYD_ROUNDS = 4
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
 SLACK = 1e-6
+ROUNDING = 1e-15
 
 
 def _quantise(scale: int):
@@ -44,8 +45,11 @@ def _quantise(scale: int):
                 if vec_id is None or vector is None or None in vector:
                     continue
                 scaled = np.floor(np.asarray(vector, np.float64) * scale)
-                if np.isfinite(scaled).all() and (np.abs(scaled) < 2**53).all():
-                    rows.append((vec_id, len(vector), scaled.astype(np.int64).tobytes()))
+                if not np.isfinite(np.asarray(vector, np.float64)).all():
+                    continue
+                if (np.abs(scaled) >= 2**63).any():
+                    raise ValueError(f"vector {vec_id} has a component beyond 64 bits")
+                rows.append((vec_id, len(vector), scaled.astype(np.int64).tobytes()))
             if rows:
                 vec_id, dim, packed = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -126,6 +130,9 @@ def _needed(pivots: dict[int, np.ndarray], summary: dict[int, tuple], k: int):
                     norm = np.sqrt((q**2).sum(1))
                     at_pivot = q @ p.T
                     slack = SLACK * (1 + np.abs(at_pivot) + norm[:, None] * radius[None, :])
+                    # Rounding of products that cancel, where components differ widely.
+                    size = np.sqrt((p**2).sum(1)) + radius
+                    slack += ROUNDING * (dim + 8) * norm[:, None] * size[None, :]
                     far = norm[:, None, None] * np.where(np.isinf(least), 0, least)[None, :, :]
                     sure = at_pivot[:, :, None] - far - slack[:, :, None]
                     sure[:, np.isinf(least)] = -np.inf  # the cell has fewer members
@@ -187,11 +194,11 @@ def top_k(
     Components become floor(scale * x). Queries are the rows whose id is
     divisible by `query_every`; the candidates are all other rows, the whole
     table. Ties go to the smaller id; with fewer candidates all are returned.
-    Rows without an id, and vectors that are null or hold a null, a non-finite
-    or a component beyond 2^53 after scaling, take no part. Of rows repeated
-    under one id the smallest vector counts. Vectors of different lengths are
-    not compared; a score beyond 64 bits raises. Pivots come from at most SAMPLE_ROWS rows; they decide the
-    amount of work, not the result.
+    Rows without an id, and vectors that are null or hold a null or a non-finite
+    component, take no part. Of rows repeated under one id the smallest vector
+    counts. Vectors of different lengths are not compared; a scaled component or
+    a score beyond 64 bits raises. Pivots come from at most SAMPLE_ROWS rows;
+    they decide the amount of work, not the result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     packed = staged(

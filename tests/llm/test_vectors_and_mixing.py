@@ -58,6 +58,21 @@ def test_top_k_large_components(spark):
     assert sorted(map(tuple, topk.top_k(frame, 5, 50).collect())) == brute_top(rows, 5, 50)
 
 
+def test_top_k_huge_components(spark):
+    rows = [(0, [2.0**-8, 1.0])]
+    rows += [(i, [2.0 ** (44 + i % 10) * (-1) ** i, float(i)]) for i in range(1, 20)]
+    rows += [(100, [2.0**-8, 0.0]), (200, [2.0**-8, -(2.0**-8)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = [(i, [int(c * 256) for c in v]) for i, v in rows]
+    want = []
+    for q, x in exact:
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in exact if i != q)[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    assert any(s >= 2**53 for *_, s in want)
+    assert sorted(map(tuple, topk.top_k(frame, 5, 50).collect())) == sorted(want)
+
+
 def documents(seed=1):
     rng = random.Random(seed)
     sources = ["big"] * 300 + ["mid"] * 60 + ["low"] * 40 + [None] * 30 + ["empty"] * 3
