@@ -1,18 +1,20 @@
 """Exact top-k by inner product: a Voronoi join.
 
-Every vector belongs to the nearest of a few pivots. A cell is summarised by the
+Every vector, query or not, belongs to the nearest of a few pivots; the queries of
+one cell form groups of bounded size. A cell is summarised by the
 distances of its members from the pivot: the largest one and the k+1 smallest.
 For a query q and a member x of the cell of p, the product is at least
 q.p - |q| * |x-p| and at most q.p + |q| * |x-p|. The summaries' lower bounds
 give each query a score that k vectors surely reach; only cells whose upper
-bound comes up to it are searched. Queries and data meet in blocks of bounded
-size, each solved with one matrix product.
+bound comes up to it are searched. A block of data goes once to each query group
+of which a member needs its cell, and is solved there with one matrix product.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
 SLACK = 1e-6
 ROUNDING = 1e-15
+HUGE = -1  # the cell of vectors with components beyond 64 bits: no bounds, always searched
+HUGE_BYTES = 136  # holds every double times a scale of up to 2^60
 
 
 def _quantise(scale: int):
@@ -44,12 +48,16 @@ def _quantise(scale: int):
             for vec_id, vector in zip(ids, batch.column("vector").to_pylist(), strict=True):
                 if vec_id is None or vector is None or None in vector:
                     continue
-                scaled = np.floor(np.asarray(vector, np.float64) * scale)
                 if not np.isfinite(np.asarray(vector, np.float64)).all():
                     continue
+                with np.errstate(over="ignore"):
+                    scaled = np.floor(np.asarray(vector, np.float64) * scale)
                 if (np.abs(scaled) >= 2**63).any():
-                    raise ValueError(f"vector {vec_id} has a component beyond 64 bits")
-                rows.append((vec_id, len(vector), scaled.astype(np.int64).tobytes()))
+                    whole = [math.floor(Fraction(x) * scale) for x in vector]
+                    cell = b"".join(x.to_bytes(HUGE_BYTES, "little", signed=True) for x in whole)
+                else:
+                    cell = scaled.astype(np.int64).tobytes()
+                rows.append((vec_id, len(vector), cell))
             if rows:
                 vec_id, dim, packed = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -59,8 +67,19 @@ def _quantise(scale: int):
     return run
 
 
-def _unpack(cells) -> np.ndarray:
+def _is_huge(cell: bytes, dim: int) -> bool:
+    return len(cell) == HUGE_BYTES * dim and dim > 0
+
+
+def _unpack(cells, dim: int | None = None) -> np.ndarray:
     cells = list(cells)
+    if dim is not None and any(_is_huge(c, dim) for c in cells):
+        out = np.empty((len(cells), dim), object)
+        for row, cell in enumerate(cells):
+            width = HUGE_BYTES if _is_huge(cell, dim) else 8
+            out[row] = [int.from_bytes(cell[i : i + width], "little", signed=True)
+                        for i in range(0, len(cell), width)]
+        return out
     return np.frombuffer(b"".join(cells), np.int64).reshape(len(cells), -1)
 
 
@@ -96,6 +115,11 @@ def _assign(pivots: dict[int, np.ndarray]):
             cell, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
             for dim in np.unique(dims):
                 who = np.flatnonzero(dims == dim)
+                huge = np.array([_is_huge(packed[i], dim) for i in who])
+                cell[who[huge]] = HUGE
+                who = who[~huge]
+                if not len(who):
+                    continue
                 x = _unpack(packed[i] for i in who).reshape(len(who), dim).astype(np.float64)
                 p = pivots[int(dim)]
                 cell[who] = _distances(x, p).argmin(1)
@@ -122,8 +146,12 @@ def _needed(pivots: dict[int, np.ndarray], summary: dict[int, tuple], k: int):
             lists: list = [None] * len(dims)
             for dim in np.unique(dims):
                 who = np.flatnonzero(dims == dim)
-                cells, radius, least = summary[int(dim)]
-                p = pivots[int(dim)][cells]
+                cells, radius, least, always = summary[int(dim)]
+                huge = np.array([_is_huge(packed[i], dim) for i in who])
+                for row in who[huge]:
+                    lists[row] = cells.tolist() + always
+                who = who[~huge]
+                p = pivots[int(dim)][cells] if len(cells) else np.zeros((0, dim))
                 for at in range(0, len(who), 1024):
                     part = who[at : at + 1024]
                     q = _unpack(packed[i] for i in part).reshape(len(part), dim).astype(np.float64)
@@ -140,42 +168,46 @@ def _needed(pivots: dict[int, np.ndarray], summary: dict[int, tuple], k: int):
                     reach = sure[:, k] if sure.shape[1] > k else np.full(len(part), -np.inf)
                     best = at_pivot + norm[:, None] * radius[None, :] + slack
                     for row, keep in zip(part, best >= reach[:, None], strict=True):
-                        lists[row] = cells[keep].tolist()
+                        lists[row] = cells[keep].tolist() + always
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("dim"), batch.column("packed"),
-                 batch.column("own"), pa.array(lists, pa.list_(pa.int32()))],
-                names=["vec_id", "dim", "packed", "own", "cells"])
+                [*batch.columns, pa.array(lists, pa.list_(pa.int32()))],
+                names=[*batch.schema.names, "cells"])
 
     return run
 
 
 def _solve(k: int):
     def run(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
+        columns = ["query_id", "vec_id", "score", "copies"]
         if not len(queries) or not len(data):
             return pd.DataFrame(columns=columns).astype("int64")
+        dim = int(queries["dim"].iloc[0])
         order = np.argsort(data["vec_id"].to_numpy(), kind="stable")
-        ids = data["vec_id"].to_numpy()[order]
-        x = _unpack(data["packed"].to_numpy()[order])
-        q = _unpack(queries["packed"])
-        own = queries["vec_id"].to_numpy()
-        bound = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(x.shape[1], 1)
+        ids, copies = data["vec_id"].to_numpy()[order], data["copies"].to_numpy()[order]
+        x = _unpack(data["packed"].to_numpy()[order], dim)
+        q = _unpack(queries["packed"], dim)
+        own, times = queries["vec_id"].to_numpy(), queries["copies"].to_numpy()
+        first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+        most = lambda v: max((abs(int(y)) for y in (v.max(initial=0), v.min(initial=0))), default=0)
+        bound = most(x) * most(q) * max(dim, 1)
         # Products below 2^53 are exact in doubles, and far faster there.
         kind = np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
         x = x.astype(kind)
         out = []
         for at in range(0, len(q), 256):
             score = q[at : at + 256].astype(kind) @ x.T
-            for i, row in enumerate(score):
-                mine = own[at + i]
-                if len(row) > k + 1:
-                    edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                    near = np.flatnonzero(row >= edge)
-                else:
-                    near = np.arange(len(row))
-                near = near[ids[near] != mine]
-                near = near[np.lexsort((ids[near], -row[near]))][:k]
-                out += [(mine, ids[j], int(row[j])) for j in near]
+            for i, row in enumerate(score, at):
+                # Rows under the query's own id stand together.
+                place = np.arange(len(row))
+                if first[i] < last[i]:
+                    place = np.delete(place, np.s_[first[i] : last[i]])
+                    row = row[place]
+                near = np.arange(len(row))
+                if len(row) > k:
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                near = near[np.lexsort((ids[place[near]], -row[near]))][:k]
+                out += [(own[i], ids[place[j]], int(row[j]), min(int(copies[place[j]]) * int(times[i]), k))
+                        for j in near]
         return pd.DataFrame(out, columns=columns).astype("int64")
 
     return run
@@ -195,65 +227,73 @@ def top_k(
     divisible by `query_every`; the candidates are all other rows, the whole
     table. Ties go to the smaller id; with fewer candidates all are returned.
     Rows without an id, and vectors that are null or hold a null or a non-finite
-    component, take no part. Of rows repeated under one id the smallest vector
-    counts. Vectors of different lengths are not compared; a scaled component or
-    a score beyond 64 bits raises. Pivots come from at most SAMPLE_ROWS rows;
+    component, take no part. Rows repeated under one id are rows of their own:
+    each is a candidate of the other ids, and a query asked by several rows gets
+    the best of all their scores. Vectors of different lengths are not compared;
+    only a score beyond 64 bits that would be returned raises. Pivots come from at most SAMPLE_ROWS rows;
     they decide the amount of work, not the result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     packed = staged(
         rows.mapInArrow(_quantise(scale), "vec_id long, dim int, packed binary")
-        .groupBy("vec_id")
-        .agg(F.min(F.struct("dim", "packed")).alias("v"))
-        .select("vec_id", "v.dim", "v.packed"),
+        # Equal rows are solved once.
+        .groupBy("vec_id", "dim", "packed").agg(F.count(F.lit(1)).alias("copies")),
         "vectors",
     )
     sizes = {r["dim"]: r["n"] for r in packed.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
-        own = packed.filter(F.col("dim") == dim)
-        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+        own = packed.filter((F.col("dim") == dim) & (F.length("packed") == 8 * F.col("dim")))
+        sample = own.orderBy(F.xxhash64("vec_id", "packed"), "vec_id", "packed").limit(SAMPLE_ROWS).collect()
         wanted = min(MAX_PIVOTS, max(4, int(math.sqrt(n) / 16)))
-        pivots[dim] = _centres(_unpack(r["packed"] for r in sample).reshape(len(sample), dim), wanted)
+        if sample:
+            pivots[dim] = _centres(_unpack(r["packed"] for r in sample).reshape(len(sample), dim), wanted)
     data = staged(
         packed.mapInArrow(
-            _assign(pivots), "vec_id long, dim int, packed binary, cell int, away double"),
+            _assign(pivots), "vec_id long, dim int, packed binary, copies long, cell int, away double"),
         "cells",
     )
     nearest = F.row_number().over(Window.partitionBy("dim", "cell", "part").orderBy("away"))
     # Smallest distances first per part of a cell, then per cell: no cell is sorted in one task.
-    least = data.select("dim", "cell", "away", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
+    # One row per id is enough for a bound, and the query's own id is then among them once.
+    bounded = data.filter(F.col("cell") != HUGE)
+    one = bounded.groupBy("vec_id", "dim").agg(F.min(F.struct("away", "cell")).alias("v"))
+    least = one.select("dim", "v.cell", "v.away", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
     least = least.withColumn("nth", nearest).filter(F.col("nth") <= k + 1)
     shape = data.groupBy("dim", "cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
-    # One row per cell, at most MAX_PIVOTS per dimension, each with k + 1 distances.
+    # One row per cell, at most MAX_PIVOTS + 1 per dimension, each with k + 1 distances.
     cells = shape.join(
         least.groupBy("dim", "cell").agg(F.slice(F.array_sort(F.collect_list("away")), 1, k + 1).alias("least")),
-        ["dim", "cell"],
+        ["dim", "cell"], "left",
     ).collect()
     summary = {}
     for dim in sizes:
-        own = sorted((r for r in cells if r["dim"] == dim), key=lambda r: r["cell"])
+        own = sorted((r for r in cells if r["dim"] == dim and r["cell"] != HUGE), key=lambda r: r["cell"])
         table = np.full((len(own), k + 1), np.inf)
         for i, r in enumerate(own):
-            table[i, : len(r["least"])] = r["least"]
+            table[i, : len(r["least"] or [])] = r["least"] or []
         summary[dim] = (
-            np.array([r["cell"] for r in own]), np.array([r["radius"] for r in own]), table)
+            np.array([r["cell"] for r in own], np.int64), np.array([r["radius"] for r in own], np.float64), table,
+            [HUGE for r in cells if r["dim"] == dim and r["cell"] == HUGE])
     blocks = shape.select(
         "dim", "cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = data.join(F.broadcast(blocks), ["dim", "cell"]).withColumn(
-        "block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        "block", F.pmod(F.xxhash64("vec_id", "packed"), F.col("blocks")).cast("int"))
 
     queries = data.filter(F.col("vec_id") % query_every == 0)
-    groups = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("groups"))
-    queries = queries.join(F.broadcast(groups), "dim").withColumn(
-        "own", F.pmod(F.xxhash64("vec_id"), F.col("groups")).cast("int"))
+    # Queries of one cell ask for much the same cells: a group never spans cells.
+    groups = queries.groupBy("dim", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("long").alias("groups"))
+    nth = F.pmod(F.xxhash64("vec_id", "packed"), F.col("groups"))
+    queries = queries.join(F.broadcast(groups), ["dim", "cell"]).withColumn(
+        "own", F.shiftleft(F.col("cell").cast("long"), 40) + nth)
     wanted = staged(
-        queries.select("vec_id", "dim", "packed", "own").mapInArrow(
+        queries.select("vec_id", "dim", "packed", "copies", "own").mapInArrow(
             _needed(pivots, summary, k),
-            "vec_id long, dim int, packed binary, own int, cells array<int>"),
+            "vec_id long, dim int, packed binary, copies long, own long, cells array<int>"),
         "queries",
     )
-    asked = wanted.select("vec_id", "dim", "packed", "own", F.explode("cells").alias("cell"))
+    asked = wanted.select("vec_id", "dim", "packed", "copies", "own", F.explode("cells").alias("cell"))
     asked = asked.join(F.broadcast(blocks), ["dim", "cell"]).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = ["dim", "cell", "block", "own"]
@@ -261,11 +301,12 @@ def top_k(
     needed = wanted.select("dim", "own", F.explode("cells").alias("cell")).distinct()
     there = [f"to_{name}" for name in meet]
     sent = placed.join(needed, ["dim", "cell"]).select(
-        *[F.col(name).alias(to) for name, to in zip(meet, there, strict=True)], "vec_id", "packed")
+        *[F.col(name).alias(to) for name, to in zip(meet, there, strict=True)], "vec_id", "packed", "copies")
     found = (
-        asked.select(*meet, "vec_id", "packed").groupBy(*meet)
+        asked.select(*meet, "vec_id", "packed", "copies").groupBy(*meet)
         .cogroup(sent.groupBy(*there))
-        .applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+        .applyInPandas(_solve(k), "query_id long, vec_id long, score long, copies long")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     )
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (

@@ -47,11 +47,66 @@ def test_top_k_fewer_candidates_and_repeated_rows(spark):
     rows = [(0, [1.0]), (1, [0.5]), (1, [0.5]), (2, [0.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk.top_k(frame, 5, 50).collect()))
-    assert got == [(0, 1, 1, 256 * 128), (0, 2, 2, 256 * 128)]
+    assert got == [(0, 1, 1, 256 * 128), (0, 2, 1, 256 * 128), (0, 3, 2, 256 * 128)]
+    # Different vectors under one id are candidates of their own.
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.1, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(frame, 5, 50).collect()))
+    assert got == [(0, 1, 1, 230 * 256), (0, 2, 1, 128 * 256), (0, 3, 2, 25 * 256)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(empty).count() == 0
 
 
+def test_top_k_repeated_ids_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), rng.normal(size=4).round(1).tolist()) for i in rng.integers(0, 120, 900)]
+    rows += [(50, rows[0][1])] * 9 + [(7, rows[1][1])] * 9
+    exact = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        scores = sorted(
+            (-sum(a * b for a, b in zip(x, y, strict=True)), j)
+            for i, x in exact if i == q for j, y in exact if j != q)[:5]
+        want += [(q, n, j, -score) for n, (score, j) in enumerate(scores, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, topk.top_k(frame, 5, 50).collect())) == want
+
+
+def test_top_k_components_beyond_64_bits(spark):
+    rows = [(0, [2.0**-8, 0.0]), (1, [0.0, 1e300]), (2, [3.0, -1e300]), (3, [2.0, 5.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame, 2, 50).collect())) == [(0, 1, 2, 768), (0, 2, 3, 512)]
+    frame = spark.createDataFrame([(50, [0.0, 1.0]), *rows], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large|overflow|OverflowError"):
+        topk.top_k(frame, 2, 50).collect()  # a score that no long holds
+
+
+def test_top_k_sends_a_block_only_to_groups_that_need_it(spark):
+    rng = np.random.default_rng(4)
+    centre = 100 * np.eye(8)
+    rows = [(i, (centre[i % 8] + rng.normal(size=8)).tolist()) for i in range(40_000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    sent = spark.sparkContext.accumulator(0)
+    solve = topk._solve
+
+    def counting(k):
+        inner = solve(k)
+
+        def run(key, queries, data):
+            sent.add(len(data) if len(queries) else 0)
+            return inner(key, queries, data)
+
+        return run
+
+    topk._solve = counting
+    try:
+        assert topk.top_k(frame, 5, 50).count() == 4000
+    finally:
+        topk._solve = solve
+    # Eight clusters and no query that needs another cluster's cells: about one copy of the table.
+    assert sent.value <= 2 * len(rows)
+
+
 def test_top_k_large_components(spark):
     rows = [(0, [2.0**30, 1.0]), (1, [2.0**10, 3.0]), (2, [2.0**10, 4.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
