@@ -2,11 +2,14 @@
 
 All of them see one slice of texts as one byte buffer with row offsets, so a
 slice costs a few NumPy passes however many short texts it holds. Fingerprints
-depend on the bytes alone: every task on every machine names equal words alike.
+depend on the bytes (and a key) alone: every task on every machine names equal
+words alike. `span_hash` and `word_hash` are quick and collide on texts made for
+it, so they only select candidates; what removes or links text goes by digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -124,7 +127,30 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def digest(data: bytes, key: bytes = b"") -> bytes:
+    """128-bit BLAKE2 digest."""
+    return hashlib.blake2b(data, digest_size=16, key=key).digest()
+
+
+def digests(data: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) halves of the digests of data[begin:end]."""
+    cells = [digest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(cells), np.uint64).reshape(-1, 2)
+
+
+def keyed_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """Fingerprint of each word under a secret key, from BLAKE2; once for each distinct word."""
+    data, known = buf.tobytes(), {}
+    at = np.fromiter(
+        (known.setdefault(data[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)),
+        np.int64, len(starts))
+    named = b"".join(hashlib.blake2b(word, digest_size=8, key=key).digest() for word in known)
+    return np.frombuffer(named, np.uint64)[at]
+
+
+def shingles(
+    words: np.ndarray, bounds: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each row, sorted, with the rows' bounds.
 
     A row of fewer than k words has its whole sequence as its only shingle; a
@@ -136,7 +162,11 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     edge = np.concatenate([[0], np.cumsum(n)])
     begin = np.repeat(bounds[some] - edge[:-1], n) + np.arange(edge[-1])
     width = np.repeat(np.minimum(counts[some], k), n)
-    hashed = span_hash(words, begin, begin + width, WORD_BASE)
+    hashed = width.astype(np.uint64)
+    for j in range(min(k, int(width.max(initial=0)))):
+        inside = np.flatnonzero(width > j) if j else slice(None)
+        # A step that no later word can undo.
+        hashed[inside] = mix(hashed[inside] * np.uint64(0x9E3779B97F4A7C15) ^ words[begin[inside] + j])
     parts, sizes = [], np.zeros(len(counts), np.int64)
     for row, a, b in zip(some.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         own = np.sort(hashed[a:b])
@@ -149,9 +179,9 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def text_shingles(
-    buf: np.ndarray, offsets: np.ndarray, k: int
+    buf: np.ndarray, offsets: np.ndarray, k: int, key: bytes
 ) -> tuple[np.ndarray, np.ndarray]:
-    """`shingles` of texts with A-Z lowered."""
+    """`shingles` of texts with A-Z lowered, named under a secret key."""
     low = LOWER[buf]
     starts, ends, bounds = word_spans(low, offsets, NON_SPACE)
-    return shingles(word_hash(low, starts, ends), bounds, k)
+    return shingles(keyed_words(low, starts, ends, key), bounds, k)

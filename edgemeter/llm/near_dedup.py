@@ -17,6 +17,7 @@ confirmed on the whole sets as well.
 from __future__ import annotations
 
 import math
+import secrets
 import sys
 
 import numpy as np
@@ -33,6 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SUB_KEY_VALUES = 3
 MISS = 0.001
+TABLES = b"tables"
 LONG_SIGNATURE = 512
 DEVIATIONS = 4.5
 BATCH_DOCS = 8_192
@@ -57,17 +59,18 @@ def _minima(sets: np.ndarray, bounds: np.ndarray, n: int, stream: int) -> np.nda
     return out
 
 
-def _signer(k: int, m: int, r: int):
+def _signer(k: int, m: int, r: int, key: bytes):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()),
                         ("f2", pa.int64()), ("sub", pa.binary())])
 
     def sign(batches):
         for batch in batches:
             for first, buf, offsets in arrays.text_slices(batch.column("text")):
-                sets, bounds = arrays.text_shingles(buf, offsets, k)
                 rows = len(offsets) - 1
+                # Which tables two documents share must not change from run to run.
+                minima = _minima(*arrays.text_shingles(buf, offsets, k, TABLES), 2 * m * r, 7).astype(np.uint64)
+                sets, bounds = arrays.text_shingles(buf, offsets, k, key)
                 sizes = np.diff(bounds)
-                minima = _minima(sets, bounds, 2 * m * r, 7).astype(np.uint64)
                 sub = np.zeros((rows, 2 * m), np.uint64)
                 for j in range(2 * m):
                     sub[:, j] = np.uint64(j)
@@ -148,7 +151,7 @@ def _long_signer(k: int):
     def sign(batches):
         for batch in batches:
             for first, buf, offsets in arrays.text_slices(batch.column("text")):
-                sets, bounds = arrays.text_shingles(buf, offsets, k)
+                sets, bounds = arrays.text_shingles(buf, offsets, k, TABLES)
                 rows = _minima(sets, bounds, LONG_SIGNATURE, 17).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, len(rows)),
@@ -159,7 +162,7 @@ def _long_signer(k: int):
     return sign
 
 
-def _measurer(k: int):
+def _measurer(k: int, key: bytes):
     """Sizes of intersection and union of the two texts' whole shingle sets."""
 
     def measure(batches):
@@ -170,7 +173,7 @@ def _measurer(k: int):
                 for name in ("text_a", "text_b"):
                     own = []
                     for _, buf, offsets in arrays.text_slices(part.column(name)):
-                        sets, bounds = arrays.text_shingles(buf, offsets, k)
+                        sets, bounds = arrays.text_shingles(buf, offsets, k, key)
                         own += np.split(sets, bounds[1:-1])
                     sides.append(own)
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True))
@@ -183,7 +186,7 @@ def _measurer(k: int):
     return measure
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, k: int, key: bytes) -> DataFrame:
     """(a, b, both, either) of pairs, counted on the whole texts.
 
     The left document of many pairs is copied once per SLOT_PAIRS of them, so
@@ -200,11 +203,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
     ).select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     return left.join(right, ["a", "slot"]).select("a", "b", "text_a", "text_b").mapInArrow(
-        _measurer(k), "a long, b long, both long, either long"
+        _measurer(k, key), "a long, b long, both long, either long"
     )
 
 
-def _linker(k: int, percent: int):
+def _linker(k: int, percent: int, key: bytes):
     """Links between different components of one block, confirmed on the whole
     sets; rows come sorted by block. Components that a link has joined are not
     compared again, so a block gives fewer links than it has documents."""
@@ -236,7 +239,7 @@ def _linker(k: int, percent: int):
         sets = {}
         texts = block.column("text").take(pa.array(used))
         for first, buf, offsets in arrays.text_slices(texts):
-            found, bounds = arrays.text_shingles(buf, offsets, k)
+            found, bounds = arrays.text_shingles(buf, offsets, k, key)
             sets.update(zip(used[first:], np.split(found, bounds[1:-1]), strict=False))
         root: dict[int, int] = {}
 
@@ -281,7 +284,8 @@ def _linker(k: int, percent: int):
 
 
 def _across(
-    stars: DataFrame, measured: DataFrame, comps: DataFrame, texts: DataFrame, k: int, percent: int
+    stars: DataFrame, measured: DataFrame, comps: DataFrame, texts: DataFrame, k: int, percent: int,
+    key: bytes,
 ) -> DataFrame:
     """Links between components among the members of each star.
 
@@ -337,7 +341,7 @@ def _across(
         .select("a", "block.kind", "block.i", "block.j", "doc", "away", "comp", "rest", "text", "sig")
         .repartition(shuffle_partitions(stars), "a", "kind", "i", "j")
         .sortWithinPartitions("a", "kind", "i", "j")
-        .mapInArrow(_linker(k, percent), "a long, b long")
+        .mapInArrow(_linker(k, percent, key), "a long, b long")
         .distinct()
     )
 
@@ -359,12 +363,14 @@ def near_duplicates(
     repeated under one id appear as often as they are given; a row without id
     takes no part and is kept, with a null component.
     """
+    # Sets are compared under a key drawn now, for which no text can be made to collide.
+    key = secrets.token_bytes(16)
     r = SUB_KEY_VALUES
     m = collection_size(percent / 100, r)
     rows = plain(docs, id_col, text_col)
     signed = staged(
         rows.mapInArrow(
-            _signer(k, m, r), "doc_id long, n_shingles long, f1 long, f2 long, sub binary"
+            _signer(k, m, r, key), "doc_id long, n_shingles long, f1 long, f2 long, sub binary"
         ),
         "signed",
     )
@@ -395,10 +401,10 @@ def near_duplicates(
         "texts",
     )
     passed = F.col("both") * 100 >= F.col("either") * percent
-    measured = staged(_confirm(stars.select("a", "b").distinct(), texts, k), "measured")
+    measured = staged(_confirm(stars.select("a", "b").distinct(), texts, k, key), "measured")
     links = measured.filter(passed).select("a", "b")
     comps = components(links)
-    more = staged(_across(stars, measured, comps, texts, k, percent), "more")
+    more = staged(_across(stars, measured, comps, texts, k, percent, key), "more")
     if not more.isEmpty():
         comps = components(links.unionAll(more))
 

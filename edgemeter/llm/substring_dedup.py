@@ -16,7 +16,9 @@ once are unique. For the others a second round compares the windows under each
 anchor name. A text as a whole is one more symbol: of texts that share it, only
 the smallest takes part in the second round.
 
-Names that repeat within a batch are settled there, so a hot name has at most
+Windows and whole texts are compared by 128-bit BLAKE2 digests of their words, so
+only names that merely select candidates rest on quick fingerprints. Names that
+repeat within a batch are settled there, so a hot name has at most
 one row per batch in a shuffle. Nothing is collected: the texts' shuffle by
 document is written once and read by both rounds.
 """
@@ -39,7 +41,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PAIR_ROUNDS = 4
 COPY, LEAD = -1, -2
 BATCH_ROWS = 1 << 20
-WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("at", "<i4"), ("w", "u1")])
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("at", "<i4"), ("w", "u1")])
 
 
 def _regroup(names, starts, ends, head):
@@ -152,6 +154,23 @@ def _parsed(batch, size):
         yield first, uid, bounds, words, buf, starts, ends, *_rounds(words, bounds, size)
 
 
+def _joined(buf, starts, ends):
+    """(words joined by one space, begin and end of each word there)."""
+    width = ends - starts + 1
+    begins = np.cumsum(width) - width
+    out = np.full(int(width.sum()), 0x20, np.uint8)
+    at = np.repeat(begins - starts, width - 1) + np.flatnonzero(_inside(len(buf), starts, ends))
+    out[at] = buf[at - np.repeat(begins - starts, width - 1)]
+    return out.tobytes(), begins, begins + width - 1
+
+
+def _inside(n, starts, ends):
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
 def _place_in_row(windows, anchor, n_anchors, bounds):
     """(row of each anchor, number of each anchor within its row)."""
     row = np.zeros(n_anchors, np.int64)
@@ -180,7 +199,7 @@ def _anchor_rows(size: int):
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(len(at) + 1, dtype=np.int32)), pa.array(number[at].astype(np.int32)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[at].view(np.int64)), pa.array(check[at].view(np.int32)), pa.array(uid[at]),
+            [pa.array(key[at].view(np.int64)), pa.array(check[at].view(np.int64)), pa.array(uid[at]),
              lists, pa.array(np.minimum(n, 2).astype(np.int32))],
             names=["key", "check", "uid", "numbers", "weight"])
         uid, number = uid[~new], number[~new]  # settled here: one row per text
@@ -192,7 +211,7 @@ def _anchor_rows(size: int):
         lists = pa.ListArray.from_arrays(
             pa.array(np.append(at, len(uid)).astype(np.int32)), pa.array(number.astype(np.int32)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(_spread(uid[at]).view(np.int64)), pa.array(np.full(len(at), -1, np.int32)),
+            [pa.array(_spread(uid[at]).view(np.int64)), pa.array(np.full(len(at), -1, np.int64)),
              pa.array(uid[at]), lists, pa.array(np.full(len(at), 2, np.int32))],
             names=["key", "check", "uid", "numbers", "weight"])
 
@@ -201,14 +220,13 @@ def _anchor_rows(size: int):
         for batch in batches:
             for _, uid, bounds, words, buf, starts, ends, windows, anchor, names in _parsed(batch, size):
                 row, number = _place_in_row(windows, anchor, len(names), bounds)
-                held.append((names, np.zeros(len(names), np.uint32), uid[row], number))
+                held.append((names, np.zeros(len(names), np.uint64), uid[row], number))
                 long = np.flatnonzero(np.diff(bounds) >= size)
-                a, b = bounds[long], bounds[long + 1]
-                again = arrays.word_hash(buf, starts, ends, 2)
-                check = arrays.span_hash(again, a, b, arrays.WORD_BASE + 2)
-                held.append((arrays.mix(arrays.span_hash(words, a, b, arrays.WORD_BASE)),
-                             (check >> np.uint64(32)).astype(np.uint32) | np.uint32(1), uid[long],
-                             np.full(len(long), COPY)))
+                data, begins, ends_at = _joined(buf, starts, ends)
+                half = arrays.digests(data, begins[bounds[long]], ends_at[bounds[long + 1] - 1])
+                # Odd and positive: neither 0, an anchor's mark, nor -1, a settled row's.
+                check = (half[:, 1] >> np.uint64(1)) | np.uint64(1)
+                held.append((half[:, 0], check, uid[long], np.full(len(long), COPY)))
                 n += len(names) + len(long)
                 if n >= BATCH_ROWS:
                     yield from emit(held)
@@ -283,12 +301,10 @@ def _window_rows(size: int):
                 windows, anchor = windows[take], anchor[take]
                 if not len(windows):
                     continue
-                again = arrays.word_hash(buf, starts, ends, 2)
-                g = arrays.span_hash(again, windows, windows + size, arrays.WORD_BASE + 2)
+                data, begins, ends_at = _joined(buf, starts, ends)
+                half = arrays.digests(data, begins[windows], ends_at[windows + size - 1])
                 wr = row[anchor]
-                held.append((names[anchor], uid[wr],
-                             arrays.span_hash(words, windows, windows + size, arrays.WORD_BASE),
-                             (g >> np.uint64(32)).astype(np.uint32),
+                held.append((names[anchor], uid[wr], half[:, 0], half[:, 1],
                              (windows - bounds[wr]).astype(np.int32),
                              np.where(is_lead[wr], 2, 1).astype(np.int64)))
                 n += len(windows)
@@ -419,7 +435,7 @@ def remove_repeats(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
     )
     names = texts.select("uid", "text").mapInArrow(
-        _anchor_rows(size), "key long, check int, uid long, numbers array<int>, weight int")
+        _anchor_rows(size), "key long, check long, uid long, numbers array<int>, weight int")
     same = Window.partitionBy("key", "check")
     counted = names.select(
         "uid", "numbers", "check", F.sum("weight").over(same).alias("n"),

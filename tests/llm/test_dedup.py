@@ -204,3 +204,25 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_duplicates(empty).count() == 0
     assert near_dedup.near_duplicates(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def thue_morse(n, zero, one):
+    """Words whose polynomial fingerprints modulo 2^64 agree for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [zero if b else one for b in bits], [one if b else zero for b in bits]
+
+
+def test_constructed_collisions_remove_and_link_nothing(spark):
+    left, right = ("".join(x) for x in thue_morse(1024, "a", "b"))
+    head = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{head} {left}", None, None, None), (2, f"{head} {right}", None, None, None)], SCHEMA)
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+    texts = [f"{left} x y", f"{right} x y", *(" ".join(x) for x in thue_morse(2048, "no", "yes"))]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs.filter("doc_id < 2"), 3, 85).collect()}
+    assert all(r["kept"] and r["component_id"] == i for i, r in got.items())
+    long = [" ".join(x) for x in thue_morse(2048, "no", "yes")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(long)], SCHEMA)
+    got = substring_dedup.remove_repeats(docs, size=1500).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
