@@ -20,10 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgemeter.functions.ranking import cumulate
 from edgemeter.llm.storage import staged, unused
 
 BLOCK_DOCS = 64
-MAX_BLOCKS = 256
 SECTIONS = 16
 PASSES = 7
 
@@ -125,18 +125,19 @@ def mix(
         "name",
         F.floor(epochs).cast("int").alias("whole"),
         F.floor((epochs - F.floor(epochs)) * F.col("tokens")).cast("long").alias("extra"),
-        F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int").alias("blocks"),
+        F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks"),
     )
     dealt = rows.join(plan, "name").withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")).cast("int")
+        "block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks"))
     )
     sums = dealt.groupBy("name", "block").agg(
         F.sum("tokens").alias("size"), F.first("extra").alias("extra")
     )
-    # At most MAX_BLOCKS rows per source.
-    order = Window.partitionBy("name").orderBy(F.xxhash64(F.lit(seed + 1), "name", "block"), "block")
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("name", "block", "size", (F.col("extra") - F.coalesce(before, F.lit(0))).alias("left"))
+    # The permutation of the blocks: totals of their order, by ranges, as a source may have many.
+    sums = cumulate(
+        staged(sums.withColumn("turn", F.xxhash64(F.lit(seed + 1), "name", "block")), "blocks"),
+        ["name"], "turn", ["size"], descending=False,
+    ).select("name", "block", "size", (F.col("extra") - F.col("cum_size") + F.col("size")).alias("left"))
     placed = dealt.drop("extra").join(sums, ["name", "block"])
     inside = Window.partitionBy("name", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id")
     filled = F.sum("tokens").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))

@@ -172,10 +172,11 @@ def _measurer(k: int, key: bytes):
                 sides = []
                 for name in ("text_a", "text_b"):
                     own = []
-                    for _, buf, offsets in arrays.text_slices(part.column(name)):
+                    texts = part.column(name).dictionary_encode()  # a star's centre comes with each of its members
+                    for _, buf, offsets in arrays.text_slices(texts.dictionary):
                         sets, bounds = arrays.text_shingles(buf, offsets, k, key)
                         own += np.split(sets, bounds[1:-1])
-                    sides.append(own)
+                    sides.append([own[i] for i in texts.indices.to_numpy()])
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True))
                                  for x, y in zip(*sides, strict=True)], np.int64)
                 size = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64)

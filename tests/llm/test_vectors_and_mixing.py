@@ -218,5 +218,5 @@ def test_pipeline_against_its_parts(spark, tmp_path):
 
 def test_queries_are_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and callable(corpus_pipeline.run)
