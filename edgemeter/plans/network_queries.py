@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import r6
-from edgemeter.operators import association, networks
+from edgemeter.functions.treekernels import PRIME, factor
+from edgemeter.operators import association, networks, trees
 from edgemeter.plans import benchmark
 from edgemeter.plans import evaluation_queries as ev
 from edgemeter.plans.catalog import query
@@ -345,6 +346,57 @@ def information_network(spark, sf):
     return rounded(out, "mi", "weight").withColumn("puc", F.round("puc", 5) + F.lit(0.0))
 
 
+# ---- tree importance ----------------------------------------------------------
+
+
+def tree_ctes(n_trees: int, depth: int, bins: int, min_leaf: int, sample: float, share: float | None,
+              rate: float, seed: int = 1) -> dict[str, str]:
+    """The same trees, one after the other, as joins of all cells with all candidates."""
+    md5 = "('0x'||substr(md5({0}), 1, 7))::BIGINT"
+    m = "CEIL(SQRT(COUNT(*)))" if share is None else f"CEIL(COUNT(*) * CAST({share} AS DOUBLE))"
+    out = {
+        "b": f"SELECT gene, cell, v, CASE WHEN v = 0 THEN 0 ELSE 1 + CAST(FLOOR((RANK() OVER w + (COUNT(*) OVER (PARTITION BY gene, v) - 1) / 2.0 - 0.5) * {bins} / COUNT(*) OVER (PARTITION BY gene, v <> 0)) AS INT) END AS bin FROM d WINDOW w AS (PARTITION BY gene, v <> 0 ORDER BY v)",
+        "g": f"SELECT gene, ROW_NUMBER() OVER (ORDER BY gene) - 1 AS place, {md5.format('gene')} AS h FROM (SELECT DISTINCT gene FROM d) x",
+        "m": f"SELECT {m} AS m FROM g",
+        "u": f"SELECT cell, {md5.format('cell')} AS h FROM (SELECT DISTINCT cell FROM d) x",
+        "y0": "SELECT gene AS target, cell, v FROM b",
+    }
+    for t in range(n_trees):
+        out[f"w{t}_0"] = f"SELECT target, cell, 1 AS node, CAST(0 AS DOUBLE) AS pred FROM y{t}"
+        for level in range(depth):
+            here, node = f"{t}_{level}", "target, node"
+            factors = ", ".join(f"({n}, {factor(seed, t, n)})" for n in range(1 << level, 2 << level))
+            out[f"c{here}"] = f"SELECT * FROM (SELECT t.gene AS target, f.node, g.gene, g.place, ROW_NUMBER() OVER (PARTITION BY t.gene, f.node ORDER BY g.h * f.f % {PRIME}, g.place) AS nth FROM g t, g, (VALUES {factors}) f(node, f) WHERE g.gene <> t.gene) x, m WHERE nth <= m"
+            out[f"h{here}"] = f"SELECT w.target, w.node, c.gene, c.place, b.bin, COUNT(*) AS n, SUM(y.v) AS s, SUM(y.v * y.v) AS q FROM w{here} w JOIN u ON u.cell = w.cell AND u.h * {factor(seed, t, 0)} % {PRIME} % 1000 < {round(sample * 1000)} JOIN y{t} y ON y.target = w.target AND y.cell = w.cell JOIN c{here} c ON c.target = w.target AND c.node = w.node JOIN b ON b.gene = c.gene AND b.cell = w.cell GROUP BY ALL"
+            out[f"r{here}"] = f"SELECT {node}, gene, place, bin, SUM(n) OVER k AS n1, SUM(s) OVER k AS s1, SUM(n) OVER a AS n0, SUM(s) OVER a AS s0, SUM(q) OVER a AS q0 FROM h{here} WINDOW a AS (PARTITION BY {node}, gene), k AS (PARTITION BY {node}, gene ORDER BY bin)"
+            out[f"e{here}"] = f"SELECT *, s1*s1/n1 + (s0-s1)*(s0-s1)/(n0-n1) - s0*s0/n0 AS gain, q0 - s0*s0/n0 AS spread FROM r{here} WHERE n1 >= {min_leaf} AND n0 - n1 >= {min_leaf}"
+            out[f"s{here}"] = f"SELECT {node}, gene, bin, gain, spread, s1/n1 AS low, (s0-s1)/(n0-n1) AS high FROM e{here} WHERE spread > 1e-9 AND ROUND(gain / spread, 9) > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY {node} ORDER BY ROUND(gain / spread, 9) DESC, place, bin) = 1"
+            out[f"w{t}_{level + 1}"] = f"SELECT w.target, w.cell, CASE WHEN s.gene IS NULL THEN 0 WHEN b.bin > s.bin THEN 2 * w.node + 1 ELSE 2 * w.node END AS node, CASE WHEN s.gene IS NULL THEN w.pred WHEN b.bin > s.bin THEN s.high ELSE s.low END AS pred FROM w{here} w LEFT JOIN s{here} s ON s.target = w.target AND s.node = w.node LEFT JOIN b ON b.gene = s.gene AND b.cell = w.cell"
+        out[f"y{t + 1}"] = f"SELECT y.target, y.cell, y.v - {rate} * w.pred AS v FROM y{t} y JOIN w{t}_{depth} w ON w.target = y.target AND w.cell = y.cell"
+    every = " UNION ALL ".join(f"SELECT {t} AS tree, * FROM s{t}_{level}" for t in range(n_trees) for level in range(depth))
+    return {**out, "s": every}
+
+
+def tree_sql(ctes: dict[str, str], first: str) -> str:
+    """Importances; `first` tells the roots whose sums of squares divide them."""
+    return with_fixtures([X], {
+        **{k: v for k, v in SPARSE.items() if k != "p"}, **ctes,
+        "z": f"SELECT target, SUM(spread) AS spread FROM s WHERE node = 1{first} GROUP BY target",
+    }, "SELECT 'ev' AS dataset_id, 'r1' AS run_id, s.gene AS gene1, s.target AS gene2, ROUND(SUM(s.gain) / MAX(z.spread), 6) + 0.0 AS weight FROM s JOIN z ON z.target = s.target GROUP BY s.gene, s.target")
+
+
+@query("tree_network_rf", tree_sql(tree_ctes(4, 3, 8, 5, 0.632, None, 0.0), ""))
+def tree_network_rf(spark, sf):
+    """A random forest for every gene."""
+    return rounded(trees.tree_network(_expr(spark, sf), "rf", n_trees=4, depth=3, bins=8), "weight")
+
+
+@query("tree_network_gbt", tree_sql(tree_ctes(3, 2, 8, 5, 0.9, 0.1, 0.5), " AND tree = 0"))
+def tree_network_gbt(spark, sf):
+    """Boosted trees for every gene."""
+    return rounded(trees.tree_network(_expr(spark, sf), "gbt", n_trees=3, depth=2, bins=8, rate=0.5), "weight")
+
+
 # ---- extension points ---------------------------------------------------------
 
 
