@@ -1,9 +1,11 @@
 """All-pairs inner products by blocks of items and chunks of features.
 
 Items (genes or runs) are hashed into blocks and features (cells or edges)
-into chunks, both sized from approximate counts. One task multiplies two
-blocks on one chunk with NumPy, so its memory is bounded whatever the size of
-a group, and only finished block products are shuffled and summed.
+into chunks, both sized from approximate counts. A block's values on one chunk
+are packed into one row, which names each item and feature once, so copies of a
+value carry no names. A task walks the sorted chunks of a pair of blocks and adds their NumPy products
+up in place: its memory is two blocks on one chunk whatever the size of a group,
+and the products leave it once for LANE_CHUNKS chunks.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgemeter.functions.joins import salted_join, spread_by
-from edgemeter.functions.kernels import block_product
+from edgemeter.functions.kernels import block_sums, pack_blocks
 
 ITEMS = 128
 FEATURES = 4096
+LANE_CHUNKS = 64
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -52,27 +55,30 @@ def pair_products(
         F.ceil(F.approx_count_distinct(item) / ITEMS).cast("int").alias("_blocks"),
         F.ceil(F.approx_count_distinct(feature) / FEATURES).cast("int").alias("_chunks"),
     )
-    placed = salted_join(rows, sizes, group, [item, feature])
-    packed = (
-        placed.withColumn("_b", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
-        .withColumn("_c", F.pmod(F.xxhash64(feature), F.col("_chunks")).cast("int"))
-        .groupBy(*group, "_blocks", "_b", "_c", F.col(item).alias("_item"))
-        .agg(
-            F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).alias("v"))).alias("_e")
-        )
+    types = dict(rows.dtypes)
+    named = [f"{c} {types[c]}" for c in group]
+    block = [*group, "_b", "_c"]
+    placed = (
+        salted_join(rows, sizes, group, [item, feature])
         .select(
-            *group, "_blocks", "_b", "_c", "_item",
-            F.col("_e.f").alias("_f"), F.col("_e.v").alias("_v"),
-        )
+            *group, "_blocks", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int").alias("_b"),
+            F.pmod(F.xxhash64(feature), F.col("_chunks")).cast("int").alias("_c"),
+            F.col(item).alias("_item"), F.col(feature).alias("_feature"), F.col(value).cast("double").alias("_v"))
+    )
+    packed = (
+        spread_by(placed, *block).sortWithinPartitions(*block)
+        .mapInArrow(pack_blocks(block), ", ".join([
+            *named, "_blocks int, _b int, _c int", f"_items array<{types[item]}>",
+            f"_features array<{types[feature]}>", "_i array<int>, _f array<int>, _v array<double>"]))
+        .withColumn("_lane", F.expr(f"_c div {LANE_CHUNKS}"))
     )
-    packed = block_pairs(packed)
-    types = dict(rows.dtypes)
     schema = ", ".join(
-        [f"{c} {types[c]}" for c in group]
-        + [f"item_a {types[item]}", f"item_b {types[item]}", "dot double"]
+        named + [f"item_a {types[item]}", f"item_b {types[item]}", "dot double"]
     )
-    where = [*group, "_lo", "_hi", "_c"]
-    partial = spread_by(packed, *where).groupBy(*where).applyInPandas(
-        lambda pdf: block_product(pdf, group), schema
+    where = [*group, "_lo", "_hi", "_lane"]
+    partial = (
+        spread_by(block_pairs(packed), *where)
+        .sortWithinPartitions(*where, "_c")
+        .mapInArrow(block_sums(group), schema)
     )
     return partial.groupBy(*group, "item_a", "item_b").agg(F.sum("dot").alias("dot"))

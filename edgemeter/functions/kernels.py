@@ -11,6 +11,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,24 +40,131 @@ def with_keys(out: pd.DataFrame, pdf: pd.DataFrame, keys: list[str]) -> pd.DataF
     return out
 
 
-def block_product(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Inner products of two item blocks on one feature chunk."""
-    dense, block, item = dense_rows(pdf), pdf["_b"].to_numpy(), pdf["_item"].to_numpy()
-    low, high = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    dots = dense[left] @ dense[right].T
-    if low == high:
-        rows, cols = np.triu_indices(len(left))
-    else:
-        rows, cols = np.indices(dots.shape).reshape(2, -1)
-    first, second = item[left[rows]], item[right[cols]]
-    swap = first > second
-    out = pd.DataFrame({
-        "item_a": np.where(swap, second, first),
-        "item_b": np.where(swap, first, second),
-        "dot": dots[rows, cols],
-    })
-    return with_keys(out, pdf, keys)
+def pack_blocks(keys: list[str]):
+    """One row for each run of equal `keys`, in which the rows come sorted: items
+    and features once each, and the values with their numbers in these lists."""
+
+    def pack(held):
+        table = pa.Table.from_batches(held)
+        out = {c: [table.column(c)[0].as_py()] for c in [*keys, "_blocks"]}
+        for column, names, numbers in (("_item", "_items", "_i"), ("_feature", "_features", "_f")):
+            coded = table.column(column).combine_chunks().dictionary_encode()
+            out[names], out[numbers] = [coded.dictionary], [coded.indices]
+        out["_v"] = [table.column("_v").combine_chunks()]
+        lists = {
+            c: pa.ListArray.from_arrays(pa.array([0, len(out[c][0])], pa.int32()), out[c][0])
+            for c in ("_items", "_features", "_i", "_f", "_v")}
+        order = [*keys[:-2], "_blocks", "_b", "_c"]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(out[c], table.schema.field(c).type) for c in order), *lists.values()],
+            names=[*order, *lists])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                code = batch.column(key).dictionary_encode().indices.fill_null(-1).to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                head = tuple(batch.column(key)[a].as_py() for key in keys)
+                if held and head != last:
+                    yield pack(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = head
+        if held:
+            yield pack(held)
+
+    return run
+
+
+class _BlockSum:
+    """Inner products of two item blocks, summed chunk by chunk."""
+
+    def __init__(self, same: bool):
+        self.same = same
+        self.places: tuple[dict, dict] = ({}, {})
+        self.total = np.zeros((128, 128))
+        self.open_chunk()
+
+    def open_chunk(self) -> None:
+        self.numbers: dict = {}
+        self.rows: tuple[list, list] = ([], [])
+
+    def add(self, side: int, items: list, features: list, i: np.ndarray, f: np.ndarray, v: np.ndarray) -> None:
+        """A block's values on the open chunk."""
+        places, numbers = self.places[side], self.numbers
+        at = np.array([places.setdefault(x, len(places)) for x in items])
+        to = np.array([numbers.setdefault(x, len(numbers)) for x in features])
+        self.rows[side].append((at, i, to[f], v))
+
+    def close_chunk(self) -> None:
+        if self.rows[0] and (self.same or self.rows[1]):
+            left, at = self._dense(self.rows[0])
+            right, to = (left, at) if self.same else self._dense(self.rows[1])
+            need = max(at.max(), to.max()) + 1
+            if need > len(self.total):
+                wider = np.zeros((2 * need, 2 * need))
+                wider[: len(self.total), : len(self.total)] = self.total
+                self.total = wider
+            self.total[np.ix_(at, to)] += left @ right.T
+        self.open_chunk()
+
+    def _dense(self, rows):
+        (at, i, f, v), = rows  # a block and chunk is one row
+        out = np.zeros((len(at), len(self.numbers)))
+        out[i, f] = v
+        return out, at
+
+    def pairs(self):
+        """(item_a, item_b, dot) with item_a <= item_b."""
+        left = np.array(list(self.places[0]), object)
+        right = left if self.same else np.array(list(self.places[1]), object)
+        rows, cols = np.triu_indices(len(left)) if self.same else np.indices((len(left), len(right))).reshape(2, -1)
+        first, second = left[rows], right[cols]
+        swap = first > second
+        return np.where(swap, second, first), np.where(swap, first, second), self.total[rows, cols]
+
+
+def block_sums(keys: list[str]):
+    """Products of the block pairs of a partition, whose rows come sorted by
+    `keys`, block pair, lane and chunk."""
+
+    def run(batches):
+        state, place, chunk = None, None, None
+
+        def emit():
+            state.close_chunk()
+            a, b, dot = state.pairs()
+            columns = [pa.array([k] * len(dot), kind) for k, kind in zip(place, kinds, strict=False)]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(a, item_kind), pa.array(b, item_kind), pa.array(dot)],
+                names=[*keys, "item_a", "item_b", "dot"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            item_kind = batch.schema.field("_items").type.value_type
+            heads = list(zip(*(batch.column(k).to_pylist() for k in [*keys, "_lo", "_hi", "_lane"]), strict=True))
+            for i, head in enumerate(heads):
+                row = {c: batch.column(c)[i] for c in ("_b", "_c", "_items", "_features", "_i", "_f", "_v")}
+                if head != place:
+                    if state is not None:
+                        yield emit()
+                    state, place, chunk = _BlockSum(head[-3] == head[-2]), head, row["_c"]
+                elif row["_c"] != chunk:
+                    state.close_chunk()
+                    chunk = row["_c"]
+                # Copies: the batch goes away before its chunk is complete.
+                numbers = [row[c].values.to_numpy().copy() for c in ("_i", "_f", "_v")]
+                state.add(int(row["_b"].as_py() != head[-3]), row["_items"].as_py(), row["_features"].as_py(), *numbers)
+        if state is not None:
+            yield emit()
+
+    return run
 
 
 def inversions(values: np.ndarray) -> int:
