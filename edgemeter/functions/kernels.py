@@ -229,37 +229,6 @@ def zero_inflated(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return with_keys(pd.DataFrame(rows, columns=columns), pdf, keys)
 
 
-def lagged(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Largest absolute correlation over the lags for the gene pairs of two blocks."""
-    n, max_lag = int(pdf["n"].iloc[0]), int(pdf["max_lag"].iloc[0])
-    dense, genes, block = dense_rows(pdf, n), pdf["gene"].to_numpy(), pdf["_b"].to_numpy()
-    low, high = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-    window = n - max_lag
-
-    def unit(x):
-        """Centred rows of length 1; NaN for a constant row."""
-        flat = (x == x[:, :1]).all(axis=1, keepdims=True)
-        x = x - x.mean(axis=1, keepdims=True)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.where(flat, np.nan, x / np.where(flat, 1.0, norm))
-
-    parts = []
-    for first, second in {(low, high), (high, low)}:
-        a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        lead = unit(dense[a, :window])
-        best = np.full((len(a), len(b)), np.nan)
-        lag_of = np.zeros(best.shape, dtype=int)
-        for lag in range(max_lag + 1):
-            r = lead @ unit(dense[b, lag : lag + window]).T
-            better = ~np.isnan(r) & (np.isnan(best) | (np.abs(r) > np.abs(best) + 1e-12))
-            best[better], lag_of[better] = r[better], lag
-        i, j = np.nonzero(~np.isnan(best) & (genes[a][:, None] != genes[b][None, :]))
-        parts.append(pd.DataFrame({
-            "gene1": genes[a][i], "gene2": genes[b][j], "weight": best[i, j], "lag": lag_of[i, j],
-        }))
-    return with_keys(pd.concat(parts, ignore_index=True), pdf, keys)
-
-
 def two_sided_t(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided Student p-value: the regularised incomplete beta function
     I_x(df/2, 1/2) at x = df / (df + t^2), by its continued fraction."""

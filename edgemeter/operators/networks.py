@@ -10,19 +10,22 @@ from edgemeter.functions.blockinverse import BLOCK, block_inverse
 from edgemeter.functions.columns import ratio, valid_number
 from edgemeter.functions.gram import pair_products
 from edgemeter.functions.joins import salted_join, spread_by
-from edgemeter.functions.kernels import lagged, t_pvalue
+from edgemeter.functions.kernels import t_pvalue
+from edgemeter.functions.lagkernels import lagged_segments
 from edgemeter.functions.ranking import mid_ranks, rank_offsets
 from edgemeter.operators.association import (
     _products,
     _with_both,
     both_directions,
-    series_pairs,
 )
 from edgemeter.operators.matrix import TRAJECTORY, ordered_expression
 from edgemeter.operators.preprocess import GENE, cell_counts
 from edgemeter.schema import CELL_KEYS, PAIR
 from edgemeter.session import checkpointed
 
+LAG_ITEMS = 16
+LAG_CHUNK = 4096
+
 # ---- partial rank correlation -----------------------------------------------
 
 
@@ -106,21 +109,56 @@ def gate_pvalue(pairs: DataFrame, cutoff: float) -> DataFrame:
 def lagged_network(expr: DataFrame, pt: DataFrame, max_lag: float = 0.33) -> DataFrame:
     """(dataset_id, run_id, trajectory, gene1, gene2, weight, lag): signed
     correlation of largest size over lags 0..floor(max_lag * cells), gene1
-    leading, on a window of fixed length; the smallest lag wins a tie."""
-    rows = ordered_expression(expr, pt)
-    per_trajectory = pt.groupBy(*TRAJECTORY).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    per_trajectory = per_trajectory.withColumn("max_lag", F.floor(F.col("n") * max_lag).cast("int"))
-    packed = series_pairs(
-        rows.select(*TRAJECTORY, "gene", F.col("cell_index").cast("int").alias("cell_index"), "value"),
-        TRAJECTORY, "cell_index",
-    ).join(per_trajectory, TRAJECTORY)
+    leading, on a window of fixed length; the smallest lag wins a tie (to
+    nine places).
+
+    A task takes two blocks of genes and one segment of lags, and streams their
+    series chunk by chunk, so it holds two chunks of each however long they are.
+    """
+    rows = ordered_expression(expr, pt).select(
+        *TRAJECTORY, "gene", F.col("cell_index").cast("long").alias("at"), "value")
+    cells = pt.groupBy(*TRAJECTORY).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    names = rows.groupBy(*TRAJECTORY, "gene").agg(F.sum("value").alias("sum"))
+    blocks = names.groupBy(*TRAJECTORY).agg(F.ceil(F.count(F.lit(1)) / LAG_ITEMS).cast("int").alias("blocks"))
+    shape = cells.join(blocks, TRAJECTORY).select(
+        *TRAJECTORY, "n", "blocks", F.floor(F.col("n") * max_lag).cast("int").alias("max_lag"),
+        F.least(F.lit(LAG_CHUNK), F.pow(2, F.ceil(F.log2("n")))).cast("int").alias("length"))
+    none = F.array().cast("array<int>")
+    headers = salted_join(names, shape, TRAJECTORY, ["gene"]).select(
+        *TRAJECTORY, "gene", *shape.columns[len(TRAJECTORY):], F.lit(None).cast("int").alias("chunk"),
+        none.alias("places"), F.array(F.col("sum") / F.col("n")).alias("values"))
+    chunk = F.expr("at div length").cast("int")
+    chunks = (
+        salted_join(rows, shape, TRAJECTORY, ["gene", "at"])
+        .groupBy(*TRAJECTORY, "gene", *shape.columns[len(TRAJECTORY):], chunk.alias("chunk"))
+        .agg(F.collect_list(F.struct((F.col("at") % F.col("length")).cast("int").alias("p"), "value")).alias("held"))
+        .select(*headers.columns[:-2], F.col("held.p").alias("places"), F.col("held.value").alias("values"))
+    )
+    packed = headers.unionByName(chunks).withColumn("own", F.pmod(F.xxhash64("gene"), F.col("blocks")).cast("int"))
+    packed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "segment", F.explode(F.sequence(F.lit(0), F.expr("max_lag div length").cast("int"))))
+    window = F.col("n") - F.col("max_lag")
+    steps = F.ceil(window / F.col("length")).cast("int")
+    common = [*TRAJECTORY, "n", "max_lag", "length", "segment", "gene", "places", "values"]
+    # A leading chunk waits for the following chunk that is `segment` + 1 further on.
+    leading = packed.filter(F.col("chunk").isNull() | (F.col("chunk") < steps)).select(
+        *common, F.col("own").alias("lead"), F.col("other").alias("follow"), F.lit(1).alias("role"),
+        F.coalesce(F.col("chunk") + 1, F.lit(-1)).alias("step"))
+    moved = F.col("chunk") - F.col("segment")
+    following = packed.filter(F.col("chunk").isNull() | ((moved >= 0) & (moved <= steps))).select(
+        *common, F.col("other").alias("lead"), F.col("own").alias("follow"), F.lit(0).alias("role"),
+        F.coalesce(moved, F.lit(-1)).alias("step"))
+    where = [*TRAJECTORY, "lead", "follow", "segment"]
     types = dict(pt.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in TRAJECTORY)
-    where = [*TRAJECTORY, "_lo", "_hi"]
-    return spread_by(packed, *where).groupBy(*where).applyInPandas(
-        lambda pdf: lagged(pdf, TRAJECTORY),
-        schema + ", gene1 string, gene2 string, weight double, lag int",
+    found = (
+        spread_by(leading.unionByName(following), *where)
+        .sortWithinPartitions(*where, "step", "role")
+        .mapInArrow(lagged_segments(TRAJECTORY), schema + ", gene1 string, gene2 string, weight double, lag int")
     )
+    best = F.max_by(F.struct("weight", "lag"), F.struct(F.round(F.abs("weight"), 9), -F.col("lag")))
+    return found.groupBy(*TRAJECTORY, *PAIR).agg(best.alias("best")).select(
+        *TRAJECTORY, *PAIR, "best.weight", "best.lag")
 
 
 # ---- merging and importing --------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from edgemeter.functions import gram
-from edgemeter.operators import association, trees
+from edgemeter.operators import association, networks, trees
 
 
 def sparse(rng, genes, cells):
@@ -70,3 +70,42 @@ def test_pearson_with_small_blocks_matches_numpy(spark, matrix, monkeypatch):
     assert len(got) == 42
     for (a, b), w in got.items():
         assert w == pytest.approx(want[int(a[1:]), int(b[1:])], abs=1e-9)
+
+
+def brute_lagged(x, max_lag):
+    """Largest correlation over lags by one np.corrcoef each."""
+    window, out = x.shape[1] - max_lag, {}
+    for i in range(len(x)):
+        for j in range(len(x)):
+            best = None
+            for lag in range(max_lag + 1):
+                a, b = x[i, :window], x[j, lag : lag + window]
+                if i == j or (a == a[0]).all() or (b == b[0]).all():
+                    continue
+                r = np.corrcoef(a, b)[0, 1]
+                if best is None or round(abs(r), 9) > round(abs(best[0]), 9):
+                    best = (r, lag)
+            if best:
+                out[i, j] = best
+    return out
+
+
+@pytest.mark.parametrize("items, chunk", [(16, 4096), (2, 8), (3, 16)])
+def test_lagged_network_over_chunks_and_segments(spark, matrix, monkeypatch, items, chunk):
+    monkeypatch.setattr(networks, "LAG_ITEMS", items)
+    monkeypatch.setattr(networks, "LAG_CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((7, 61)) < 0.5, rng.normal(size=(7, 61)) + 100, 0)
+    x[1, 4:] = x[0, :-4]  # follows gene 0 by four cells
+    x[3] = 5  # constant
+    x[4] = np.arange(61) == 60  # constant in the leading window
+    x[5, :30] = 0
+    pt = spark.createDataFrame(
+        [("d", "r1", f"c{i:03d}", 0, float(i)) for i in range(61)],
+        "dataset_id string, run_id string, cell string, trajectory int, t double")
+    got = {(int(r["gene1"][1:]), int(r["gene2"][1:])): r for r in networks.lagged_network(matrix(x), pt, 0.4).collect()}
+    want = brute_lagged(x, 24)
+    assert got.keys() == want.keys() and got[0, 1]["lag"] == 4
+    for pair, (r, lag) in want.items():
+        assert got[pair]["weight"] == pytest.approx(r, abs=1e-8) and got[pair]["lag"] == lag
+    assert networks.lagged_network(matrix(x).limit(0), pt, 0.4).collect() == []
