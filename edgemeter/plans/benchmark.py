@@ -10,10 +10,23 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgemeter.operators import association, curves, early, graph, matrix, networks, stability
+from edgemeter.functions.joins import salted_join
+from edgemeter.operators import (
+    association,
+    consensus,
+    curves,
+    early,
+    graph,
+    matrix,
+    networks,
+    stability,
+    timing,
+    trees,
+)
 from edgemeter.schema import KEYS
-from edgemeter.sources.config import load_config
+from edgemeter.sources.config import Benchmark, load_config
 from edgemeter.sources.edges import found_lists, read_ground_truth, read_ranked_edges
+from edgemeter.sources.timing import read_timings
 
 Metric = Callable[..., DataFrame]
 Network = Callable[[DataFrame, DataFrame | None], DataFrame]
@@ -48,20 +61,56 @@ def evaluate(
     return reduce(DataFrame.unionByName, parts)
 
 
-def evaluate_config(
-    spark: SparkSession, settings: Mapping[str, Any], names: list[str], root: str = "."
-) -> DataFrame:
-    """`evaluate` for a parsed configuration: the enabled datasets, runs and
-    algorithms, each dataset with its own ground-truth file."""
+def _configured(
+    spark: SparkSession, settings: Mapping[str, Any], root: str, edge_file: str
+) -> tuple[Benchmark, DataFrame, DataFrame, DataFrame]:
+    """(configuration, wanted lists, found lists, their edges)."""
     bench = load_config(spark, settings, root)
     chosen = bench.runs.join(
         bench.algorithms.agg(F.collect_set("algorithm_id").alias("_a"))
     ).select("dataset_id", "run_id", F.explode("_a").alias("algorithm_id"))
-    lists = found_lists(spark, bench.output_root).join(chosen, KEYS, "left_semi")
-    edges = read_ranked_edges(spark, bench.output_root).join(chosen, KEYS, "left_semi")
-    # One row per dataset of the configuration.
-    files = {r.dataset_id: r.ground_truth for r in bench.datasets.collect()}
-    return evaluate(edges, read_ground_truth(spark, bench.input_root, files), names, lists)
+    lists = found_lists(spark, bench.output_root, edge_file).join(chosen, KEYS, "left_semi")
+    edges = read_ranked_edges(spark, bench.output_root, edge_file).join(chosen, KEYS, "left_semi")
+    return bench, chosen, lists, edges
+
+
+def evaluate_config(
+    spark: SparkSession,
+    settings: Mapping[str, Any],
+    names: list[str],
+    root: str = ".",
+    edge_file: str = "rankedEdges.csv",
+    timing_file: str = "time*.txt",
+) -> DataFrame:
+    """`evaluate` for a parsed configuration: the enabled datasets, runs and
+    algorithms, each dataset with its own ground-truth file. `cpu_time` among the
+    names sums the timing logs, NULL for a wanted list without any."""
+    bench, chosen, lists, edges = _configured(spark, settings, root, edge_file)
+    parts = []
+    others = [n for n in names if n != "cpu_time"]
+    if others:
+        # One row per dataset of the configuration.
+        files = {r.dataset_id: r.ground_truth for r in bench.datasets.collect()}
+        parts.append(evaluate(edges, read_ground_truth(spark, bench.input_root, files), others, lists))
+    if "cpu_time" in names:
+        logs = read_timings(spark, bench.output_root, timing_file).join(chosen, KEYS, "left_semi")
+        parts.append(timing.cpu_time(logs, chosen))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def consensus_config(
+    spark: SparkSession, settings: Mapping[str, Any], root: str = ".", edge_file: str = "rankedEdges.csv"
+) -> DataFrame:
+    """`consensus.borda` of the lists of a parsed configuration; lists without rows count."""
+    _, _, lists, edges = _configured(spark, settings, root, edge_file)
+    return consensus.borda(edges, lists)
+
+
+def nicknamed(values: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Result rows with the `nickname` of their dataset, its id where it has none."""
+    names = datasets.select("dataset_id", F.col("nickname").alias("_nick"))
+    joined = salted_join(values, names, ["dataset_id"], values.columns, "left")
+    return joined.withColumn("nickname", F.coalesce("_nick", "dataset_id")).drop("_nick")
 
 
 def infer(expr: DataFrame, pt: DataFrame | None, names: list[str]) -> DataFrame:
@@ -136,6 +185,8 @@ for _kernel in association.KERNELS:
         ),
     )
 register_network("pearson", lambda expr, pt: association.pearson_network(expr))
+register_network("tree_rf", lambda expr, pt: trees.tree_network(expr, "rf"))
+register_network("tree_gbt", lambda expr, pt: trees.tree_network(expr, "gbt"))
 register_network("information", lambda expr, pt: networks.information_edges(expr))
 register_network(
     "partial_spearman",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import longer, r6
 from edgemeter.operators import matrix, preprocess
+from edgemeter.plans import benchmark
 from edgemeter.plans.catalog import query
 from edgemeter.plans.fixtures import (
     EMBEDDING_SQL,
@@ -170,6 +171,20 @@ def filter_network(spark, sf):
     return _network(spark, sf)
 
 
+@query("select_inputs", with_fixtures([O, M], {**NET_CTES,
+       "m": f"SELECT dataset_id, COUNT(*) AS n_values, COUNT(DISTINCT gene) AS n_rows, SUM(value) AS total FROM {M} WHERE gene IN (SELECT gene FROM chosen) GROUP BY dataset_id",
+       "c": "SELECT (SELECT COUNT(DISTINCT gene1) FROM slim) AS s, (SELECT COUNT(*) FROM (SELECT gene1 FROM slim UNION SELECT gene2 FROM slim) q) AS n, (SELECT COUNT(*) FROM slim) AS e"},
+       "SELECT 'parts' AS dataset_id, s AS n_sources, n AS n_genes, e AS n_edges, ROUND(CAST(e AS DOUBLE) / NULLIF(s * n - s, 0), 6) + 0.0 AS density, n_values, n_rows, ROUND(total, 6) + 0.0 AS total FROM c, m"))
+def select_inputs(spark, sf):
+    """The whole selection at once: chosen values, network and its statistics."""
+    _network(spark, sf)  # registers the tables of the network
+    slim, edges, stats = benchmark.select_inputs(
+        fixture(spark, sf, M), _ordering(spark, sf), spark.sql(NET), _regulators(spark, sf), cutoff=0.05, n=40)
+    values = slim.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("n_values"), F.count_distinct("gene").alias("n_rows"), F.sum("value").alias("total"))
+    return _round(_round(stats.join(values, "dataset_id"), "density"), "total")
+
+
 @query("network_stats", with_fixtures([O, M], {**NET_CTES,
        "c": f"SELECT (SELECT COUNT(DISTINCT gene1) FROM slim) AS s, (SELECT COUNT(*) FROM (SELECT gene1 FROM slim UNION SELECT gene2 FROM slim) q) AS n, (SELECT COUNT(*) FROM slim) AS e"},
        "SELECT 'parts' AS dataset_id, s AS n_sources, n AS n_genes, e AS n_edges, ROUND(CAST(e AS DOUBLE) / NULLIF(s * n - s, 0), 6) + 0.0 AS density FROM c"))
@@ -276,6 +291,11 @@ def per_lineage(spark, sf):
     return _round(preprocess.per_lineage(*_both(spark, sf))[1], "variance")
 
 
+@query("per_lineage_matrix", with_fixtures([X, T], LINEAGE, f"SELECT {C}, gene, cell, ROUND(value, 6) + 0.0 AS value FROM src"))
+def per_lineage_matrix(spark, sf):
+    return _round(preprocess.per_lineage(*_both(spark, sf))[0], "value")
+
+
 @query("heat_slice", with_fixtures([X, T], {"j": JOINED,
        "o": f"SELECT dataset_id, gene, CAST(1 AS DOUBLE) / SUM(value) AS pvalue FROM {X} GROUP BY dataset_id, gene",
        "top": "SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY dataset_id ORDER BY pvalue, gene) AS INT) AS gene_place FROM o"},

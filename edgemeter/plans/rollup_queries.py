@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from edgemeter.functions.columns import longer, r6
 from edgemeter.functions.ranking import global_rank
 from edgemeter.operators import curves, early, rollup, stability, timing
+from edgemeter.plans import benchmark
 from edgemeter.plans import evaluation_queries as ev
 from edgemeter.plans.catalog import query
 from edgemeter.plans.fixtures import fixture, with_fixtures
@@ -305,3 +306,37 @@ def missing_lists(spark, sf):
     extra = edges.sparkSession.createDataFrame([("alg_X",)], "algorithm_id string")
     algorithms = edges.select("algorithm_id").distinct().union(extra)
     return edge_io.missing_lists(edges, edges.select(*CELL_KEYS).distinct(), algorithms)
+
+
+def _written_benchmark(spark, sf):
+    """Lists, ground truths and logs as files, and a configuration that switches alg_P off."""
+    root = scratch_path(spark, "benchmark")
+    edges, gt = ev.fixture_pair(spark, sf)
+    edge_io.write_ranked_edges(edges, f"{root}/out", "csv")
+    shapes = edges.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    line = F.concat(F.lit("\tUser time (seconds): "), F.col("n").cast("string"),
+                    F.lit(".25\n\tSystem time (seconds): 0.25"))
+    shapes.select(*KEYS, F.lit("x").alias("working_dir"), line.alias("value")).write.mode("append").partitionBy(
+        *KEYS, "working_dir").text(f"{root}/out")
+    datasets = []
+    for row in shapes.groupBy("dataset_id").agg(F.collect_set("run_id").alias("runs")).collect():
+        own = gt.filter(F.col("dataset_id") == row.dataset_id)
+        own.select(F.col("gene1").alias("Gene1"), F.col("gene2").alias("Gene2"), F.col("type").alias("Type")).write.option(
+            "header", True).csv(f"{root}/in/{row.dataset_id}")
+        datasets.append({"dataset_id": row.dataset_id, "nickname": f"the {row.dataset_id}", "groundTruthNetwork": "part-*",
+                         "runs": [{"run_id": run} for run in row.runs]})
+    algorithms = [{"algorithm_id": f"alg_{x}", "should_run": [x != "P"]} for x in "FOP"]
+    settings = {"input_settings": {"input_dir": "in", "datasets": datasets, "algorithms": algorithms},
+                "output_settings": {"output_dir": "out"}}
+    return settings, root
+
+
+@query("evaluate_config", with_fixtures(ev.ALL, ev.area_ctes(), f"""SELECT {K}, metric, value, 'the ' || dataset_id AS nickname FROM (
+       SELECT {K}, 'auprc' AS metric, ROUND(auprc, 6) + 0.0 AS value FROM areas UNION ALL SELECT {K}, 'auroc', ROUND(auroc, 6) + 0.0 FROM areas
+       UNION ALL SELECT {K}, 'cpu_time', CAST(COUNT(*) AS DOUBLE) + 0.5 FROM fx_edges GROUP BY {K}) q WHERE algorithm_id <> 'alg_P'"""))
+def evaluate_config(spark, sf):
+    """Areas and CPU time of a benchmark of files, as its configuration selects them."""
+    settings, root = _written_benchmark(spark, sf)
+    values = benchmark.evaluate_config(spark, settings, ["areas", "cpu_time"], root, "part-*", "part-*")
+    named = benchmark.nicknamed(values, config.load_config(spark, settings, root).datasets)
+    return named.withColumn("value", r6("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import valid_number
-from edgemeter.schema import KEYS, PAIR
+from edgemeter.schema import GROUND_TRUTH, KEYS, PAIR
 from edgemeter.sources.files import body_lines, named_fields, path_parts
 
 FILE_BITS = 40
@@ -90,7 +90,8 @@ def read_ground_truth(
     if isinstance(filename, Mapping):
         parts = [read_ground_truth(spark, root, f"{name}", signed, dataset)
                  for dataset, name in filename.items()]
-        return reduce(DataFrame.unionByName, parts)
+        none = spark.createDataFrame([], GROUND_TRUTH)
+        return reduce(DataFrame.unionByName, parts, none)
     wanted = {"gene1": ("Gene1", 0), "gene2": ("Gene2", 1), "type": ("Type", None)}
     rows = named_fields(body_lines(spark, f"{root}/{dataset}/{filename}"), ",", wanted)
     keyed = rows.select(path_parts(["dataset_id"], 1)["dataset_id"].alias("dataset_id"), *PAIR, "type")
