@@ -25,9 +25,11 @@ from edgemeter.llm import pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KNOWN_PARTS = 150_000
+KNOWN_BYTES = 12 << 20  # what is remembered of parts, and again of tokens
+ENTRY_BYTES = 160  # of a dictionary entry besides its text and ids
 EMIT_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+DECODE_BYTES = 1 << 20
 LONG_PRETOKEN = 256
 
 _MERGES: dict[str, Merges] = {}
@@ -246,6 +248,10 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}  # parts after a space
         self.tokens: dict[str, bytes] = {}
+        self.held = [0, 0]  # bytes in `known` and in `tokens`
+
+    def _count(self, which: int, names, ids) -> None:
+        self.held[which] += sum(ENTRY_BYTES + len(n) + len(x) for n, x in zip(names, ids, strict=True))
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """Packed ids of parts."""
@@ -265,14 +271,15 @@ class Encoder:
             ids = encode_pretokens([t.encode() for t in short], self.merges, self.queue)
             self.tokens.update(zip(short, ids, strict=True))
         tokens = self.tokens
+        self._count(1, new, [tokens[t] for t in new])
         return [b"".join([tokens[t] for t in own]) for own in split]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed 32-bit integers."""
-        if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
-        if len(self.tokens) > KNOWN_PARTS:
-            self.tokens.clear()
+        for which, memory in enumerate((self.known, self.tokens)):
+            if self.held[which] > KNOWN_BYTES:
+                memory.clear()
+                self.held[which] = 0
         # A head has no leading space and is seldom seen twice, so it is not remembered.
         # Texts are cut twice rather than held in parts: distinct parts are few.
         heads: set[str] = set()
@@ -285,6 +292,7 @@ class Encoder:
         found = self.learn([*heads, *(" " + part for part in new)])
         first = dict(zip(heads, found, strict=False))
         self.known.update(zip(new, found[len(heads) :], strict=True))
+        self._count(0, new, found[len(heads) :])
         known = self.known.__getitem__
         out = []
         for text in texts:
@@ -333,8 +341,10 @@ def _decoding(path: str):
         begin = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, EMIT_ROWS):
-                part = batch.slice(at, EMIT_ROWS)
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
+            # Positions of all bytes of a run are held at once, so long texts go alone.
+            for a, b in pieces.runs([4 * n for n in sizes], DECODE_BYTES):
+                part = batch.slice(a, b - a)
                 ids = part.column("ids")
                 if ids.null_count:
                     ids = pa.array([i or [] for i in ids.to_pylist()], pa.list_(pa.int32()))
