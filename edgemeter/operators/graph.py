@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import ratio
-from edgemeter.functions.joins import spread_by
+from edgemeter.functions.joins import salted_join, spread_by
 from edgemeter.operators.primitives import (
     k_true,
     known_lists,
@@ -104,26 +104,33 @@ def motif_ratios(edges: DataFrame, gt: DataFrame, lists: DataFrame | None = None
     )
 
 
+#: Sources that share a word of the path search.
+WORD_BITS = 64
+
+
 def shortest_lengths(pairs: DataFrame, graph: DataFrame) -> DataFrame:
     """(dataset_id, gene1, gene2, length) of the shortest directed path for
     each wanted pair that has one.
 
-    A frontier search from all wanted sources at once, on numbered nodes. Each
-    round extends the frontier by one step and drops what was visited; a source
-    leaves the search when all of its targets are found. Rounds are
-    checkpointed to the shared folder, so a lost executor does not replay the
+    A search from all wanted sources at once, 64 of them a word: a row stands
+    for a node and a word of sources, and its bits tell which of these have
+    `seen` the node, reach it first in this round (`fresh`) and still `want`
+    its distance. A round joins the fresh words to the steps of the graph and
+    unites them per node, so a node is passed on once for all sources of a word.
+    A source leaves the search when it has all its targets. A round is one
+    checkpoint in the shared folder, so a lost executor does not replay the
     search.
     """
     graph = graph.select("dataset_id", *PAIR).distinct()
-    nodes = checkpointed(
+    names = checkpointed(
         graph.select("dataset_id", F.explode(F.array(*PAIR)).alias("gene"))
         .distinct()
         .withColumn("id", F.monotonically_increasing_id())
     )
 
-    def numbered(rows, names):
-        for gene, name in zip(PAIR, names):
-            side = nodes.select("dataset_id", F.col("gene").alias(gene), F.col("id").alias(name))
+    def numbered(rows, columns):
+        for gene, column in zip(PAIR, columns):
+            side = names.select("dataset_id", F.col("gene").alias(gene), F.col("id").alias(column))
             rows = rows.join(side, ["dataset_id", gene])
         return rows
 
@@ -131,34 +138,60 @@ def shortest_lengths(pairs: DataFrame, graph: DataFrame) -> DataFrame:
     named = checkpointed(
         numbered(pairs.select("dataset_id", *PAIR).distinct(), ["source", "target"])
     )
-    wanted = named.select("source", "target")
-    frontier = wanted.select("source").distinct().withColumn("node", F.col("source"))
-    visited = frontier
+    # Places count up within a partition of the numbering, so words are well filled.
+    sources = checkpointed(
+        named.select("source").distinct().withColumn("place", F.monotonically_increasing_id())
+    )
+    word = F.shiftright("place", 6).alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(WORD_BITS)).cast("int"))
+    none = F.lit(0).cast("long")
+    starts = sources.select(
+        F.col("source").alias("node"), word, bit.alias("seen"), bit.alias("fresh"), none.alias("want")
+    )
+    wanted = named.select("source", "target").join(sources, "source").select(
+        F.col("target").alias("node"), word, none.alias("seen"), none.alias("fresh"), bit.alias("want")
+    )
+    spot, marks = ["node", "word"], ["seen", "fresh", "want"]
+    state = checkpointed(
+        starts.unionByName(wanted).groupBy(*spot).agg(*[F.bit_or(m).alias(m) for m in marks])
+    )
+    seen, fresh, want = (F.col(m) for m in marks)
     found = []
     length = 0
     while True:
         length += 1
+        open_words = state.groupBy("word").agg(F.bit_or("want").alias("open")).filter("open <> 0")
+        live = salted_join(state.filter("fresh <> 0"), open_words, ["word"], ["node"])
+        live = live.select("node", "word", fresh.bitwiseAND(F.col("open")).alias("fresh"))
         reached = (
-            spread_by(frontier, "source").join(step, "node")
-            .select("source", F.col("next").alias("node"))
-            .distinct()
+            spread_by(live.filter("fresh <> 0"), *spot).join(step, "node")
+            .select(F.col("next").alias("node"), "word", none.alias("seen"), "fresh", none.alias("want"))
         )
-        fresh = checkpointed(reached.join(visited, ["source", "node"], "left_anti"))
-        hits = fresh.withColumnRenamed("node", "target")
-        found.append(
-            wanted.join(hits, ["source", "target"], "left_semi").withColumn("length", F.lit(length))
+        known = state.withColumn("fresh", none)
+        joined = known.unionByName(reached).groupBy(*spot).agg(
+            *[F.bit_or(m).alias(m) for m in marks]
         )
-        wanted = checkpointed(wanted.join(hits, ["source", "target"], "left_anti"))
-        still_open = wanted.select("source").distinct()
-        frontier = fresh.join(still_open, "source", "left_semi")
-        if frontier.isEmpty():
+        new = fresh.bitwiseAND(F.bitwise_not(seen))
+        joined = joined.select(
+            *spot, seen.bitwiseOR(fresh).alias("seen"), new.alias("fresh"),
+            want.bitwiseAND(F.bitwise_not(new)).alias("want"), want.bitwiseAND(new).alias("hit"),
+        )
+        state = checkpointed(joined)
+        found.append(state.filter("hit <> 0").select(*spot, "hit", F.lit(length).alias("length")))
+        left = state.agg(F.bit_or("fresh").alias("fresh"), F.bit_or("want").alias("want")).first()
+        if not left.fresh or not left.want:
             break
-        visited = visited.unionByName(fresh).join(still_open, "source", "left_semi")
-        if length % 4 == 0:
-            visited = checkpointed(visited)
-    lengths = found[0]
+        state = state.drop("hit")
+    hits = found[0]
     for part in found[1:]:
-        lengths = lengths.unionByName(part)
+        hits = hits.unionByName(part)
+    places = F.filter(
+        F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda i: F.getbit("hit", i) == 1
+    )
+    lengths = hits.select(
+        F.col("node").alias("target"), "length",
+        F.explode(F.transform(places, lambda i: F.col("word") * WORD_BITS + i)).alias("place"),
+    ).join(sources, "place")
     return named.join(lengths, ["source", "target"]).select("dataset_id", *PAIR, "length")
 
 

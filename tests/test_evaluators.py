@@ -225,6 +225,39 @@ def test_path_stats_bins(lists, truth):
     assert (r.num_pred, r.num_tp, r.num_fp_with_path, r.num_fp_no_path) == (7, 1, 3, 3)
 
 
+def test_shortest_lengths_over_several_words_of_sources(spark):
+    rng = random.Random(7)
+    schema = "dataset_id string, gene1 string, gene2 string"
+    links = {(d, f"n{rng.randint(0, 99)}", f"n{rng.randint(0, 99)}") for d in "xy" for _ in range(260)}
+    links |= {("long", f"c{i}", f"c{i + 1}") for i in range(6)}  # no cycle, no way back
+    links = sorted(link for link in links if link[1] != link[2])
+    nexts: dict[tuple[str, str], list[str]] = {}
+    for d, a, b in links:
+        nexts.setdefault((d, a), []).append(b)
+
+    def lengths(d, start):
+        out, edge, n = {}, [start], 0
+        met = {start}
+        while edge:
+            n += 1
+            edge = list(dict.fromkeys(b for a in edge for b in nexts.get((d, a), []) if b not in met))
+            met.update(edge)
+            out |= dict.fromkeys(edge, n)
+        return out
+
+    nodes = sorted({(d, g) for d, *pair in links for g in pair})
+    pairs = [(d, a, b) for d, a in nodes for e, b in rng.sample(nodes, 12) if d == e and a != b]
+    pairs += [("long", "c0", "c6"), ("long", "c6", "c0"), ("x", "n0", "absent"), ("none", "n0", "n1")]
+    expected = {(d, a, b): n for d, a, b in pairs if (n := lengths(d, a).get(b))}
+    got = graph.shortest_lengths(
+        spark.createDataFrame(pairs + pairs[:5], schema), spark.createDataFrame(links, schema)
+    ).collect()
+    assert len(got) == len(expected)
+    assert {(r.dataset_id, r.gene1, r.gene2): r.length for r in got} == expected
+    empty = spark.createDataFrame([], schema)
+    assert graph.shortest_lengths(empty, spark.createDataFrame(links, schema)).count() == 0
+
+
 def test_path_threshold_follows_file_position(lists, truth):
     gt = truth([("a", "b"), ("b", "c")])
     df = lists({"a": [("a", "c", 0.9), ("b", "a", 0.2), ("c", "b", 0.5), ("c", "a", 0.1)]})
