@@ -3,15 +3,20 @@
 A long token in a sensitive context (a word such as `key` or `auth` shortly
 before it, or in the name it is assigned to) is a candidate. Its novelty is what
 it adds to the compressed size of its surroundings, without further copies of
-itself, when the compressor is primed with a dictionary of common identifiers
-and code: words and identifiers cost little, random strings nearly their full
-entropy.
+itself, when the compressor is primed with a dictionary trained on the words
+that most documents hold and on common identifiers of code. The dictionary
+brings matches and the letter frequencies of such words, so known words cost
+little, unknown ones less than their length, and random strings as much as a
+random string of their length costs at the same place, the measure they are
+held against.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +42,28 @@ KINDS = ["assign", "access", "hex", "novel"]
 
 CANDIDATE_CHARS = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_CHARS)
+# Whole words, also as parts of names such as api_key, apiKey or authToken.
 SENSITIVE = re.compile(
-    r"pass|pwd|secret|token|key|auth|credential|private|bearer|session|signature|cert",
-    re.IGNORECASE | re.ASCII,
+    r"(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))"
+    r"(?i:api|app|access|auth|client|user|db|my)*"
+    r"(?i:pass(?:w(?:or)?d|phrase|code)?|pwd|secret|token|key|auth(?:entication|ori[sz]ation)?"
+    r"|credential|private(?:key)?|bearer|session|signature|cert(?:ificate)?)(?i:s)?"
+    r"(?![a-z])(?!(?<=[A-Z])[A-Z])",
+    re.ASCII,
 )
 CONTEXT_CHARS = 48
 AROUND_CHARS = 512
-NOVELTY = 0.6
+#: Least marginal size of a secret, as a share of a random string's at the same place.
+NOVELTY = 0.8
+
+#: Words of the documents that train the dictionary: those that most documents hold.
+VOCABULARY = 20_000
+DICTIONARY_BYTES = 65_536
+_VOCABULARY_WORD = re.compile(r"[A-Z]?[a-z]{3,23}|[A-Z]{4,24}")
+_SAMPLE_WORDS = 8
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
-# Common identifiers and pieces of code that prime the compressor.
+# Common identifiers and pieces of code.
 IDENTIFIERS = (
     "import from return def class function const let var public private static void string int "
     "self this null none true false if else for while try except catch finally raise throw new "
@@ -56,7 +74,8 @@ IDENTIFIERS = (
     "aws_access_key_id aws_secret_access_key database_url connection_string localhost example.com "
     "http:// https:// base64 sha256 md5 utf-8 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ "
     "0123456789 documentation description implementation initialization getElementById "
-    "addEventListener __init__ __name__ __main__ node_modules package_name version_number"
+    "addEventListener __init__ __name__ __main__ node_modules package_name version_number "
+    "/usr/local/share /usr/local/bin /usr/lib /etc /var/log /home/user /opt /tmp src/main/java"
 )
 
 _WORD = np.zeros(256, dtype=bool)
@@ -86,8 +105,55 @@ def _parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [*out, (start, end)]
 
 
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[str]:
+    """The `size` ASCII words that most documents hold, ties to the smaller word.
+
+    Words are camel-case parts and runs of letters, longer ones in pieces of up
+    to 24 letters; a repeated row counts as often as given. Every document is
+    counted, in its task first; at most `size` words reach the driver.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for first, _, offsets in arrays.text_slices(batch.column("text")):
+                held: Counter[str] = Counter()
+                for text in pieces.texts_of(batch.column("text").slice(first, len(offsets) - 1)):
+                    held.update(set(_VOCABULARY_WORD.findall(text)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
+                    names=["word", "n"],
+                )
+
+    held = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
+    top = held.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return [row.word for row in top.collect()]
+
+
+def train_dictionary(words: list[str]) -> bytes:
+    """A zstandard dictionary of the words and of IDENTIFIERS, with the letter
+    frequencies of both. `words` may be empty.
+
+    Training keeps the stretches it finds worth it; the identifiers follow
+    whole, since all that comes after the tables of a dictionary is content.
+    """
+    code = IDENTIFIERS.split()
+    # Every stretch of the identifiers is a sample, so they suffice on their own.
+    samples = [" ".join(code[i : i + _SAMPLE_WORDS]) for i in range(len(code))]
+    step = -(-len(words) // _SAMPLE_WORDS)  # a sample mixes frequent and rare words
+    samples += ["_".join(words[i::step]) for i in range(step)]
+    trained = zstandard.train_dictionary(DICTIONARY_BYTES, [s.encode() for s in samples], level=3)
+    return trained.as_bytes() + IDENTIFIERS.encode()
+
+
+def _random_text(like: str) -> str:
+    """Characters drawn evenly from 64, as many as in `like`, the same for equal strings."""
+    drawn = hashlib.shake_128(like.encode()).digest(len(like))
+    return "".join(_ALPHABET[b & 63] for b in drawn)
+
+
 def novel_spans(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
-    """Candidates whose marginal compressed bytes reach NOVELTY per character.
+    """Candidates whose marginal compressed bytes reach the share NOVELTY of
+    those that a random string of their length has in the same surroundings.
 
     Of an assignment only the long parts are measured, and the names before a
     part count as its context. Where no part is long and novel, the candidate
@@ -101,14 +167,16 @@ def novel_spans(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[i
         before = text[max(0, start - wide) : start].replace(same, blank)[-AROUND_CHARS:]
         after = text[end : end + wide].replace(same, blank)[:AROUND_CHARS]
         around = before + "\n" + after
-        size = len(compressor.compress(around.encode()))
-        more = len(compressor.compress((around + "\n" + text[start:end]).encode()))
-        return more - size >= NOVELTY * (end - start)
+        size, own, chance = (
+            len(compressor.compress((around + more).encode()))
+            for more in ("", "\n" + text[start:end], "\n" + _random_text(text[start:end]))
+        )
+        return own - size >= NOVELTY * (chance - size)
 
     out = []
     for m in CANDIDATE.finditer(text):
         parts = _parts(text, *m.span())
-        # No sensitive word holds another: the first one is also the first to end.
+        # Sensitive words do not overlap: the first one is also the first to end.
         word = SENSITIVE.search(text, max(0, m.start() - CONTEXT_CHARS), parts[-1][0])
         if not word:
             continue
@@ -128,13 +196,12 @@ def _long_runs(buf: np.ndarray, offsets: np.ndarray, keep: np.ndarray, least: in
     return long[bounds[1:]] > long[bounds[:-1]]
 
 
-def _finder():
+def _finder(dictionary: bytes):
     hex_bytes = np.zeros(256, dtype=bool)
     hex_bytes[[*range(48, 58), *range(97, 103)]] = True
 
     def run(batches):
-        primed = zstandard.ZstdCompressionDict(
-            IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
         compressor = zstandard.ZstdCompressor(
             level=3, dict_data=primed, write_content_size=False, write_checksum=False)
         for batch in batches:
@@ -163,16 +230,21 @@ def _finder():
     return run
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None
+) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_spans, spans) of every row.
 
     Spans are `kind:start:end` in code points, end exclusive, by start and then
     kind (assign, access, hex, novel), comma-joined; `base_spans` leaves out the
     novel ones. Null and empty texts have no spans; a null id is returned as
-    null, repeated rows as often as given.
+    null, repeated rows as often as given. The dictionary is trained on the
+    vocabulary of `docs` unless one from `train_dictionary` is given.
     """
+    if dictionary is None:
+        dictionary = train_dictionary(vocabulary(docs, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
-        _finder(),
+        _finder(dictionary),
         "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string",
     )

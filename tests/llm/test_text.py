@@ -5,12 +5,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -198,6 +200,54 @@ def test_repeated_secrets(spark):
     assert novel_places(spark, ["the key documentationdescription " * 3, "key " + "=" * 60]) == [[], []]
 
 
+def test_secret_dictionary_of_the_documents(spark):
+    rng = random.Random(11)
+    syllables = ["ta", "ri", "mon", "el", "ver", "sho", "lin", "qua", "pe", "dor", "Key", "str"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    texts = [" ".join(word() for _ in range(200)) for _ in range(300)] + [None, "", "KEYS Keys " * 3]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    held = Counter(w for t in texts for w in set(re.findall("[A-Z]?[a-z]{3,23}|[A-Z]{4,24}", t or "")))
+    best = sorted(held, key=lambda w: (-held[w], w))
+    words = secret_scan.vocabulary(docs)
+    assert words == best
+    assert secret_scan.vocabulary(docs, size=7) == best[:7]
+
+    dictionary = secret_scan.train_dictionary(words)
+    assert dictionary == secret_scan.train_dictionary(words)
+    names = ["_".join(word() for _ in range(5)) for _ in range(60)]
+    made = [secrets_of(rng, 40) for _ in range(60)]
+    frame = spark.createDataFrame(
+        [(i, f"the auth key {t} and more") for i, t in enumerate(names + made)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(frame, dictionary=dictionary).collect()}
+    assert [i for i in range(60) if "novel" in got[i]] == []
+    assert all(f"novel:13:{13 + 40}" in got[i] for i in range(60, 120))
+
+    # The marginal size anew, by plain calls.
+    coder = zstandard.ZstdCompressor(
+        level=3, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT),
+        write_content_size=False, write_checksum=False)
+    size = lambda s: len(coder.compress(s.encode()))
+    mixed = ["".join(rng.sample(n, 20)) + m[:9] for n, m in zip(names, made, strict=True)]
+    for value in [v.replace("=", "x") for v in mixed + names[:9] + made[:9]]:
+        around = "a token \n; end of it"
+        even = "".join(secret_scan._ALPHABET[b & 63] for b in hashlib.shake_128(value.encode()).digest(len(value)))
+        share = (size(around + "\n" + value) - size(around)) / (size(around + "\n" + even) - size(around))
+        assert bool(secret_scan.novel_spans(f"a token {value}; end of it", coder)) == (share >= 0.8)
+
+
+def secrets_of(rng, n):
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+
+
+@pytest.mark.parametrize("text, sensitive", [
+    ("apiKey", 1), ("authToken", 1), ("PRIVATE_KEY", 1), ("accesskey", 1), ("myPassword", 1), ("sessions", 1),
+    ("x-auth: y", 1), ("monkey", 0), ("keynote", 0), ("KEYNOTE", 0), ("passage", 0), ("tokenize", 0),
+    ("certain", 0), ("author", 0),
+])
+def test_sensitive_words_are_whole(text, sensitive):
+    assert bool(secret_scan.SENSITIVE.search(text)) == bool(sensitive)
+
+
 def labelled(n=900, seed=3):
     rng = random.Random(seed)
     syllables = ["ta", "ri", "mon", "el", "ver", "sho", "lin", "qua", "pe", "dor"]
