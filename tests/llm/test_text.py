@@ -133,6 +133,109 @@ def test_automaton_takes_whole_mandatory_wording():
         licenses.Automaton("may be <<optional>> used")
 
 
+def slow_ends(template, words):
+    """All numbers of words that the template may take, by walking through its regions."""
+    marks = re.findall(r"<<[^>]*>>|[^\s<]+", template)
+
+    def sides(i):
+        out, side = [], []
+        while i < len(marks) and marks[i] != "<<end>>":
+            if marks[i] == "<<or>>":
+                out.append(side)
+                side = []
+            elif marks[i] in ("<<optional>>", "<<either>>"):
+                inner, stop = sides(i + 1)
+                side.append(inner + [[]] if marks[i] == "<<optional>>" else inner)
+                i = stop
+            else:
+                side.append(marks[i])
+            i += 1
+        return [*out, side], i
+
+    def walk(side, at):
+        for part in side:
+            if isinstance(part, list):
+                at = set().union(*(walk(inner, at) for inner in part))
+            elif part.startswith("<<any"):
+                at = {j + d for j in at for d in range(int(part[6:-2]) + 1) if j + d <= len(words)}
+            else:
+                at = {j + 1 for j in at if j < len(words) and words[j] == part}
+        return at
+
+    return walk(sides(0)[0][0], {0})
+
+
+def spelled(template, rng):
+    """One wording that the template accepts."""
+    marks, out = re.findall(r"<<[^>]*>>|[^\s<]+", template), []
+
+    def region(i, write):
+        kind, start = marks[i - 1] if i else "", i
+        depth, n = 0, 1
+        for m in marks[i:]:
+            depth += (m in ("<<optional>>", "<<either>>")) - (m == "<<end>>")
+            n += m == "<<or>>" and depth == 0
+            if depth < 0:
+                break
+        chosen, side = rng.randrange(n), 0
+        write = write and (kind != "<<optional>>" or rng.random() < 0.5)
+        i = start
+        while i < len(marks) and marks[i] != "<<end>>":
+            here = write and side == chosen
+            if marks[i] == "<<or>>":
+                side += 1
+            elif marks[i] in ("<<optional>>", "<<either>>"):
+                i = region(i + 1, here)
+            elif here and marks[i].startswith("<<any"):
+                out.extend(rng.choice(["john", "doe", "1", "the"]) for _ in range(rng.randint(0, int(marks[i][6:-2]))))
+            elif here:
+                out.append(marks[i])
+            i += 1
+        return i
+
+    region(0, True)
+    return out
+
+
+def test_license_templates_against_a_slow_matcher(spark):
+    rng = random.Random(4)
+    rows, expected = [], []
+    for template in licenses.TEMPLATES.values():
+        for _ in range(3):
+            words = spelled(template, rng)
+            broken = list(words)
+            at = rng.randrange(len(broken))
+            broken[at : at + 1] = rng.choice([[], ["never"], [broken[at], "not"]])
+            for text in (words, broken, [*words, "more"], words[:-1]):
+                rows.append((len(rows), " ".join(["so", *text])))
+                expected.append({
+                    label for label, t in licenses.TEMPLATES.items()
+                    if any(max(slow_ends(t, ["so", *text][j:]), default=0) for j in range(len(text) + 1))
+                } if len(rows) % 4 < 2 else None)
+                a = licenses.Automaton(template)
+                assert a.longest([w.encode() for w in text]) == max(slow_ends(template, text), default=0)
+            assert slow_ends(template, words)
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        if expected[r["doc_id"]] is not None:
+            assert set(filter(None, r["labels"].split(","))) - set(licenses.PHRASES.values()) == expected[r["doc_id"]]
+
+
+def test_licenses_need_their_conditions(spark):
+    mit = licenses.TEMPLATES["mit"].replace("<<optional>>the software<<end>>", "(the \"Software\")")
+    head = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated " \
+        "documentation files, to deal in the Software without restriction except that nobody may ever sell it"
+    two, three = (licenses.TEMPLATES[f"bsd-{n}-clause"].replace("<<any 12>>", "The Regents") for n in (2, 3))
+    plain = lambda t: re.sub("<<(or)>>.*?<<end>>|<<.*?>>", " ", t)
+    texts = [head, plain(mit).upper(), plain(two), plain(three), plain(three).replace("neither", "either")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(frame).collect()}
+    assert [got[i] for i in range(5)] == ["", "mit", "bsd-2-clause", "bsd-3-clause", ""]
+    for bad in ("may be<<or>>used", "may be <<optional>>a<<or>>b<<end>>", "may be <<either>>a<<or>>b", "may be<<end>>"):
+        with pytest.raises(ValueError, match="region"):
+            licenses.Automaton(bad)
+
+
 SECRET_TEXTS = [
     "password=hunter2secret token: abc; api_key = 'abcdef0123'",
     "secret:token:abcdefgh PASSWD=\"x\" passwd='longenough'", "toKen=abcdef paſsword=abcdef",
