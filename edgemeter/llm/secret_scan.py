@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgemeter.llm import arrays, pieces
@@ -58,6 +58,7 @@ NOVELTY = 0.8
 
 #: Words of the documents that train the dictionary: those that most documents hold.
 VOCABULARY = 20_000
+WORD_GROUPS = [4096, 64, 1]
 DICTIONARY_BYTES = 65_536
 _VOCABULARY_WORD = re.compile(r"[A-Z]?[a-z]{3,23}|[A-Z]{4,24}")
 _SAMPLE_WORDS = 8
@@ -110,7 +111,8 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY)
 
     Words are camel-case parts and runs of letters, longer ones in pieces of up
     to 24 letters; a repeated row counts as often as given. Every document is
-    counted, in its task first; at most `size` words reach the driver.
+    counted, in its task first. Groups of words keep their best, level by
+    level, so `size` words reach the driver, whatever the number of partitions.
     """
 
     def count(batches):
@@ -125,8 +127,13 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY)
                 )
 
     held = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
-    top = held.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [row.word for row in top.collect()]
+    top = held.groupBy("word").agg(F.sum("n").alias("n"))
+    for groups in WORD_GROUPS:
+        best = Window.partitionBy("group").orderBy(F.desc("n"), "word")
+        top = top.withColumn("group", F.pmod(F.xxhash64("word"), F.lit(groups)))
+        top = top.withColumn("place", F.row_number().over(best))
+        top = top.filter(F.col("place") <= size)
+    return [row.word for row in sorted(top.collect(), key=lambda row: row.place)]
 
 
 def train_dictionary(words: list[str]) -> bytes:
