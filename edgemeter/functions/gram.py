@@ -32,6 +32,28 @@ def block_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
+def packed_blocks(rows: DataFrame, group: list[str], item: str, feature: str, value: str) -> DataFrame:
+    """(group, _blocks, _b, _c, _items, _features, _i, _f, _v): a row per block of
+    items and chunk of features; `_i` and `_f` are places in the two name lists."""
+    sizes = rows.groupBy(*group).agg(
+        F.ceil(F.approx_count_distinct(item) / ITEMS).cast("int").alias("_blocks"),
+        F.ceil(F.approx_count_distinct(feature) / FEATURES).cast("int").alias("_chunks"),
+    )
+    types = dict(rows.dtypes)
+    block = [*group, "_b", "_c"]
+    placed = (
+        salted_join(rows, sizes, group, [item, feature])
+        .select(
+            *group, "_blocks", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int").alias("_b"),
+            F.pmod(F.xxhash64(feature), F.col("_chunks")).cast("int").alias("_c"),
+            F.col(item).alias("_item"), F.col(feature).alias("_feature"), F.col(value).cast("double").alias("_v"))
+    )
+    return spread_by(placed, *block).sortWithinPartitions(*block).mapInArrow(
+        pack_blocks(block), ", ".join([
+            *[f"{c} {types[c]}" for c in group], "_blocks int, _b int, _c int", f"_items array<{types[item]}>",
+            f"_features array<{types[feature]}>", "_i array<int>, _f array<int>, _v array<double>"]))
+
+
 def pair_products(
     rows: DataFrame,
     group: list[str],
@@ -51,29 +73,13 @@ def pair_products(
             *group, item, F.lit("\x00").alias(feature), F.lit(0.0).alias(value)
         )
         rows = rows.select(*group, item, feature, value).unionByName(meeting)
-    sizes = rows.groupBy(*group).agg(
-        F.ceil(F.approx_count_distinct(item) / ITEMS).cast("int").alias("_blocks"),
-        F.ceil(F.approx_count_distinct(feature) / FEATURES).cast("int").alias("_chunks"),
-    )
     types = dict(rows.dtypes)
-    named = [f"{c} {types[c]}" for c in group]
-    block = [*group, "_b", "_c"]
-    placed = (
-        salted_join(rows, sizes, group, [item, feature])
-        .select(
-            *group, "_blocks", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int").alias("_b"),
-            F.pmod(F.xxhash64(feature), F.col("_chunks")).cast("int").alias("_c"),
-            F.col(item).alias("_item"), F.col(feature).alias("_feature"), F.col(value).cast("double").alias("_v"))
-    )
-    packed = (
-        spread_by(placed, *block).sortWithinPartitions(*block)
-        .mapInArrow(pack_blocks(block), ", ".join([
-            *named, "_blocks int, _b int, _c int", f"_items array<{types[item]}>",
-            f"_features array<{types[feature]}>", "_i array<int>, _f array<int>, _v array<double>"]))
-        .withColumn("_lane", F.expr(f"_c div {LANE_CHUNKS}"))
+    packed = packed_blocks(rows, group, item, feature, value).withColumn(
+        "_lane", F.expr(f"_c div {LANE_CHUNKS}")
     )
     schema = ", ".join(
-        named + [f"item_a {types[item]}", f"item_b {types[item]}", "dot double"]
+        [f"{c} {types[c]}" for c in group]
+        + [f"item_a {types[item]}", f"item_b {types[item]}", "dot double"]
     )
     where = [*group, "_lo", "_hi", "_lane"]
     partial = (

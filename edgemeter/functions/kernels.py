@@ -317,20 +317,3 @@ def block_entries(pdf: pd.DataFrame, keys: list[str], size: int) -> pd.DataFrame
         "i": i + int(r["bi"]) * size, "j": j + int(r["bj"]) * size, "v": np.asarray(r["a"]),
     })
     return with_keys(out, pdf, keys)
-
-
-def principal_loadings(pdf: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
-    """Leading eigenvectors of one matrix's gene covariance, from its products."""
-    genes = np.unique(np.concatenate([pdf["item_a"], pdf["item_b"]]))
-    i, j = np.searchsorted(genes, pdf["item_a"]), np.searchsorted(genes, pdf["item_b"])
-    n, s = float(pdf["n_cells"].iloc[0]), np.zeros(len(genes))
-    s[i] = pdf["s"]
-    gram = np.zeros((len(genes), len(genes)))
-    gram[i, j] = gram[j, i] = pdf["dot"]
-    vectors = np.linalg.eigh(gram - np.outer(s, s) / n)[1][:, ::-1][:, :k]
-    largest = vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])]
-    vectors = vectors * np.where(largest < 0, -1.0, 1.0)
-    out = pd.DataFrame({"gene": genes, "mean": s / n})
-    for c in range(k):
-        out[f"l{c + 1}"] = vectors[:, c] if c < vectors.shape[1] else 0.0
-    return with_keys(out, pdf, keys)

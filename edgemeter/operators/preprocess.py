@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import hash_unit
-from edgemeter.functions.gram import pair_products
 from edgemeter.functions.joins import salted_join
-from edgemeter.functions.kernels import principal_loadings
+from edgemeter.functions.krylov import leading_vectors
 from edgemeter.functions.ranking import HASH_BITS, exact_percentiles, global_rank, pair_hash
 from edgemeter.operators.matrix import by_trajectory, clean_cell
 from edgemeter.schema import CELL_KEYS
@@ -120,18 +119,27 @@ def pca(expr: DataFrame, k: int = 3) -> DataFrame:
     """(dataset_id, run_id, cell, pc1..pck) of centred, unscaled expression of
     every matrix; each component points to its largest loading.
 
-    The products of genes come from block jobs; one task per matrix solves for
-    the loadings and holds genes x genes numbers, so select genes first.
+    The loadings come from a block Krylov search over tiles of genes and cells;
+    a task never holds more of a matrix than one tile. Where fewer than k
+    components exist, the rest are 0.
     """
     values = shifted(expr).select(*GENE, "cell", "value")
-    sums = values.groupBy(*GENE).agg(F.sum("value").alias("s")).join(cell_counts(expr), CELL_KEYS)
-    dots = pair_products(values, CELL_KEYS, "gene", "cell", "value").join(
-        sums.withColumnRenamed("gene", "item_a"), [*CELL_KEYS, "item_a"]
-    )
+    means = values.groupBy(*GENE).agg(F.sum("value").alias("_s")).join(cell_counts(expr), CELL_KEYS)
+    # The row of means counts negative: X'X less this part is the centred product.
+    mean_row = means.select(
+        *GENE, F.lit("").alias("cell"), (F.col("_s") / F.sqrt("n_cells")).alias("value"),
+        F.lit(True).alias("_minus"),
+    )
+    rows = values.withColumn("_minus", F.lit(False)).unionByName(mean_row)
+    found = leading_vectors(rows, CELL_KEYS, "gene", "cell", "value", "_minus", k)
     loads = [f"l{i + 1}" for i in range(k)]
-    schema = ", ".join([f"{c} string" for c in GENE] + ["mean double"] + [f"{c} double" for c in loads])
-    loadings = dots.groupBy(*CELL_KEYS).applyInPandas(
-        lambda pdf: principal_loadings(pdf, CELL_KEYS, k), schema
+    signs = found.groupBy(*CELL_KEYS).agg(*[
+        F.signum(F.max_by(F.get("vector", i), F.abs(F.get("vector", i)))).alias(f"_up{i}")
+        for i in range(k)
+    ])
+    means = means.select(*GENE, (F.col("_s") / F.col("n_cells")).alias("mean"))
+    loadings = salted_join(found.join(means, GENE), signs, CELL_KEYS, ["gene"]).select(
+        *GENE, "mean", *[(F.get("vector", i) * F.col(f"_up{i}")).alias(c) for i, c in enumerate(loads)]
     )
     loadings = checkpointed(loadings)  # read for the scores and for their offsets
     offsets = loadings.groupBy(*CELL_KEYS).agg(

@@ -264,9 +264,32 @@ def gene_variance(spark, sf):
     return _round(out.select(*CELL_KEYS, "gene", "variance", "rank"), "variance")
 
 
-@query("pca")
+def _pca_sql(parts: int = 3, squarings: int = 18) -> str:
+    """Components by squaring the covariance until one direction is left, then taking it out."""
+    steps = {
+        "x": f"SELECT dataset_id, run_id, gene, cell, value - AVG(value) OVER (PARTITION BY dataset_id, run_id, gene) AS v FROM ({EMBEDDING_SQL}) e",
+        "c1": f"SELECT {C}, a.gene AS i, b.gene AS j, SUM(a.v * b.v) AS v FROM x a JOIN x b USING ({C}, cell) GROUP BY ALL",
+    }
+    for k in range(1, parts + 1):
+        steps[f"p{k}"] = f"""SELECT 0 AS step, {C}, i, j, v / SUM(CASE WHEN i = j THEN v END) OVER (PARTITION BY {C}) AS v FROM c{k}
+  UNION ALL SELECT step + 1, {C}, i, j, v / SUM(CASE WHEN i = j THEN v END) OVER (PARTITION BY {C}) FROM (
+    SELECT a.step, {C}, a.i, b.j, SUM(a.v * b.v) AS v FROM p{k} a JOIN p{k} b USING ({C}) WHERE a.j = b.i AND a.step < {squarings} GROUP BY ALL) q"""
+        steps[f"o{k}"] = f"SELECT {C}, ARG_MAX(j, v) AS j FROM p{k} WHERE step = {squarings} AND i = j GROUP BY {C}"
+        # The longest column, of length 1 and with its largest entry positive.
+        steps[f"l{k}"] = f"""SELECT {C}, i AS gene, v / SQRT(SUM(v * v) OVER w) * SIGN(ARG_MAX(v, ABS(v)) OVER w) AS v
+  FROM p{k} JOIN o{k} USING ({C}, j) WHERE step = {squarings} WINDOW w AS (PARTITION BY {C})"""
+        steps[f"e{k}"] = f"SELECT {C}, SUM(a.v * c.v * b.v) AS e FROM c{k} c JOIN l{k} a USING ({C}) JOIN l{k} b USING ({C}) WHERE a.gene = c.i AND b.gene = c.j GROUP BY {C}"
+        steps[f"c{k + 1}"] = f"SELECT {C}, i, j, c.v - e * a.v * b.v AS v FROM c{k} c JOIN l{k} a USING ({C}) JOIN l{k} b USING ({C}) JOIN e{k} USING ({C}) WHERE a.gene = c.i AND b.gene = c.j"
+        steps[f"s{k}"] = f"SELECT {C}, cell, ROUND(SUM(x.v * l{k}.v), 5) + 0.0 AS pc{k} FROM x JOIN l{k} USING ({C}, gene) GROUP BY {C}, cell"
+    joined = " ".join(f"JOIN s{k} USING ({C}, cell)" for k in range(2, parts + 1))
+    columns = ", ".join(f"pc{k}" for k in range(1, parts + 1))
+    return with_fixtures([], steps, f"SELECT {C}, cell, {columns} FROM s1 {joined}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("pca", _pca_sql())
 def pca(spark, sf):
-    return _round(preprocess.pca(embedding_expression(spark, sf), 3), "pc1", "pc2", "pc3")
+    out = preprocess.pca(embedding_expression(spark, sf), 3)
+    return out.select(*CELL_KEYS, "cell", *[(F.round(c, 5) + 0.0).alias(c) for c in ("pc1", "pc2", "pc3")])
 
 
 @query("label_cells", """SELECT event_id, CASE str_split(event_type||'_'||CAST(user_id AS VARCHAR)||'_'||CAST(event_id AS VARCHAR), '_')[1]

@@ -138,6 +138,34 @@ def test_pca_matches_svd_in_every_matrix(matrix):
                 assert rows[run, f"c{j:03d}"][k] == pytest.approx(sign * u[j, k] * s[k], abs=1e-6)
 
 
+def test_pca_over_many_tiles_needs_no_gene_by_gene_table(matrix, monkeypatch):
+    from edgemeter.functions import gram
+
+    monkeypatch.setattr(gram, "ITEMS", 32)
+    monkeypatch.setattr(gram, "FEATURES", 32)
+    rng = np.random.default_rng(11)
+    # Slowly falling spectrum, more genes than the basis may have columns.
+    values = rng.normal(size=(150, 150)) @ np.diag(0.97 ** np.arange(150)) @ rng.normal(size=(150, 90))
+    values[rng.random(values.shape) < 0.3] = 0
+    got = {r.cell: (r.pc1, r.pc2) for r in preprocess.pca(
+        matrix(values, genes=[f"g{i:03d}" for i in range(150)]), 2).collect()}
+    centred = (values - values.mean(axis=1, keepdims=True)).T
+    u, s, vt = np.linalg.svd(centred, full_matrices=False)
+    for k in range(2):
+        sign = np.sign(vt[k][np.abs(vt[k]).argmax()])
+        assert [got[f"c{j:03d}"][k] for j in range(90)] == pytest.approx(sign * u[:, k] * s[k], abs=1e-6)
+
+
+def test_pca_of_constant_and_narrow_matrices(matrix):
+    flat = matrix(np.full((4, 5), 2.0), run="r1")
+    pair = matrix(np.array([[1.0, 2.0, 3.0], [2.0, 4.0, 6.0]]), run="r2")
+    rows = {(r.run_id, r.cell): (r.pc1, r.pc2, r.pc3) for r in preprocess.pca(flat.unionByName(pair), 3).collect()}
+    assert all(rows["r1", f"c{j:03d}"] == pytest.approx((0, 0, 0)) for j in range(5))
+    for j, at in enumerate((-1, 0, 1)):
+        assert rows["r2", f"c{j:03d}"] == pytest.approx((at * 5**0.5, 0, 0), abs=1e-9)
+    assert preprocess.pca(flat.limit(0), 2).count() == 0
+
+
 def test_correlation_with_large_means(matrix):
     rng = np.random.default_rng(5)
     x = rng.normal(size=200)
