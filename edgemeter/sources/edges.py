@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgemeter.functions.columns import valid_number
 from edgemeter.schema import GROUND_TRUTH, KEYS, PAIR
-from edgemeter.sources.files import body_lines, named_fields, path_parts
+from edgemeter.sources.files import named_fields, path_parts
 
 FILE_BITS = 40
 
@@ -30,7 +30,7 @@ def read_ranked_edges(
     `keep_invalid` is set; see `invalid_weights`.
     """
     wanted = {"gene1": ("Gene1", 0), "gene2": ("Gene2", 1), "weight": ("EdgeWeight", 2)}
-    rows = named_fields(body_lines(spark, f"{root}/*/*/*/{filename}"), "\t", wanted)
+    rows = named_fields(spark, f"{root}/*/*/*/{filename}", "\t", wanted)
     rows = rows.withColumn("weight", F.expr("try_cast(weight AS double)"))
     # A split is at most spark.sql.files.maxPartitionBytes, which bounds the window.
     place = F.row_number().over(Window.partitionBy("_path", "_start").orderBy("_seq")) - 1
@@ -93,7 +93,7 @@ def read_ground_truth(
         none = spark.createDataFrame([], GROUND_TRUTH)
         return reduce(DataFrame.unionByName, parts, none)
     wanted = {"gene1": ("Gene1", 0), "gene2": ("Gene2", 1), "type": ("Type", None)}
-    rows = named_fields(body_lines(spark, f"{root}/{dataset}/{filename}"), ",", wanted)
+    rows = named_fields(spark, f"{root}/{dataset}/{filename}", ",", wanted)
     keyed = rows.select(path_parts(["dataset_id"], 1)["dataset_id"].alias("dataset_id"), *PAIR, "type")
     return keyed.filter(F.col("type").isin("+", "-")) if signed else keyed
 

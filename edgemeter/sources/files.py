@@ -57,20 +57,22 @@ def fields(line: str, sep: str) -> Column:
     return F.when(F.col(line).contains('"'), F.transform(quoted, bare)).otherwise(plain)
 
 
-def body_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_path, _start, _seq, value, _header): the lines after the first of each
-    file, which goes with them. Empty lines are left out.
-
-    The header table has a row per file; the lines of a large file spread over
-    all partitions.
+def body_lines(spark: SparkSession, path: str, heading: dict[str, Column]) -> DataFrame:
+    """(_path, _start, _seq, value, heading): the lines after the first of each
+    file, with the columns that `heading` takes from that first line, `_header`.
+    Empty lines are left out.
+
+    A header is parsed once per file, from the split at byte 0, where every first
+    line begins. The table of headings has a row per file; the lines of a large
+    file spread over all partitions unless it is small enough to broadcast.
     """
     lines = text_lines(spark, path)
     place = F.struct("_start", "_seq")
-    headers = lines.groupBy("_path").agg(
+    headers = lines.filter(F.col("_start") == 0).groupBy("_path").agg(
         F.min_by("value", place).alias("_header"), F.min(place).alias("_first")
-    )
-    joined = salted_join(lines, headers, ["_path"], ["_start", "_seq"])
-    return joined.filter((place != F.col("_first")) & (F.length("value") > 0)).drop("_first")
+    ).select("_path", "_first", *[column.alias(name) for name, column in heading.items()])
+    joined = salted_join(lines.filter(F.length("value") > 0), headers, ["_path"], ["_start", "_seq"])
+    return joined.filter(place != F.col("_first")).drop("_first")
 
 
 def melt_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -80,8 +82,8 @@ def melt_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     a million columns never becomes a million-column plan. A line whose width
     does not fit the header fails.
     """
-    cells = body_lines(spark, path).select(
-        "_path", fields("value", sep).alias("_v"), fields("_header", sep).alias("_h")
+    cells = body_lines(spark, path, {"_h": fields("_header", sep)}).select(
+        "_path", fields("value", sep).alias("_v"), "_h"
     )
     width = F.size("_v") - 1
     # A header may or may not name the row column.
@@ -98,21 +100,29 @@ def melt_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     )
 
 
-def named_fields(lines: DataFrame, sep: str, wanted: dict[str, tuple[str, int | None]]) -> DataFrame:
-    """Add columns from the fields of `value` by their header names.
+def named_fields(
+    spark: SparkSession, path: str, sep: str, wanted: dict[str, tuple[str, int | None]]
+) -> DataFrame:
+    """`body_lines` with columns from the fields of `value` by their header names;
+    only the places of the names go with the lines.
 
     `wanted`: column -> (header name, its position in a header without any of
     the names; None if it is then absent). A name that is missing next to others gives NULL.
     """
-    header, values = F.col("_names"), F.col("_fields")
-    out = lines.withColumn("_names", fields("_header", sep)).withColumn("_fields", fields("value", sep))
+    header = fields("_header", sep)
     known = F.arrays_overlap(header, F.array(*[F.lit(name) for name, _ in wanted.values()]))
+    heading = {}
     for column, (name, fallback) in wanted.items():
         at = F.array_position(header, name)
         if fallback is not None:
             at = F.when(known, at).otherwise(F.lit(fallback + 1))
-        out = out.withColumn(column, F.when(at > 0, F.try_element_at(values, at.cast("int"))))
-    return out.drop("_names", "_fields", "_header", "value")
+        heading[f"_at_{column}"] = at.cast("int")
+    lines = body_lines(spark, path, heading).withColumn("_fields", fields("value", sep))
+    found = {
+        column: F.when(F.col(at) > 0, F.try_element_at("_fields", F.col(at)))
+        for column, at in zip(wanted, heading, strict=True)
+    }
+    return lines.withColumns(found).drop("_fields", "value", *heading)
 
 
 def number(token: str) -> Column:
