@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -251,12 +252,12 @@ class Encoder:
         self.held = [0, 0]  # bytes in `known` and in `tokens`
 
     def _count(self, which: int, names, ids) -> None:
-        self.held[which] += sum(ENTRY_BYTES + len(n) + len(x) for n, x in zip(names, ids, strict=True))
+        self.held[which] += ENTRY_BYTES * len(ids) + sum(map(len, names)) + sum(map(len, ids))
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """Packed ids of parts."""
         split = [self.split(part) for part in parts]
-        new = list({token for tokens in split for token in tokens}.difference(self.tokens))
+        new = list(set(chain.from_iterable(split)).difference(self.tokens))
         short = []
         for token in new:
             raw = token.encode()
@@ -272,7 +273,9 @@ class Encoder:
             self.tokens.update(zip(short, ids, strict=True))
         tokens = self.tokens
         self._count(1, new, [tokens[t] for t in new])
-        return [b"".join([tokens[t] for t in own]) for own in split]
+        return [
+            tokens[own[0]] if len(own) == 1 else b"".join([tokens[t] for t in own]) for own in split
+        ]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed 32-bit integers."""
