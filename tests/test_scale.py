@@ -4,7 +4,8 @@ import pytest
 
 from edgemeter import schema
 from edgemeter.functions import ranking
-from edgemeter.operators import primitives
+from edgemeter.operators import curves, early, primitives
+from edgemeter.plans import fixtures
 
 TRUTH = [("x", "y", "+"), ("y", "z", "-"), ("x", "x", "+"), (None, "w", "+"), ("w", None, "-"), ("v", "v", "+")]
 UNIVERSE = {
@@ -57,3 +58,49 @@ def test_align_in_blocks(spark, truth, lists, kind, monkeypatch):
     out = primitives.align(edges, truth(TRUTH), kind)
     assert sorted(map(tuple, out.collect()), key=str) == sorted(wanted, key=str)
     assert out.rdd.getNumPartitions() >= 4
+
+
+def test_links_equal_the_joins_of_their_sql(spark):
+    """Repeated and NULL keys multiply or lose rows as in the SQL, and the lines are shuffled once."""
+    line = "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_quantity double"
+    rows = {
+        "lineitem": (line, [(1, 1, 1, "A", 3.0), (1, 2, 2, "A", 4.5), (1, 2, 2, "A", 4.5), (1, 3, None, "N", 5.0), (1, None, 1, None, 7.0),
+                            (None, 1, 1, "A", 1.0), (None, 2, 2, "A", 1.0), (2, 1, 3, "R", None), (2, 2, 1, "R", 2.0), (3, 1, 1, "R", 2.0)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string", [(1, 1, "F"), (1, 2, "O"), (2, None, "P"), (2, 2, None), (None, 1, "F")]),
+        "customer": ("c_custkey long, c_nationkey int", [(1, 5), (2, 6), (2, 6), (2, None), (None, 7)]),
+        "supplier": ("s_suppkey long, s_nationkey int", [(1, 8), (1, 9), (2, None), (None, 3)]),
+    }
+    for name, (schema_, data) in rows.items():
+        spark.createDataFrame(data, schema_).createOrReplaceTempView(name)
+    found = fixtures._links(spark)
+    wanted = spark.sql(fixtures.BODIES["fx_links"])
+    assert found.columns == wanted.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(l_orderkey" in x for x in plan.splitlines()) == 1
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+
+
+@pytest.mark.parametrize("operator", [early.epr, curves.auprc])
+def test_pairs_are_grouped_and_labelled_after_one_shuffle(spark, lists, truth, operator):
+    """A shuffle by list and pair before the one by pair moved every row twice."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = operator(lists({"a": [("a", "b", 1.0)]}), truth([("a", "b")]))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_list = [x for x in plan.splitlines() if "Exchange hashpartitioning(dataset_id" in x and "run_id" in x and "gene1" in x]
+    assert not by_list
+
+
+def test_best_signed_breaks_ties_by_place(spark, lists):
+    rows = [("a", "b", -0.5), ("a", "b", 0.5), ("c", "d", 0.2), ("c", "d", 0.7), ("c", "d", -0.7), ("e", "f", -0.9), ("e", "f", 0.3)]
+    out = primitives.best_signed(lists({"x": rows}))
+    assert {(r.gene1, r.weight) for r in out.collect()} == {("a", -0.5), ("c", 0.7), ("e", -0.9)}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_rows_count_each_time_on_a_curve(spark, lists, truth):
+    rows = [("a", "b", 0.9), ("a", "b", 0.9), ("b", "c", 0.5), ("a", "a", 2.0), ("c", "a", -0.1)]
+    out = curves.pr_curve(lists({"x": rows}), truth([("a", "b"), ("c", "a")]))
+    points = sorted((r.threshold, round(r.recall, 6), round(r.precision, 6)) for r in out.collect() if r.threshold is not None)
+    assert points == [(-0.1, 1.0, 0.75), (0.5, 0.666667, 0.666667), (0.9, 0.666667, 1.0)]
