@@ -4,7 +4,7 @@ import pytest
 
 from edgemeter import schema
 from edgemeter.functions import ranking
-from edgemeter.operators import curves, early, primitives
+from edgemeter.operators import curves, early, graph, primitives
 from edgemeter.plans import fixtures
 
 TRUTH = [("x", "y", "+"), ("y", "z", "-"), ("x", "x", "+"), (None, "w", "+"), ("w", None, "-"), ("v", "v", "+")]
@@ -104,3 +104,21 @@ def test_repeated_rows_count_each_time_on_a_curve(spark, lists, truth):
     out = curves.pr_curve(lists({"x": rows}), truth([("a", "b"), ("c", "a")]))
     points = sorted((r.threshold, round(r.recall, 6), round(r.precision, 6)) for r in out.collect() if r.threshold is not None)
     assert points == [(-0.1, 1.0, 0.75), (0.5, 0.666667, 0.666667), (0.9, 0.666667, 1.0)]
+
+
+def test_wedges_travel_as_arrays(spark):
+    """All kinds of triangles at hubs; a row per edge meets its neighbours, not a row per wedge."""
+    import itertools
+    import random
+
+    draw = random.Random(5)
+    nodes = [f"n{i}" for i in range(14)]
+    edges = {(a, b) for a, b in itertools.permutations(nodes, 2) if draw.random() < (0.9 if "n0" in (a, b) else 0.35)}
+    out = graph.motif_counts(spark.createDataFrame([("d", a, b) for a, b in edges], "dataset_id string, gene1 string, gene2 string"), ["dataset_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" in plan
+    triples = [t for t in itertools.permutations(nodes, 3) if (t[0], t[1]) in edges and (t[1], t[2]) in edges]
+    row = out.first()
+    assert row.fbl == sum((c, a) in edges for a, _, c in triples) // 3
+    assert row.ffl == sum((a, c) in edges for a, _, c in triples)
+    assert row.mi == sum((b, a) in edges for a, b in edges) // 2
