@@ -122,3 +122,60 @@ def test_wedges_travel_as_arrays(spark):
     assert row.fbl == sum((c, a) in edges for a, _, c in triples) // 3
     assert row.ffl == sum((a, c) in edges for a, _, c in triples)
     assert row.mi == sum((b, a) in edges for a, b in edges) // 2
+
+
+def test_path_search_leaves_no_row_per_node_and_word(spark, monkeypatch):
+    """300 nodes in 60 rings of five and one ring of 12: each reaches only its ring."""
+    kept = []
+
+    def keeping(real):
+        def keep(df, *label):
+            out = real(df, *label)
+            kept.append(out.count())
+            return out
+
+        return keep
+
+    monkeypatch.setattr(graph, "checkpointed", keeping(graph.checkpointed))
+    monkeypatch.setattr(graph, "stored", keeping(graph.stored))
+    rings = [[f"r{i}_{j}" for j in range(5)] for i in range(60)] + [[f"long{j:02d}" for j in range(12)]]
+    links = [("d", a, b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
+    # The distance is the difference of the places, up to 11 rounds; a word mixes many rings.
+    pairs = [("d", ring[0], ring[-1], len(ring) - 1) for ring in rings] + [("d", "long09", "long08", 11)]
+    pairs += [("d", "r0_0", f"r{i}_0", None) for i in range(1, 60)]
+    pairs += [("d", f"r{i}_{j}", f"r{i}_{(j + 2) % 5}", 2) for i in range(60) for j in range(5)]
+    schema_of = "dataset_id string, gene1 string, gene2 string"
+    wanted = {p for p in pairs if p[3]}
+    found = graph.shortest_lengths(
+        spark.createDataFrame([p[:3] for p in pairs], schema_of), spark.createDataFrame(links, schema_of)
+    )
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert max(kept) <= len(pairs)
+
+
+@pytest.mark.parametrize("held, rounds", [(1, 1), (1 << 22, 3)])
+def test_path_search_over_blocks_and_jobs(spark, monkeypatch, held, rounds):
+    monkeypatch.setattr(graph, "HELD_WORDS", held)
+    monkeypatch.setattr(graph, "ROUNDS", rounds)
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 16)
+    nodes = [f"n{i:03d}" for i in range(150)]
+    # A chain with steps back by three, and a part that no step enters.
+    links = list(zip(nodes[:8], nodes[1:9])) + [(nodes[i], nodes[i - 3]) for i in range(3, 9)]
+    links += [(a, nodes[0]) for a in nodes[9:]]
+    nexts = {}
+    for a, b in links:
+        nexts.setdefault(a, []).append(b)
+
+    def lengths(start):
+        out, edge = {start: 0}, [start]
+        while edge:
+            edge = list(dict.fromkeys(b for a in edge for b in nexts.get(a, []) if b not in out and not out.update({b: out[a] + 1})))
+        return out
+
+    pairs = [(a, b) for a in nodes for b in nodes[:12] if a != b]
+    wanted = {("d", a, b, n) for a, b in pairs if (n := lengths(a).get(b))}
+    schema_of = "dataset_id string, gene1 string, gene2 string"
+    found = graph.shortest_lengths(
+        spark.createDataFrame([("d", *p) for p in pairs], schema_of), spark.createDataFrame([("d", *p) for p in links], schema_of)
+    ).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
