@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -29,9 +30,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KNOWN_BYTES = 12 << 20  # what is remembered of parts, and again of tokens
 ENTRY_BYTES = 160  # of a dictionary entry besides its text and ids
 EMIT_ROWS = 512
-BATCH_BYTES = 4 << 20
-DECODE_BYTES = 1 << 20
+BATCH_BYTES = 3 << 20
+DECODE_BYTES = 1 << 18
 LONG_PRETOKEN = 256
+LOOKUP = 1 << 15  # pairs that are looked up together
 
 _MERGES: dict[str, Merges] = {}
 
@@ -164,19 +166,21 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {
-            ranks[raw[:at]] << 32 | ranks[raw[at:]]: rank
-            for raw, rank in ranks.items()
-            for at in range(1, len(raw))
-            if raw[:at] in ranks and raw[at:] in ranks
-        }
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.found = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        keys, found = array("q"), array("q")
+        for raw, rank in ranks.items():
+            for at in range(1, len(raw)):
+                left, right = ranks.get(raw[:at]), ranks.get(raw[at:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    found.append(rank)
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        self.keys = np.frombuffer(keys, np.int64)[order]
+        self.found = np.frombuffer(found, np.int64)[order].astype(np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each merged pair, -1 where the vocabulary has none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.found[at], -1)
 
@@ -190,25 +194,27 @@ def encode_pretokens(raws: list[bytes], merges: Merges, queue: RankQueue) -> lis
     """
     sizes = np.array([len(r) for r in raws], np.int64)
     total = int(sizes.sum())
-    owner = np.repeat(np.arange(len(raws)), sizes)
+    owner = np.repeat(np.arange(len(raws), dtype=np.int32), sizes)
     symbol = merges.bytes[np.frombuffer(b"".join(raws), np.uint8)]
     # Position `total` stands for "none" on both sides.
-    after = np.append(np.arange(1, total + 1), total)
-    before = np.append(np.arange(-1, total - 1), total)
+    after = np.append(np.arange(1, total + 1, dtype=np.int32), np.int32(total))
+    before = np.append(np.arange(-1, total - 1, dtype=np.int32), np.int32(total))
     edge = np.cumsum(sizes)
     after[edge - 1] = total
     before[edge - sizes] = total
-    symbol = np.append(symbol, -1)
-    waiting = np.full(total + 1, -1, np.int64)
+    symbol = np.append(symbol, np.int32(-1))
+    waiting = np.full(total + 1, -1, np.int32)
     alive = np.ones(total, bool)
 
     def wait(at: np.ndarray) -> None:
-        waiting[at] = merges.rank(symbol[at], symbol[after[at]])
+        for first in range(0, len(at), LOOKUP):
+            part = at[first : first + LOOKUP]
+            waiting[part] = merges.rank(symbol[part], symbol[after[part]])
         at = at[waiting[at] >= 0]
         if len(at):
             queue.push_all(waiting[at], at)
 
-    wait(np.flatnonzero(after[:-1] < total))
+    wait(np.flatnonzero(after[:-1] < total).astype(np.int32))
     while queue.top:
         rank, taken = queue.pop_all()
         at = np.concatenate(taken)
@@ -218,7 +224,7 @@ def encode_pretokens(raws: list[bytes], merges: Merges, queue: RankQueue) -> lis
             again = owner[at[1:]] == owner[at[:-1]]
             if again.any():
                 later = at[1:][again]
-                queue.push_all(np.full(len(later), rank), later)
+                queue.push_all(np.full(len(later), rank, np.int32), later)
                 at = at[np.concatenate([[True], ~again])]
         if not len(at):
             continue

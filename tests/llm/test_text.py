@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -72,6 +73,21 @@ def test_encode_and_decode(docs, texts, library, monkeypatch, long):
         assert bytes(got[i]["decoded"]) == (text or "").encode()
 
 
+def test_shared_queue_holds_few_bytes_per_byte():
+    ranks = bpe.load_ranks(RANKS)
+    queue, merges = bpe.RankQueue(len(ranks)), bpe.Merges(ranks)
+    rng = random.Random(1)
+    raws = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)).encode() for _ in range(40_000)]
+    tracemalloc.start()
+    try:
+        packed = bpe.encode_pretokens(raws, merges, queue)
+        held = tracemalloc.get_traced_memory()[1] / sum(map(len, raws))
+    finally:
+        tracemalloc.stop()
+    assert len(packed) == len(raws)
+    assert held < 60
+
+
 def test_queue_alone_agrees_with_the_batch(library):
     ranks = bpe.load_ranks(RANKS)
     queue, merges = bpe.RankQueue(len(ranks)), bpe.Merges(ranks)
