@@ -14,6 +14,7 @@ import heapq
 import sys
 from array import array
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +28,37 @@ from edgemeter.llm import pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KNOWN_BYTES = 12 << 20  # what is remembered of parts, and again of tokens
+KNOWN_BYTES = 32 << 20  # what is remembered of parts and tokens
 ENTRY_BYTES = 160  # of a dictionary entry besides its text and ids
 EMIT_ROWS = 512
 BATCH_BYTES = 3 << 20
 DECODE_BYTES = 1 << 18
 LONG_PRETOKEN = 256
-LOOKUP = 1 << 15  # pairs that are looked up together
+TOGETHER = 1 << 19  # bytes of pre-tokens that share one queue
 
-_MERGES: dict[str, Merges] = {}
 
-_RANKS: dict[str, dict[bytes, int]] = {}
+def _kept() -> dict:
+    """What a process keeps from task to task. This module travels by value, so
+    its own variables begin anew in each task."""
+    name = "_edgemeter_bpe_kept"
+    return sys.modules.setdefault(name, ModuleType(name)).__dict__.setdefault("kept", {})
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Bytes to rank, from a file of `base64 rank` lines; read once per process."""
-    if path not in _RANKS:
+    kept = _kept()
+    if ("ranks", path) not in kept:
         with open(path, "rb") as lines:
-            _RANKS[path] = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return _RANKS[path]
+            kept["ranks", path] = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return kept["ranks", path]
+
+
+def load_merges(path: str) -> Merges:
+    """The merges of that file; built once per process."""
+    kept = _kept()
+    if ("merges", path) not in kept:
+        kept["merges", path] = Merges(load_ranks(path))
+    return kept["merges", path]
 
 
 class RankQueue:
@@ -74,11 +87,13 @@ class RankQueue:
 
     def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
         """Put arrays of positions into their buckets, one array per bucket."""
-        order = np.argsort(ranks, kind="stable")
-        ranks, positions = ranks[order], positions[order]
-        edge = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
-        for rank, a, b in zip(ranks[edge].tolist(), edge.tolist(),
-                              [*edge[1:].tolist(), len(ranks)], strict=True):
+        both = ranks.astype(np.int64) << 32 | positions
+        both.sort()
+        positions = both.astype(np.int32)  # the lower half
+        both >>= 32
+        edge = np.flatnonzero(both[1:] != both[:-1]) + 1
+        cuts = [0, *edge.tolist(), len(both)]
+        for rank, a, b in zip(both[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
             bucket = self.buckets.get(rank)
             if bucket is None:
                 self._mark(rank)
@@ -177,6 +192,8 @@ class Merges:
         order = np.argsort(np.frombuffer(keys, np.int64))
         self.keys = np.frombuffer(keys, np.int64)[order]
         self.found = np.frombuffer(found, np.int64)[order].astype(np.int32)
+        ids = np.repeat(self.bytes, 256), np.tile(self.bytes, 256)
+        self.of_bytes = self.rank(*ids)  # ranks of all pairs of single bytes
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each merged pair, -1 where the vocabulary has none."""
@@ -195,120 +212,173 @@ def encode_pretokens(raws: list[bytes], merges: Merges, queue: RankQueue) -> lis
     sizes = np.array([len(r) for r in raws], np.int64)
     total = int(sizes.sum())
     owner = np.repeat(np.arange(len(raws), dtype=np.int32), sizes)
-    symbol = merges.bytes[np.frombuffer(b"".join(raws), np.uint8)]
+    data = np.frombuffer(b"".join(raws), np.uint8)
     # Position `total` stands for "none" on both sides.
-    after = np.append(np.arange(1, total + 1, dtype=np.int32), np.int32(total))
-    before = np.append(np.arange(-1, total - 1, dtype=np.int32), np.int32(total))
+    symbol = np.append(merges.bytes[data], np.int32(-1))
+    after = np.append(np.arange(1, total + 1), total)
+    before = np.append(np.arange(-1, total - 1), total)
     edge = np.cumsum(sizes)
     after[edge - 1] = total
     before[edge - sizes] = total
-    symbol = np.append(symbol, np.int32(-1))
-    waiting = np.full(total + 1, -1, np.int32)
     alive = np.ones(total, bool)
-
-    def wait(at: np.ndarray) -> None:
-        for first in range(0, len(at), LOOKUP):
-            part = at[first : first + LOOKUP]
-            waiting[part] = merges.rank(symbol[part], symbol[after[part]])
-        at = at[waiting[at] >= 0]
-        if len(at):
-            queue.push_all(waiting[at], at)
-
-    wait(np.flatnonzero(after[:-1] < total).astype(np.int32))
+    waiting = np.full(total + 1, -1, np.int32)
+    waiting[: total - 1] = merges.of_bytes[data[:-1].astype(np.int32) << 8 | data[1:]]
+    waiting[edge - 1] = -1
+    at = np.flatnonzero(waiting >= 0)
+    if len(at):
+        queue.push_all(waiting[at], at)
     while queue.top:
         rank, taken = queue.pop_all()
-        at = np.concatenate(taken)
-        at = at[waiting[at] == rank]
+        at = (np.concatenate(taken) if len(taken) > 1 else taken[0]).astype(np.intp)
+        at = at[waiting.take(at) == rank]
         if len(at) > 1:
-            at = np.unique(at)
-            again = owner[at[1:]] == owner[at[:-1]]
+            if len(taken) > 1:
+                at.sort()
+            own = owner.take(at)
+            again = own[1:] == own[:-1]
             if again.any():
+                # Of a position that came up twice, the copy is skipped when it comes up again.
                 later = at[1:][again]
                 queue.push_all(np.full(len(later), rank, np.int32), later)
                 at = at[np.concatenate([[True], ~again])]
         if not len(at):
             continue
-        gone = after[at]
-        stop = after[gone]
+        gone = after.take(at)
+        stop = after.take(gone)
         alive[gone] = False
         waiting[gone] = -1
-        waiting[at] = -1
         symbol[at] = rank
         after[at] = stop
         before[stop] = at
-        left = before[at]
-        wait(np.concatenate([at[stop < total], left[left < total]]))
-    ids = symbol[:-1][alive].astype(np.int32).tobytes()
+        left = before.take(at)
+        right = symbol.take(stop)
+        found = merges.rank(np.concatenate([np.full(len(at), rank, np.int32), symbol.take(left)]),
+                            np.concatenate([right, np.full(len(at), rank, np.int32)]))
+        waiting[at] = found[: len(at)]
+        waiting[left] = found[len(at) :]
+        waiting[total] = -1
+        live = found >= 0
+        if live.any():
+            queue.push_all(found[live], np.concatenate([at, left])[live])
+    ids = symbol[:-1][alive].tobytes()
     cuts = np.cumsum(np.bincount(owner[alive], minlength=len(raws))) * 4
     return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
 
 class Encoder:
-    """Encodes texts, remembering a bounded number of parts as packed ids."""
+    """Encodes texts, remembering a bounded number of parts and tokens as packed ids.
+
+    A part made of letters is one token, which is remembered as that part only.
+    """
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = load_ranks(path)
-        if path not in _MERGES:
-            _MERGES[path] = Merges(self.ranks)
-        self.merges = _MERGES[path]
+        self.ranks, self.merges = load_ranks(path), load_merges(path)
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}  # parts after a space
-        self.tokens: dict[str, bytes] = {}
-        self.held = [0, 0]  # bytes in `known` and in `tokens`
-
-    def _count(self, which: int, names, ids) -> None:
-        self.held[which] += ENTRY_BYTES * len(ids) + sum(map(len, names)) + sum(map(len, ids))
-
-    def learn(self, parts: list[str]) -> list[bytes]:
-        """Packed ids of parts."""
-        split = [self.split(part) for part in parts]
-        new = list(set(chain.from_iterable(split)).difference(self.tokens))
-        short = []
-        for token in new:
-            raw = token.encode()
+        probe = " Aaß字aÀǅ"  # does the pattern leave a space and letters together?
+        self.whole = self.split(probe) == [probe]
+        self.known: dict[str, bytes] = {}  # parts after a space, which is left off
+        self.tokens: dict[str, bytes] = {}  # other tokens
+        self.held = 0  # bytes of both
+
+    def _size(self, memory: dict[str, bytes]) -> int:
+        return ENTRY_BYTES * len(memory) + sum(map(len, memory)) + sum(map(len, memory.values()))
+
+    def _merged(self, tokens: list[str]) -> list[bytes]:
+        """Packed ids of tokens."""
+        raws = [token.encode() for token in tokens]
+        out: list[bytes] = [b""] * len(raws)
+        short: list[int] = []
+        taken = 0
+        for i, raw in enumerate(raws):
             if raw in self.ranks:
-                self.tokens[token] = np.int32(self.ranks[raw]).tobytes()
+                out[i] = self.ranks[raw].to_bytes(4, sys.byteorder)
             elif len(raw) > LONG_PRETOKEN:
                 ids = encode_pretoken(raw, self.ranks, self.queue)
-                self.tokens[token] = np.array(ids, np.int32).tobytes()
+                out[i] = np.array(ids, np.int32).tobytes()
             else:
-                short.append(token)
+                short.append(i)
+                taken += len(raw)
+                if taken > TOGETHER:
+                    self._shared(raws, short, out)
+                    short, taken = [], 0
         if short:
-            ids = encode_pretokens([t.encode() for t in short], self.merges, self.queue)
-            self.tokens.update(zip(short, ids, strict=True))
-        tokens = self.tokens
-        self._count(1, new, [tokens[t] for t in new])
-        return [
-            tokens[own[0]] if len(own) == 1 else b"".join([tokens[t] for t in own]) for own in split
+            self._shared(raws, short, out)
+        return out
+
+    def _shared(self, raws: list[bytes], which: list[int], out: list[bytes]) -> None:
+        found = encode_pretokens([raws[i] for i in which], self.merges, self.queue)
+        for i, ids in zip(which, found, strict=True):
+            out[i] = ids
+
+    def learn(self, heads: list[str], parts: set[str]) -> tuple[list[bytes], dict[str, bytes]]:
+        """Packed ids of heads, and of parts and the words in them by part."""
+        words = {part for part in parts if part.isalpha()} if self.whole else set()
+        rest = [part for part in parts if part not in words]
+        split = [self.split(head) for head in heads]
+        split += [self.split(" " + part) for part in rest]
+        ids = {}
+        other = []
+        for token in set(chain.from_iterable(split)):
+            if self.whole and token[0] == " " and token[1:].isalpha():
+                known = self.known.get(token[1:])
+                if known is None:
+                    words.add(token[1:])
+                else:
+                    ids[token] = known
+            else:
+                known = self.tokens.get(token)
+                if known is None:
+                    other.append(token)
+                else:
+                    ids[token] = known
+        spaced = [" " + word for word in words]
+        merged = self._merged(other + spaced)
+        new = dict(zip(other, merged, strict=False))
+        self.tokens |= new
+        ids |= new
+        own = dict(zip(words, merged[len(other) :], strict=True))
+        ids.update(zip(spaced, own.values(), strict=True))
+        self.held += self._size(new)
+        found = [
+            ids[tokens[0]] if len(tokens) == 1 else b"".join([ids[t] for t in tokens])
+            for tokens in split
         ]
+        own.update(zip(rest, found[len(heads) :], strict=True))
+        return found[: len(heads)], own
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed 32-bit integers."""
-        for which, memory in enumerate((self.known, self.tokens)):
-            if self.held[which] > KNOWN_BYTES:
-                memory.clear()
-                self.held[which] = 0
         # A head has no leading space and is seldom seen twice, so it is not remembered.
         # Texts are cut twice rather than held in parts: distinct parts are few.
         heads: set[str] = set()
-        new: set[str] = set()
+        parts: set[str] = set()
         for text in texts:
             head, *rest = pieces.cut(text)
             heads.add(head)
-            new.update(rest)
-        new.difference_update(self.known)
-        found = self.learn([*heads, *(" " + part for part in new)])
-        first = dict(zip(heads, found, strict=False))
-        self.known.update(zip(new, found[len(heads) :], strict=True))
-        self._count(0, new, found[len(heads) :])
+            parts.update(rest)
+        names = list(heads)
+        found, new = self.learn(names, parts.difference(self.known))
+        first = dict(zip(names, found, strict=True))
+        self.known |= new
+        self.held += self._size(new)
         known = self.known.__getitem__
         out = []
         for text in texts:
             head, *rest = pieces.cut(text)
             out.append(first[head] + b"".join(map(known, rest)))
+        if self.held > KNOWN_BYTES:
+            self._forget(parts.union(new))
         return out
 
+    def _forget(self, used: set[str]) -> None:
+        """Keep only the parts that the last texts used, or none if these are too many."""
+        self.tokens = {}
+        self.known = {part: self.known[part] for part in used}
+        self.held = self._size(self.known)
+        if self.held > KNOWN_BYTES:
+            self.known, self.held = {}, 0
+
 
 def _encoding(path: str, pattern: str):
     def run(batches):

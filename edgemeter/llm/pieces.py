@@ -12,7 +12,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_BESIDE = [pair for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f" for pair in {c + " ", " " + c}]
+_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 
 
 def _plain(text: str) -> bool:
@@ -20,7 +20,8 @@ def _plain(text: str) -> bool:
     return not (
         text.startswith(" ")
         or text.endswith(" ")
-        or any(pair in text for pair in _BESIDE)
+        or "  " in text
+        or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES)
         or (not text.isascii() and _WIDE_SPACE.search(text))
     )
 

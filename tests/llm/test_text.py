@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -12,8 +13,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -101,6 +104,46 @@ def test_queue_alone_agrees_with_the_batch(library):
             assert a == b
 
 
+def test_ranks_are_read_once_per_process():
+    for load in (bpe.load_ranks, bpe.load_merges):
+        travelled = cloudpickle.loads(cloudpickle.dumps(load))
+        assert travelled is not load and travelled(RANKS) is load(RANKS)
+
+
+def test_words_of_the_last_texts_are_remembered(library, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdé", k=12)) for _ in range(900)) + " end." for _ in range(2)]
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    merged = []
+    whole = bpe.encode_pretokens
+    monkeypatch.setattr(bpe, "encode_pretokens", lambda raws, *a: merged.extend(raws) or whole(raws, *a))
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 300_000)
+    monkeypatch.setattr(bpe, "TOGETHER", 3_000)
+    for text in [texts[0], texts[1], texts[1], texts[0]]:
+        before = len(merged)
+        packed, = encoder.texts([text])
+        assert np.frombuffer(packed, np.int32).tolist() == library.encode_ordinary(text)
+        assert encoder.held <= bpe.KNOWN_BYTES
+        again = len(merged) - before
+        if text is texts[1] and before > 1_000:
+            assert again <= 1  # the head
+    assert again > 800  # the first text's words had been forgotten
+
+
+def test_words_are_one_token_only_where_the_pattern_says_so(texts):
+    letters = regex.compile(r"\p{L}").fullmatch
+    assert not [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and not letters(c)]
+    assert bpe.Encoder(RANKS, public_tokenizers.PATTERN).whole
+    pattern = r" ?\p{Lu}+| ?[^\s\p{Lu}]+|\s+(?!\S)|\s+"
+    encoder = bpe.Encoder(RANKS, pattern)
+    assert not encoder.whole
+    other = tiktoken.Encoding(
+        "other", pat_str=pattern, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    own = [t or "" for t in texts] + ["one TwoThree fouR  FIVE.six"]
+    for text, packed in zip(own, encoder.texts(own), strict=True):
+        assert np.frombuffer(packed, np.int32).tolist() == other.encode_ordinary(text), text
+
+
 LICENSE_TEXTS = [
     "All rights reserved. CC-BY and cc  by! all rights RESERVED",
     "gnu General Public License, cc by cc by", "cc bye", "kcc by", "cc", "Ecc by", "Kcc by",
