@@ -1,6 +1,7 @@
 """Work of one dataset or list spreads over tasks: lists numbered by ranges, universes by blocks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgemeter import schema
 from edgemeter.functions import ranking
@@ -179,3 +180,22 @@ def test_path_search_over_blocks_and_jobs(spark, monkeypatch, held, rounds):
         spark.createDataFrame([("d", *p) for p in pairs], schema_of), spark.createDataFrame([("d", *p) for p in links], schema_of)
     ).collect()
     assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+@pytest.mark.parametrize("kind", primitives.UNIVERSES)
+def test_universe_in_equal_parts_that_repeat_few_genes(spark, truth, kind, monkeypatch):
+    """Tasks get as many rows as one another, and rows near each other hold the genes of a strip or two."""
+    for name, size in (("CHUNK", 4), ("STRIP", 8), ("BLOCK", 40)):
+        monkeypatch.setattr(primitives, name, size)
+    genes = [f"g{i:03d}" for i in range(200)]
+    rows = [(a, b) for a, b in zip(genes, genes[1:] + genes[:1])]
+    pairs = primitives.universe(truth(rows), kind).withColumns(
+        {"task": F.spark_partition_id(), "at": F.floor(F.monotonically_increasing_id() / 32)}
+    ).localCheckpoint()
+    wanted = {p for p in UNIVERSE[kind](genes, [(*r, None) for r in rows])}
+    found = [(r.gene1, r.gene2) for r in pairs.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
+    sizes = [r["count"] for r in pairs.groupBy("task").count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 1.1 * len(found) / 4
+    near = pairs.groupBy("at").agg(F.count_distinct("gene2").alias("n")).agg(F.avg("n")).first()[0]
+    assert near <= 16
