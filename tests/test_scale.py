@@ -199,3 +199,25 @@ def test_universe_in_equal_parts_that_repeat_few_genes(spark, truth, kind, monke
     assert len(sizes) == 4 and max(sizes) <= 1.1 * len(found) / 4
     near = pairs.groupBy("at").agg(F.count_distinct("gene2").alias("n")).agg(F.avg("n")).first()[0]
     assert near <= 16
+
+
+@pytest.mark.parametrize("kind", ["directed", "undirected", "tf_self"])
+def test_align_in_equal_parts_beside_a_full_list(spark, truth, lists, kind, monkeypatch):
+    """A list that scores all pairs leaves nothing to unfold; the others' pairs are dealt evenly."""
+    for name, size in (("CHUNK", 4), ("STRIP", 8), ("BLOCK", 32)):
+        monkeypatch.setattr(primitives, name, size)
+    genes = [f"g{i:02d}" for i in range(64)]
+    rows = [(a, b, None) for a, b in zip(genes, genes[1:] + genes[:1])]
+    full = [(a, b, 1.0 + (i + j) % 3) for i, a in enumerate(genes) for j, b in enumerate(genes)]
+    few = [(a, genes[(7 * i) % 64], -0.25 * (1 + i % 4)) for i, a in enumerate(genes)] + [("g00", "no gene", 1.0)]
+    tables = {"few": few, "full": full, "none": [("g01", "g01", 1.0)]}
+    pairs = UNIVERSE[kind](genes, rows)
+    best = {algo: {(a, b): abs(w) for a, b, w in edges if a != b} for algo, edges in tables.items()}
+    wanted = [("d", "r1", algo, *p, best[algo].get(p, 0.0)) for algo in tables for p in pairs]
+    out = primitives.align(lists(tables), truth(rows), kind).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:-1] for r in out) == sorted(wanted)
+    sizes = {}
+    for r in out:
+        if r.score == 0 and r.algorithm_id != "full":
+            sizes[r.task] = sizes.get(r.task, 0) + 1
+    assert len(sizes) == 4 and max(sizes.values()) <= 1.25 * sum(sizes.values()) / 4
